@@ -42,6 +42,10 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "documents")
 
 
+def _texts(spark: SparkSession, folder: str, *key: str) -> DataFrame:
+    return readers.read_texts(spark, f"{folder}/documents.parquet", key=("doc_id", *key))
+
+
 def _joined(tokens: str | Column = "tokens") -> Column:
     return F.array_join(tokens, " ").alias("tokens")
 
@@ -69,12 +73,12 @@ def _filings(spark: SparkSession, folder: str) -> DataFrame:
         )
         .otherwise(F.col("text"))
     )
-    return _documents(spark, folder).select("doc_id", text.alias("text"))
+    return _texts(spark, folder, "lang").select("doc_id", text.alias("text"))
 
 
 def _gappy(spark: SparkSession, folder: str) -> DataFrame:
     text = F.when(F.col("lang") != "es", F.col("text"))
-    return _documents(spark, folder).select("doc_id", "lang", text.alias("text"))
+    return _texts(spark, folder, "lang").select("doc_id", "lang", text.alias("text"))
 
 
 def _cleaned(step, spark: SparkSession, folder: str) -> DataFrame:
@@ -85,7 +89,7 @@ def _cleaned(step, spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _content(spark: SparkSession, folder: str) -> DataFrame:
-    return dox.content_tokens(_documents(spark, folder), SETTINGS.stop_words)
+    return dox.content_tokens(_texts(spark, folder), SETTINGS.stop_words)
 
 
 def _kept(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,8 +112,7 @@ def read_documents(spark, folder):
 
 
 def read_texts(spark, folder):
-    texts = readers.read_texts(spark, f"{folder}/documents.parquet")
-    return dox.present_texts(texts).select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    return dox.present_texts(_texts(spark, folder)).select("doc_id", F.length("text").cast("long").alias("n_chars"))
 
 
 def row_count(spark, folder):
@@ -172,11 +175,11 @@ def truncate_text(spark, folder):
 
 
 def letters_only(spark, folder):
-    return _documents(spark, folder).select("doc_id", F.md5(tx.letters_only(F.col("text"))).alias("digest"))
+    return _texts(spark, folder).select("doc_id", F.md5(tx.letters_only(F.col("text"))).alias("digest"))
 
 
 def word_tokens(spark, folder):
-    return _documents(spark, folder).select("doc_id", _joined(tx.words_of(F.col("text"))))
+    return _texts(spark, folder).select("doc_id", _joined(tx.words_of(F.col("text"))))
 
 
 def content_tokens(spark, folder):
@@ -184,7 +187,7 @@ def content_tokens(spark, folder):
 
 
 def conversation_tokens(spark, folder):
-    turns = _table(spark, folder, "conversations")
+    turns = readers.read_texts(spark, f"{folder}/conversations.parquet", key=("conv_id", "turn"))
     docs = dox.content_tokens(turns, SETTINGS.stop_words, ("conv_id", "turn"))
     return dox.with_enough_tokens(docs).select("conv_id", "turn", _joined())
 
@@ -192,7 +195,7 @@ def conversation_tokens(spark, folder):
 def stop_word_use(spark, folder):
     base, legal = set(sw.BASE_ENGLISH), set(sw.legal_words())
     words = F.col("token")
-    counts = dct.token_counts(_documents(spark, folder).select(tx.words_of(F.col("text"), min_length=1).alias("tokens")))
+    counts = dct.token_counts(_texts(spark, folder).select(tx.words_of(F.col("text"), min_length=1).alias("tokens")))
     return counts.filter(words.isin(*sorted(base | legal))).select(
         "token", words.isin(*sorted(base)).alias("is_base"), words.isin(*sorted(legal)).alias("is_legal"), "n"
     )
@@ -221,7 +224,7 @@ def user_function(spark, folder):
 
 
 def text_chunks(spark, folder):
-    chunks = dox.chunked(_documents(spark, folder))
+    chunks = dox.chunked(_texts(spark, folder))
     return chunks.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "text")
 
 
@@ -310,19 +313,19 @@ def merged_trigrams(spark, folder):
 
 
 def stage_counts(spark, folder):
-    return cp.stage_counts(_documents(spark, folder), SETTINGS)
+    return cp.stage_counts(_texts(spark, folder), SETTINGS)
 
 
 def prepared_documents(spark, folder):
-    return cp.prepared_documents(_documents(spark, folder), SETTINGS).select("doc_id", _joined())
+    return cp.prepared_documents(_texts(spark, folder), SETTINGS).select("doc_id", _joined())
 
 
 def corpus_dictionary(spark, folder):
-    return dct.build_dictionary(cp.prepared_documents(_documents(spark, folder), SETTINGS))
+    return dct.build_dictionary(cp.prepared_documents(_texts(spark, folder), SETTINGS))
 
 
 def prepared_chunks(spark, folder):
-    chunks = cp.prepared_chunks(_documents(spark, folder), SETTINGS)
+    chunks = cp.prepared_chunks(_texts(spark, folder), SETTINGS)
     return chunks.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), _joined())
 
 
@@ -437,7 +440,7 @@ def metric_table(spark, folder):
 
 def _language_terms(spark: SparkSession, folder: str) -> DataFrame:
     """``topic, term, weight``: languages as topics, word shares as weights."""
-    docs = _documents(spark, folder)
+    docs = _texts(spark, folder, "lang")
     tokens = docs.select(
         F.col("lang").alias("topic"), F.explode(tx.words_of(F.col("text"), SETTINGS.stop_words)).alias("term")
     )
@@ -513,7 +516,7 @@ def topic_map(spark, folder):
 
 
 def _corpus(spark: SparkSession, folder: str) -> md.Corpus:
-    return md.build_corpus(cp.prepared_documents(_documents(spark, folder), SETTINGS), SETTINGS)
+    return md.build_corpus(cp.prepared_documents(_texts(spark, folder), SETTINGS), SETTINGS)
 
 
 def _model(corpus: md.Corpus, k: int = 14):
@@ -558,7 +561,7 @@ def model_evaluation(spark, folder):
 
 
 def chunk_topics(spark, folder):
-    chunks = cp.prepared_chunks(_documents(spark, folder), SETTINGS)
+    chunks = cp.prepared_chunks(_texts(spark, folder), SETTINGS)
     corpus = md.build_corpus(chunks.drop("text"), SETTINGS, ("doc_id", "chunk_no"))
     assigned = stage(md.assignments(corpus, _model(corpus), 14), "assignments")
     return topics.topic_sizes(assigned)
