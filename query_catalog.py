@@ -525,7 +525,7 @@ def _model(corpus: md.Corpus, k: int = 14):
 
 def model_fit(spark, folder):
     corpus = _corpus(spark, folder)
-    return lda.fit_report(_model(corpus), corpus.vectors, 14)
+    return lda.fit_report(_model(corpus), corpus.vectors, dct.token_total(corpus.dictionary), 14)
 
 
 def model_vectors(spark, folder):

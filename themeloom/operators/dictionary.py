@@ -86,6 +86,11 @@ def vocabulary(dictionary: DataFrame) -> list[str]:
     return rows["term"].tolist()
 
 
+def token_total(dictionary: DataFrame) -> int:
+    """Occurrences of all dictionary terms in the corpus."""
+    return dictionary.agg(F.sum("cf")).first()[0] or 0
+
+
 def vectoriser(dictionary: DataFrame) -> CountVectorizerModel:
     """A fitted vectoriser whose indices are the dictionary's term ids."""
     return CountVectorizerModel.from_vocabulary(

@@ -13,7 +13,18 @@ from themeloom.staging import stage
 
 def present_texts(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """Documents with a text, as strings. The null test reaches the Parquet scan."""
-    return documents.na.drop(subset=[text_col]).withColumn(text_col, F.col(text_col).cast("string"))
+    present = documents.filter(F.col(text_col).isNotNull())
+    return present.withColumn(text_col, F.col(text_col).cast("string"))
+
+
+def evaluated_once(docs: DataFrame) -> DataFrame:
+    """The same rows, with ``tokens`` computed one time.
+
+    The optimizer moves a filter on a computed column below its projection and so repeats the
+    computation, twice per chained filter. It does not move filters below a generator.
+    """
+    others = [name for name in docs.columns if name != "tokens"]
+    return docs.select(*others, F.explode(F.array("tokens")).alias("tokens"))
 
 
 def content_tokens(
@@ -34,7 +45,8 @@ def content_tokens(
         text = tx.truncate_text(text, max_chars)
     if boilerplate:
         text = tx.clean_boilerplate(text)
-    return present_texts(documents, text_col).select(*key, tx.words_of(text, stop_words).alias("tokens"))
+    tokens = tx.words_of(text, stop_words).alias("tokens")
+    return evaluated_once(present_texts(documents, text_col).select(*key, tokens))
 
 
 def with_enough_tokens(docs: DataFrame, minimum: int = tx.MIN_TOKENS) -> DataFrame:

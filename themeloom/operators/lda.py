@@ -71,9 +71,14 @@ def train_sweep(
         yield k, train_topics(vectors, k, plan, seed)
 
 
-def fit_report(model: LDAModel, vectors: DataFrame, k: int) -> DataFrame:
-    """``k, vocabulary, log_likelihood, log_perplexity`` of a fitted model."""
-    row = (k, model.vocabSize(), model.logLikelihood(vectors), model.logPerplexity(vectors))
+def fit_report(model: LDAModel, vectors: DataFrame, n_tokens: int, k: int) -> DataFrame:
+    """``k, vocabulary, log_likelihood, log_perplexity`` of a fitted model.
+
+    ``n_tokens`` counts the corpus' known tokens. The bound costs one inference pass over the corpus;
+    the perplexity follows from it.
+    """
+    bound = model.logLikelihood(vectors)
+    row = (k, model.vocabSize(), bound, -bound / n_tokens)
     return vectors.sparkSession.createDataFrame(
         [row], "k int, vocabulary long, log_likelihood double, log_perplexity double"
     )

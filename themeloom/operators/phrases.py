@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from themeloom.operators.documents import evaluated_once
 from themeloom.staging import stage
 
 # Phrase thresholds of the first and the second pass, and the joining character.
@@ -151,4 +152,5 @@ def _merged(flagged: DataFrame) -> DataFrame:
         ).otherwise(part["token"]),
     )
     untouched = F.instr("_flags", "1") == 0
-    return marked.withColumn("tokens", F.when(untouched, tokens).otherwise(merged)).drop("_flags", "_marks")
+    merged = F.when(untouched, tokens).otherwise(merged)
+    return evaluated_once(marked.withColumn("tokens", merged).drop("_flags", "_marks"))

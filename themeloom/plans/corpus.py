@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from themeloom.functions.stopwords import default_stop_words
 from themeloom.functions.text import CHUNK_WORDS, MIN_TOKENS, words_of, without_words
 from themeloom.operators import dictionary as dct
 from themeloom.operators import phrases as phr
-from themeloom.operators.documents import chunked, content_tokens, with_enough_tokens
+from themeloom.operators.documents import chunked, content_tokens, evaluated_once, with_enough_tokens
 from themeloom.operators.lemmas import lemmatised
 from themeloom.staging import stage
 
@@ -37,7 +37,7 @@ class CorpusSettings:
 def lemma_tokens(docs: DataFrame, settings: CorpusSettings) -> DataFrame:
     """Lemmas without stop words; a lemma may itself be a stop word."""
     lemmas = settings.lemmatise(docs)
-    return lemmas.withColumn("tokens", without_words(F.col("tokens"), settings.stop_words))
+    return evaluated_once(lemmas.withColumn("tokens", without_words(F.col("tokens"), settings.stop_words)))
 
 
 def phrase_tokens(docs: DataFrame, settings: CorpusSettings) -> DataFrame:
@@ -95,8 +95,9 @@ def prepared_chunks(
     docs = content_tokens(chunks, settings.stop_words, key)
     docs = stage(with_enough_tokens(lemma_tokens(docs, settings), settings.min_tokens), "chunk-lemmas")
     stop_words = [*settings.stop_words, *[row.token for row in dct.top_tokens(docs, top).collect()]]
+    settings = replace(settings, stop_words=stop_words)
     again = docs.withColumn("tokens", words_of(F.array_join("tokens", " "), stop_words))
-    again = lemma_tokens(again, settings).withColumn("tokens", without_words(F.col("tokens"), stop_words))
+    again = lemma_tokens(again, settings)
     again = stage(with_enough_tokens(again, settings.min_tokens), "chunk-tokens")
     merged = phrase_tokens(again, settings)
     return stage(merged.join(chunks, list(key)).select(*key, "text", "tokens"), "chunks")

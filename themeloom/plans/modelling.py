@@ -40,7 +40,9 @@ def build_corpus(
         dct.build_dictionary(docs, settings.no_below, settings.no_above, settings.keep_terms), "dictionary"
     )
     vectoriser = dct.vectoriser(dictionary)
-    vectors = stage(dct.count_vectors(docs, vectoriser).select(*key, "features"), "vectors")
+    vectors = dct.count_vectors(docs, vectoriser).select(*key, "features")
+    # Sampling depends on row order, so a fixed order makes a run with the same seed repeatable.
+    vectors = stage(vectors.sortWithinPartitions(*key), "vectors")
     return Corpus(docs, dictionary, vectors, vectoriser, key)
 
 
@@ -70,10 +72,11 @@ def run_models(
 ) -> ModelRun:
     """Train every topic count and collect words, assignments and coherence."""
     models, fits, words, assigned, coherence = {}, [], [], [], []
+    n_tokens = dct.token_total(corpus.dictionary)
     for k, model in lda.train_sweep(corpus.vectors, topic_counts, passes, seed):
         terms = stage(lda.topic_terms(model, corpus.dictionary), f"terms-k{k}")
         models[k] = model
-        fits.append(lda.fit_report(model, corpus.vectors, k))
+        fits.append(lda.fit_report(model, corpus.vectors, n_tokens, k))
         words.append(topics.top_words(terms).select(F.lit(k).alias("k"), "*"))
         assigned.append(assignments(corpus, model, k))
         by_topic = coh.coherence_by_topic(corpus.docs, terms)
