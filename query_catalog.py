@@ -440,9 +440,9 @@ def metric_table(spark, folder):
 
 def _language_terms(spark: SparkSession, folder: str) -> DataFrame:
     """``topic, term, weight``: languages as topics, word shares as weights."""
-    docs = _texts(spark, folder, "lang")
+    docs = dox.content_tokens(_texts(spark, folder, "lang"), SETTINGS.stop_words, ("lang",), boilerplate=False)
     tokens = docs.select(
-        F.col("lang").alias("topic"), F.explode(tx.words_of(F.col("text"), SETTINGS.stop_words)).alias("term")
+        F.col("lang").alias("topic"), F.explode("tokens").alias("term")
     )
     counts = tokens.groupBy("topic", "term").agg(F.count("*").alias("n"))
     totals = tokens.groupBy("topic").agg(F.count("*").alias("total"))

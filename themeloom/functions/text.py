@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,28 +52,29 @@ def letters_only(text: Column) -> Column:
 
 
 def words_of(
-    text: Column,
-    stop_words: Sequence[str] = (),
-    min_length: int = MIN_WORD_LENGTH,
-    max_length: int = MAX_WORD_LENGTH,
+    text: Column, min_length: int = MIN_WORD_LENGTH, max_length: int = MAX_WORD_LENGTH
 ) -> Column:
     """Lower-case words in text order, duplicates kept.
 
-    Runs of other characters act as one separator. Words outside the length bounds and stop words
-    are left out; one pass over the array does both.
+    Runs of other characters act as one separator. Words outside the length bounds are left out.
     """
     spaced = F.lower(F.regexp_replace(text, "[^A-Za-z]+", " "))
+    return F.filter(F.split(spaced, " "), lambda word: F.length(word).between(min_length, max_length))
 
-    def wanted(word: Column) -> Column:
-        fits = F.length(word).between(min_length, max_length)
-        return fits & ~word.isin(*stop_words) if stop_words else fits
 
-    return F.filter(F.split(spaced, " "), wanted)
+def sql_list(words: Iterable[str]) -> str:
+    """Quoted words for an SQL ``IN``. Spark tests membership by hash.
+
+    As text, a long list becomes part of the plan in one step instead of one call per word.
+    """
+    quoted = (word.replace("\\", "\\\\").replace("'", "\\'") for word in words)
+    return ", ".join(f"'{word}'" for word in quoted)
 
 
-def without_words(tokens: Column, words: Sequence[str]) -> Column:
-    """Drop the given words from an array; order and duplicates of the others stay."""
-    return F.filter(tokens, lambda token: ~token.isin(*words)) if words else tokens
+def without_words(tokens: str, words: Iterable[str]) -> Column:
+    """Drop words from an array column; order and duplicates of the others stay."""
+    listed = sql_list(words)
+    return F.expr(f"filter({tokens}, word -> word NOT IN ({listed}))") if listed else F.col(tokens)
 
 
 def has_enough_tokens(tokens: Column, minimum: int = MIN_TOKENS) -> Column:
@@ -82,10 +83,15 @@ def has_enough_tokens(tokens: Column, minimum: int = MIN_TOKENS) -> Column:
 
 def text_chunks(text: Column, words_per_chunk: int = CHUNK_WORDS) -> Column:
     """Array of consecutive chunks; the last may be short and blank text gives none."""
-    words = F.filter(F.split(text, _WHITE_SPACE), lambda word: word != "")
-    last = F.ceil(F.size(words) / F.lit(words_per_chunk)).cast("int")
-    numbers = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        numbers,
-        lambda i: F.array_join(F.slice(words, i * words_per_chunk + 1, F.lit(words_per_chunk)), " "),
-    )
+    every_word = F.filter(F.split(text, _WHITE_SPACE), lambda word: word != "")
+
+    def chunks(words: Column) -> Column:
+        last = F.ceil(F.size(words) / F.lit(words_per_chunk)).cast("int") - 1
+        numbers = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            numbers,
+            lambda i: F.array_join(F.slice(words, i * words_per_chunk + 1, F.lit(words_per_chunk)), " "),
+        )
+
+    # The outer transform binds the words, so the text is split once and not once per chunk.
+    return F.get(F.transform(F.array(every_word), chunks), 0)

@@ -34,7 +34,7 @@ def top_tokens(docs: DataFrame, n: int = TOP_TOKENS) -> DataFrame:
 def without_top_tokens(docs: DataFrame, top: DataFrame) -> DataFrame:
     """Drop the tokens of a top list (bounded by its length) from all documents."""
     words = [row.token for row in top.select("token").collect()]
-    return docs.withColumn("tokens", without_words(F.col("tokens"), words))
+    return docs.withColumn("tokens", without_words("tokens", words))
 
 
 def term_statistics(docs: DataFrame) -> DataFrame:

@@ -45,8 +45,8 @@ def content_tokens(
         text = tx.truncate_text(text, max_chars)
     if boilerplate:
         text = tx.clean_boilerplate(text)
-    tokens = tx.words_of(text, stop_words).alias("tokens")
-    return evaluated_once(present_texts(documents, text_col).select(*key, tokens))
+    words = present_texts(documents, text_col).select(*key, tx.words_of(text).alias("tokens"))
+    return evaluated_once(words.withColumn("tokens", tx.without_words("tokens", stop_words)))
 
 
 def with_enough_tokens(docs: DataFrame, minimum: int = tx.MIN_TOKENS) -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator, Mapping
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from themeloom.functions.text import sql_list
 from themeloom.operators.joins import salted_join
 
 # Irregular English forms, given as lemma: surface forms.
@@ -43,17 +44,16 @@ def irregular_forms() -> dict[str, str]:
     return {form: lemma for lemma, forms in IRREGULAR.items() for form in forms.split()}
 
 
-def regular_lemma(token: Column) -> Column:
-    """Undo a regular English -s ending; other words stay as they are."""
-    size = F.length(token)
-    bare_s = token.endswith("s") & ~F.substring(token, -2, 2).isin("ss", "us", "is") & (size > 3)
-    hissing = F.substring(token, -4, 4).isin("sses", "shes", "ches") | token.endswith("xes")
-    return (
-        F.when(token.endswith("ies") & (size > 4), F.concat(token.substr(F.lit(1), size - 3), F.lit("y")))
-        .when(hissing & (size > 4), token.substr(F.lit(1), size - 2))
-        .when(bare_s, token.substr(F.lit(1), size - 1))
-        .otherwise(token)
-    )
+def regular_lemma(token: str) -> str:
+    """SQL expression that undoes a regular English -s ending; other words stay as they are."""
+    return f"""CASE
+        WHEN {token} LIKE '%ies' AND length({token}) > 4
+            THEN concat(substring({token}, 1, length({token}) - 3), 'y')
+        WHEN (right({token}, 4) IN ('sses', 'shes', 'ches') OR {token} LIKE '%xes') AND length({token}) > 4
+            THEN substring({token}, 1, length({token}) - 2)
+        WHEN {token} LIKE '%s' AND right({token}, 2) NOT IN ('ss', 'us', 'is') AND length({token}) > 3
+            THEN substring({token}, 1, length({token}) - 1)
+        ELSE {token} END"""
 
 
 def lemmatised(
@@ -74,22 +74,13 @@ def lemmatised(
         )
         return _lemmatised_by_table(docs, table, regular)
 
-    def fallback(token: Column) -> Column:
-        return regular_lemma(token) if regular else token
-
-    if not forms:
-        return docs.withColumn("tokens", F.transform("tokens", fallback))
-    lookup = F.create_map(*[F.lit(part) for pair in sorted(forms.items()) for part in pair])
-    # The hashed membership test runs for every token, the map lookup for the few irregular ones.
-    return docs.withColumn(
-        "tokens",
-        F.transform(
-            "tokens",
-            lambda token: F.when(
-                token.isin(*sorted(forms)), F.element_at(lookup, token)
-            ).otherwise(fallback(token)),
-        ),
-    )
+    lemma = regular_lemma("token") if regular else "token"
+    if forms:
+        # The hashed membership test runs for every token, the map lookup for the few irregular ones.
+        pairs = sql_list(part for pair in sorted(forms.items()) for part in pair)
+        known = f"token IN ({sql_list(sorted(forms))})"
+        lemma = f"CASE WHEN {known} THEN element_at(map({pairs}), token) ELSE {lemma} END"
+    return docs.withColumn("tokens", F.expr(f"transform(tokens, token -> {lemma})"))
 
 
 def _lemmatised_by_table(docs: DataFrame, table: DataFrame, regular: bool) -> DataFrame:
@@ -124,10 +115,8 @@ def _lemmatised_by_table(docs: DataFrame, table: DataFrame, regular: bool) -> Da
     schema = T.StructType([*docs.schema.fields, T.StructField("_changed", T.ArrayType(T.BooleanType()))])
     out = docs.mapInArrow(look_up, schema)
     if regular:
-        by_rule = F.zip_with(
-            "tokens", "_changed", lambda token, done: F.when(done, token).otherwise(regular_lemma(token))
-        )
-        out = out.withColumn("tokens", by_rule)
+        lemma = f"IF(done, token, {regular_lemma('token')})"
+        out = out.withColumn("tokens", F.expr(f"zip_with(tokens, _changed, (token, done) -> {lemma})"))
     return out.drop("_changed")
 
 
@@ -135,7 +124,7 @@ def _lemmatised_by_join(docs: DataFrame, table: DataFrame, regular: bool) -> Dat
     """Shuffle join for a table too large for every executor; tokens are put back in order."""
     key = [name for name in docs.columns if name != "tokens"]
     words = docs.select(*key, F.posexplode_outer("tokens").alias("pos", "form"))
-    rule = regular_lemma(F.col("form")) if regular else F.col("form")
+    rule = F.expr(regular_lemma("form")) if regular else F.col("form")
     placed = salted_join(words, table.select("form", "lemma"), "form", key, "left").select(
         *key, F.struct("pos", F.coalesce("lemma", rule).alias("token")).alias("placed")
     )

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from themeloom.functions.text import sql_list
 from themeloom.operators.documents import evaluated_once
 from themeloom.staging import stage
 
@@ -16,6 +17,8 @@ TRIGRAM_MIN_COUNT = 25
 THRESHOLD = 10.0
 DELIMITER = "_"
 
+_GAP = "\x01"  # stands between tokens in strings; no token holds it
+
 IN_PLAN_PHRASES = 10_000
 # A pair with at least 1/HOT_SHARE of all occurrences is hot, so at most HOT_SHARE pairs are.
 HOT_SHARE = 10_000
@@ -88,17 +91,15 @@ def apply_phrases(docs: DataFrame, model: PhraseModel, in_plan: int = IN_PLAN_PH
     ``docs`` holds its key and tokens.
     A small set of phrases becomes part of the plan and no rows move. A larger one is joined.
     """
-    found = model.phrases.select(F.concat_ws(" ", "a", "b").alias("pair")).limit(in_plan + 1).collect()
+    found = model.phrases.select(F.concat_ws(_GAP, "a", "b").alias("pair")).limit(in_plan + 1).collect()
     if not found:
         return docs
     if len(found) > in_plan:
         return _merged(_flagged_by_join(docs, model))
-    accepted = sorted(row.pair for row in found)
-    tokens = F.col("tokens")
-    flags = F.zip_with(
-        tokens,
-        F.slice(tokens, F.lit(2), F.size(tokens)),
-        lambda a, b: F.when(F.concat(a, F.lit(" "), b).isin(*accepted), F.lit("1")).otherwise(F.lit("0")),
+    accepted = sql_list(sorted(row.pair for row in found))
+    flags = F.expr(
+        f"""zip_with(tokens, slice(tokens, 2, size(tokens)),
+            (a, b) -> IF(concat(a, '{_GAP}', b) IN ({accepted}), '1', '0'))"""
     )
     return _merged(docs.withColumn("_flags", F.array_join(flags, "")))
 
@@ -136,21 +137,15 @@ def _flagged_by_join(docs: DataFrame, model: PhraseModel) -> DataFrame:
 
 
 def _merged(flagged: DataFrame) -> DataFrame:
-    """Merge by flags. Replacing each ``1.`` in turn is the greedy, non-overlapping scan: 1 starts
-    a phrase, 2 is swallowed by it, 0 stays."""
-    marked = flagged.withColumn("_marks", F.split(F.regexp_replace("_flags", "1.", "12"), ""))
-    tokens = F.col("tokens")
-    parts = F.arrays_zip(
-        tokens.alias("token"),
-        F.slice(tokens, F.lit(2), F.size(tokens)).alias("following"),
-        F.col("_marks").alias("mark"),
-    )
-    merged = F.transform(
-        F.filter(parts, lambda part: part["mark"] != "2"),
-        lambda part: F.when(
-            part["mark"] == "1", F.concat(part["token"], F.lit(DELIMITER), part["following"])
-        ).otherwise(part["token"]),
+    """Merge by flags. Replacing each ``1.`` in turn is the greedy, non-overlapping scan: it leaves 1
+    where a phrase starts, 2 on its second token and 0 elsewhere."""
+    marks = F.split(F.regexp_replace("_flags", "1.", "12"), "")
+    ends = F.zip_with(
+        "tokens",
+        marks,
+        lambda token, mark: F.concat(token, F.when(mark == "1", F.lit(DELIMITER)).otherwise(F.lit(_GAP))),
     )
+    merged = F.split(F.rtrim(F.array_join(ends, ""), F.lit(_GAP)), _GAP)
     untouched = F.instr("_flags", "1") == 0
-    merged = F.when(untouched, tokens).otherwise(merged)
-    return evaluated_once(marked.withColumn("tokens", merged).drop("_flags", "_marks"))
+    tokens = F.when(untouched, F.col("tokens")).otherwise(merged)
+    return evaluated_once(flagged.withColumn("tokens", tokens).drop("_flags"))

@@ -37,7 +37,7 @@ class CorpusSettings:
 def lemma_tokens(docs: DataFrame, settings: CorpusSettings) -> DataFrame:
     """Lemmas without stop words; a lemma may itself be a stop word."""
     lemmas = settings.lemmatise(docs)
-    return evaluated_once(lemmas.withColumn("tokens", without_words(F.col("tokens"), settings.stop_words)))
+    return evaluated_once(lemmas.withColumn("tokens", without_words("tokens", settings.stop_words)))
 
 
 def phrase_tokens(docs: DataFrame, settings: CorpusSettings) -> DataFrame:
@@ -50,7 +50,7 @@ def phrase_tokens(docs: DataFrame, settings: CorpusSettings) -> DataFrame:
     longer = phr.learn_phrases(docs, settings.trigram_min_count, settings.threshold)
     docs = phr.apply_phrases(docs, longer)
     if settings.filter_after_phrases:
-        docs = docs.withColumn("tokens", without_words(F.col("tokens"), settings.stop_words))
+        docs = docs.withColumn("tokens", without_words("tokens", settings.stop_words))
     return docs
 
 
@@ -96,7 +96,9 @@ def prepared_chunks(
     docs = stage(with_enough_tokens(lemma_tokens(docs, settings), settings.min_tokens), "chunk-lemmas")
     stop_words = [*settings.stop_words, *[row.token for row in dct.top_tokens(docs, top).collect()]]
     settings = replace(settings, stop_words=stop_words)
-    again = docs.withColumn("tokens", words_of(F.array_join("tokens", " "), stop_words))
+    again = docs.withColumn("tokens", words_of(F.array_join("tokens", " "))).withColumn(
+        "tokens", without_words("tokens", stop_words)
+    )
     again = lemma_tokens(again, settings)
     again = stage(with_enough_tokens(again, settings.min_tokens), "chunk-tokens")
     merged = phrase_tokens(again, settings)
