@@ -7,6 +7,12 @@ def test_counts_and_top_ties(docs_of):
     assert [r.token for r in dct.top_tokens(docs, 1).collect()] == ["a"]
 
 
+def test_counts_per_document(docs_of):
+    docs = docs_of(["b", "a", "b", "", "b"], [], ["a"])
+    rows = {(r.doc_id, r.token, r.n) for r in dct.document_token_counts(docs).collect()}
+    assert rows == {(0, "b", 3), (0, "a", 1), (0, "", 1), (2, "a", 1)}
+
+
 def test_top_tokens_leave_every_document(docs_of, tokens_of):
     docs = docs_of(["x", "y", "x", "z"], ["x"])
     assert tokens_of(dct.without_top_tokens(docs, dct.top_tokens(docs, 1))) == {0: ["y", "z"], 1: []}

@@ -23,12 +23,14 @@ def greedy(tokens, pairs):
     return out
 
 
-@pytest.mark.parametrize("in_plan", [1_000, 0])
-def test_merging_equals_a_sequential_scan(spark, docs_of, tokens_of, in_plan):
+@pytest.mark.parametrize("in_plan, broadcast", [(1_000, 1_000), (0, 1_000), (0, 0)])
+def test_merging_equals_a_sequential_scan(spark, docs_of, tokens_of, monkeypatch, in_plan, broadcast):
+    monkeypatch.setattr(phr, "IN_PLAN_PHRASES", in_plan)
+    monkeypatch.setattr(phr, "BROADCAST_PHRASES", broadcast)
     rng = random.Random(5)
     lists = [[rng.choice("abcd") for _ in range(rng.randrange(0, 30))] for _ in range(300)]
     pairs = {("a", "a"), ("a", "b"), ("b", "c"), ("d", "a")}
-    merged = tokens_of(phr.apply_phrases(docs_of(*lists), model_of(spark, *pairs), in_plan))
+    merged = tokens_of(phr.apply_phrases(docs_of(*lists), model_of(spark, *pairs)))
     assert merged == {i: greedy(tokens, pairs) for i, tokens in enumerate(lists)}
 
 
@@ -77,7 +79,8 @@ def test_hot_pairs_do_not_shuffle(spark, docs_of, tokens_of, monkeypatch):
     docs = docs_of(*lists)
     model = phr.learn_phrases(docs, min_count=2, threshold=0.0)
     in_plan = tokens_of(phr.apply_phrases(docs, model))
-    assert tokens_of(phr.apply_phrases(docs, model, in_plan=0)) == in_plan
+    monkeypatch.setattr(phr, "BROADCAST_PHRASES", 0)
+    assert tokens_of(phr.apply_phrases(docs, model)) == in_plan
     assert in_plan[40] == ["a_b"]
 
 

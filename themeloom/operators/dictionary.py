@@ -37,15 +37,26 @@ def without_top_tokens(docs: DataFrame, top: DataFrame) -> DataFrame:
     return docs.withColumn("tokens", without_words("tokens", words))
 
 
+def document_token_counts(docs: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``doc_id, token, n``: occurrences within each document.
+
+    The tokens of a document are already together, so runs in its sorted tokens give the counts and
+    no rows move.
+    """
+    runs = """transform(array(sort_array(tokens)), s ->
+        filter(transform(s, (token, i) -> struct(token, i AS start)),
+               run -> NOT get(s, run.start - 1) <=> run.token))[0]"""
+    counted = f"""transform(array({runs}), r ->
+        transform(r, (run, j) -> struct(
+            run.token AS token,
+            CAST(coalesce(get(r, j + 1).start, size(tokens)) - run.start AS BIGINT) AS n)))[0]"""
+    return docs.select(*key, F.explode(F.expr(counted)).alias("run")).select(*key, "run.token", "run.n")
+
+
 def term_statistics(docs: DataFrame) -> DataFrame:
     """``term, df, cf``: documents that hold the term, and its occurrences, from one shuffle."""
-    occurrences = F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
-    documents = F.transform(
-        F.array_distinct("tokens"),
-        lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")),
-    )
-    rows = docs.select(F.explode(F.concat(occurrences, documents)).alias("row"))
-    return rows.groupBy("row.term").agg(F.sum("row.df").alias("df"), F.sum("row.cf").alias("cf"))
+    per_doc = document_token_counts(docs, ()).withColumnRenamed("token", "term")
+    return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
 
 def pruned_terms(
@@ -70,14 +81,17 @@ def build_dictionary(
 
 
 def bag_of_words(docs: DataFrame, dictionary: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``doc_id, term_id, n``: known terms per document; a document without any has no rows."""
+    """``doc_id, term_id, n``: known terms per document; a document without any has no rows.
+
+    With a dictionary small enough to broadcast, which ``keep_terms`` ensures, nothing is shuffled.
+    """
     terms = dictionary.select("term_id", F.col("term").alias("token"))
-    tokens = docs.select(*key, F.explode("tokens").alias("token"))
+    counts = document_token_counts(docs, key)
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        known = tokens.join(F.broadcast(terms), "token")
+        known = counts.join(F.broadcast(terms), "token")
     else:
-        known = salted_join(tokens, terms, "token", key)
-    return known.groupBy(*key, "term_id").agg(F.count("*").alias("n"))
+        known = salted_join(counts, terms, "token", key)
+    return known.select(*key, "term_id", "n")
 
 
 def vocabulary(dictionary: DataFrame) -> list[str]:

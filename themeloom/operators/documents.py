@@ -98,12 +98,12 @@ def index_map(indexed: DataFrame, survivors: DataFrame) -> DataFrame:
     return with_row_index(kept, ["doc_id"], "final_index")
 
 
-def alignment_report(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
+def alignment_report(left: DataFrame, right: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row of counts that shows whether two tables hold the same documents once each."""
-    sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
-        right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
+    sides = left.select(*key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
+        right.select(*key, F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
-    per_key = sides.groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    per_key = sides.groupBy(*key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     return per_key.agg(
         F.coalesce(F.sum("l"), F.lit(0)).alias("left_rows"),
         F.coalesce(F.sum("r"), F.lit(0)).alias("right_rows"),
@@ -114,8 +114,8 @@ def alignment_report(left: DataFrame, right: DataFrame, key: str = "doc_id") ->
     )
 
 
-def require_alignment(left: DataFrame, right: DataFrame, key: str = "doc_id") -> None:
+def require_alignment(left: DataFrame, right: DataFrame, key: Sequence[str] = ("doc_id",)) -> None:
     """Raise when two tables do not hold the same documents once each."""
     row = alignment_report(left, right, key).first()
     if row.missing_left or row.missing_right or row.repeated_keys:
-        raise ValueError(f"tables are not aligned on {key}: {row.asDict()}")
+        raise ValueError(f"tables are not aligned on {', '.join(key)}: {row.asDict()}")

@@ -1,11 +1,14 @@
-"""Joining many token rows to a table of words that may be too large to broadcast."""
+"""Looking words up in tables: next to each executor while they fit, by shuffle beyond that."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SALTS = 32
 
@@ -21,3 +24,25 @@ def salted_join(
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(repeated, [on, "_salt"], how).drop("_salt")
+
+
+def looked_up(docs: DataFrame, words: str, table: pa.Table, name: str) -> DataFrame:
+    """Add an array column: for each entry of the array ``words`` its value in ``table``, or null.
+
+    ``table`` has string columns ``word, value``, one row per word, and a size the caller has
+    checked. Every executor gets one copy; whole Arrow batches are looked up at once and no row moves.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(table.combine_chunks())
+    position = docs.columns.index(words)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values = (shared.value[column].combine_chunks() for column in ("word", "value"))
+        for batch in batches:
+            lists = batch.column(position)
+            hits = pc.take(values, pc.index_in(lists.flatten(), value_set=known))
+            offsets = pc.subtract(lists.offsets, lists.offsets[0])
+            found = pa.ListArray.from_arrays(offsets, hits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.StringType()))])
+    return docs.mapInArrow(look_up, schema)

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -64,11 +65,16 @@ def train_sweep(
 ) -> Iterator[tuple[int, LDAModel]]:
     """One model per topic count over the same count vectors.
 
-    ``vectors`` should be a staged table: it is scanned for every update.
+    ``vectors`` should be a staged table: it is cached for all updates, and what an executor loses is
+    read again.
     """
     plan = TrainingPlan.for_corpus(vectors.count(), passes)
-    for k in topic_counts:
-        yield k, train_topics(vectors, k, plan, seed)
+    cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for k in topic_counts:
+            yield k, train_topics(cached, k, plan, seed)
+    finally:
+        cached.unpersist()
 
 
 def fit_report(model: LDAModel, vectors: DataFrame, n_tokens: int, k: int) -> DataFrame:

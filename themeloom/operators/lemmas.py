@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom.functions.text import sql_list
-from themeloom.operators.joins import salted_join
+from themeloom.operators.joins import looked_up, salted_join
 
 # Irregular English forms, given as lemma: surface forms.
 IRREGULAR = {
@@ -87,37 +85,19 @@ def _lemmatised_by_table(docs: DataFrame, table: DataFrame, regular: bool) -> Da
     """Use a table of any size: only its forms that occur in the corpus matter."""
     vocabulary = docs.select(F.explode("tokens").alias("form")).distinct()
     found = table.select("form", "lemma").join(vocabulary, "form", "left_semi")
-    rows = found.limit(BROADCAST_FORMS + 1).toArrow()
+    rows = found.select(F.col("form").alias("word"), F.col("lemma").alias("value"))
+    rows = rows.limit(BROADCAST_FORMS + 1).toArrow()
     if rows.num_rows > BROADCAST_FORMS:
         return _lemmatised_by_join(docs, table, regular)
     if rows.num_rows <= IN_PLAN_FORMS:
-        forms = dict(zip(rows["form"].to_pylist(), rows["lemma"].to_pylist()))
+        forms = dict(zip(rows["word"].to_pylist(), rows["value"].to_pylist()))
         return lemmatised(docs, forms, regular)
-    shared = docs.sparkSession.sparkContext.broadcast(rows.combine_chunks())
-    position = docs.columns.index("tokens")
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms, lemmas = (shared.value[name].combine_chunks() for name in ("form", "lemma"))
-        for batch in batches:
-            lists = batch.column(position)
-            words = lists.flatten()
-            hits = pc.take(lemmas, pc.index_in(words, value_set=forms).cast(pa.int64()))
-            mapped = pa.ListArray.from_arrays(
-                pc.subtract(lists.offsets, lists.offsets[0]), pc.coalesce(hits, words)
-            )
-            changed = pa.ListArray.from_arrays(
-                pc.subtract(lists.offsets, lists.offsets[0]), pc.is_valid(hits)
-            )
-            columns = [batch.column(i) for i in range(batch.num_columns)]
-            columns[position] = mapped
-            yield pa.RecordBatch.from_arrays([*columns, changed], [*batch.schema.names, "_changed"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_changed", T.ArrayType(T.BooleanType()))])
-    out = docs.mapInArrow(look_up, schema)
-    if regular:
-        lemma = f"IF(done, token, {regular_lemma('token')})"
-        out = out.withColumn("tokens", F.expr(f"zip_with(tokens, _changed, (token, done) -> {lemma})"))
-    return out.drop("_changed")
+    lemma = f"coalesce(lemma, {regular_lemma('token') if regular else 'token'})"
+    return (
+        looked_up(docs, "tokens", rows, "_lemmas")
+        .withColumn("tokens", F.expr(f"zip_with(tokens, _lemmas, (token, lemma) -> {lemma})"))
+        .drop("_lemmas")
+    )
 
 
 def _lemmatised_by_join(docs: DataFrame, table: DataFrame, regular: bool) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.text import sql_list
 from themeloom.operators.documents import evaluated_once
+from themeloom.operators.joins import looked_up
 from themeloom.staging import stage
 
 # Phrase thresholds of the first and the second pass, and the joining character.
@@ -19,7 +21,8 @@ DELIMITER = "_"
 
 _GAP = "\x01"  # stands between tokens in strings; no token holds it
 
-IN_PLAN_PHRASES = 10_000
+IN_PLAN_PHRASES = 5_000
+BROADCAST_PHRASES = 2_000_000
 # A pair with at least 1/HOT_SHARE of all occurrences is hot, so at most HOT_SHARE pairs are.
 HOT_SHARE = 10_000
 
@@ -85,32 +88,34 @@ def learn_phrases(
     return PhraseModel(stage(phrases, "phrases"), frequent, total, size)
 
 
-def apply_phrases(docs: DataFrame, model: PhraseModel, in_plan: int = IN_PLAN_PHRASES) -> DataFrame:
+def apply_phrases(docs: DataFrame, model: PhraseModel, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Merge accepted neighbours from left to right, no token twice, joined by ``_``.
 
-    ``docs`` holds its key and tokens.
-    A small set of phrases becomes part of the plan and no rows move. A larger one is joined.
+    A small set of phrases becomes part of the plan, a larger one is copied to each executor, and no
+    rows move; one that does not fit there is joined.
     """
-    found = model.phrases.select(F.concat_ws(_GAP, "a", "b").alias("pair")).limit(in_plan + 1).collect()
-    if not found:
+    pair = F.concat_ws(_GAP, "a", "b").alias("word")
+    found = model.phrases.select(pair, F.lit("1").alias("value")).limit(BROADCAST_PHRASES + 1).toArrow()
+    if not found.num_rows:
         return docs
-    if len(found) > in_plan:
-        return _merged(_flagged_by_join(docs, model))
-    accepted = sql_list(sorted(row.pair for row in found))
-    flags = F.expr(
-        f"""zip_with(tokens, slice(tokens, 2, size(tokens)),
-            (a, b) -> IF(concat(a, '{_GAP}', b) IN ({accepted}), '1', '0'))"""
-    )
+    if found.num_rows > BROADCAST_PHRASES:
+        return _merged(_flagged_by_join(docs, model, key))
+    next_pair = f"zip_with(tokens, slice(tokens, 2, size(tokens)), (a, b) -> concat(a, '{_GAP}', b))"
+    if found.num_rows > IN_PLAN_PHRASES:
+        paired = looked_up(docs.withColumn("_pairs", F.expr(next_pair)), "_pairs", found, "_found")
+        flags = F.array_join("_found", "", "0")
+        return _merged(paired.withColumn("_flags", flags).drop("_pairs", "_found"))
+    accepted = sql_list(sorted(found["word"].to_pylist()))
+    flags = F.expr(f"transform({next_pair}, pair -> IF(pair IN ({accepted}), '1', '0'))")
     return _merged(docs.withColumn("_flags", F.array_join(flags, "")))
 
 
-def _flagged_by_join(docs: DataFrame, model: PhraseModel) -> DataFrame:
+def _flagged_by_join(docs: DataFrame, model: PhraseModel, key: Sequence[str]) -> DataFrame:
     """Add ``_flags``, one character per token: 1 where the token starts an accepted pair.
 
     Hot pairs, accepted or not, are few by definition and are settled without a shuffle; the pairs
     that do shuffle each hold less than 1/HOT_SHARE of all occurrences.
     """
-    key = [name for name in docs.columns if name != "tokens"]
     hot = model.frequent.filter(F.col("n") * HOT_SHARE >= model.total_pairs).select("a", "b")
     accepted = model.phrases.select("a", "b", F.lit(True).alias("accepted"))
     hot = hot.join(accepted, ["a", "b"], "left").select("a", "b", F.coalesce("accepted", F.lit(False)).alias("hot"))
@@ -133,7 +138,7 @@ def _flagged_by_join(docs: DataFrame, model: PhraseModel) -> DataFrame:
         ),
     )
     flags = F.rpad(F.coalesce(F.array_join(gaps, ""), F.lit("")), F.size("tokens"), "0")
-    return docs.join(places, key, "left").withColumn("_flags", flags).drop("_places")
+    return docs.join(places, list(key), "left").withColumn("_flags", flags).drop("_places")
 
 
 def _merged(flagged: DataFrame) -> DataFrame:

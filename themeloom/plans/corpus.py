@@ -40,15 +40,17 @@ def lemma_tokens(docs: DataFrame, settings: CorpusSettings) -> DataFrame:
     return evaluated_once(lemmas.withColumn("tokens", without_words("tokens", settings.stop_words)))
 
 
-def phrase_tokens(docs: DataFrame, settings: CorpusSettings) -> DataFrame:
+def phrase_tokens(
+    docs: DataFrame, settings: CorpusSettings, key: Sequence[str] = ("doc_id",)
+) -> DataFrame:
     """Merge phrases twice; the second pass sees the merged words and finds longer phrases.
 
     ``docs`` should be a staged table: it is read once per pass and once to apply both.
     """
     bigrams = phr.learn_phrases(docs, settings.bigram_min_count, settings.threshold)
-    docs = phr.apply_phrases(docs, bigrams)
+    docs = phr.apply_phrases(docs, bigrams, key)
     longer = phr.learn_phrases(docs, settings.trigram_min_count, settings.threshold)
-    docs = phr.apply_phrases(docs, longer)
+    docs = phr.apply_phrases(docs, longer, key)
     if settings.filter_after_phrases:
         docs = docs.withColumn("tokens", without_words("tokens", settings.stop_words))
     return docs
@@ -101,5 +103,5 @@ def prepared_chunks(
     )
     again = lemma_tokens(again, settings)
     again = stage(with_enough_tokens(again, settings.min_tokens), "chunk-tokens")
-    merged = phrase_tokens(again, settings)
+    merged = phrase_tokens(again, settings, key)
     return stage(merged.join(chunks, list(key)).select(*key, "text", "tokens"), "chunks")

@@ -105,7 +105,7 @@ def evaluate(wide: DataFrame, corpus: Corpus, models: dict[int, LDAModel]) -> Da
     Tables must hold the same documents; they are never cut to a common length. A topic count that
     fails stays as a row with its error.
     """
-    require_alignment(wide, corpus.vectors)
+    require_alignment(wide, corpus.vectors, corpus.key)
     rows = []
     for k, column in sorted(topics.topic_columns(wide.columns).items()):
         try:
