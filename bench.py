@@ -11,6 +11,7 @@ import time
 
 import query_catalog
 from themeloom.session import local_session
+from themeloom.staging import drop_staged
 
 HEADLINE = (
     "content_tokens",
@@ -48,6 +49,7 @@ def main() -> None:
         start = time.perf_counter()
         query_catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    drop_staged(spark)
     total = sum(seconds.values())
     print(
         json.dumps(

@@ -232,8 +232,9 @@ def text_chunks(spark, folder):
 
 
 def aligned_documents(spark, folder):
-    kept = _kept(spark, folder).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
-    return _documents(spark, folder).select("doc_id", "lang", "source").join(kept, "doc_id")
+    key = ("doc_id", "lang", "source")
+    docs = dox.content_tokens(_texts(spark, folder, "lang", "source"), SETTINGS.stop_words, key)
+    return dox.with_enough_tokens(docs).select(*key, F.size("tokens").cast("long").alias("n_tokens"))
 
 
 def labelled_documents(spark, folder):
@@ -445,8 +446,8 @@ def _language_terms(spark: SparkSession, folder: str) -> DataFrame:
         F.col("lang").alias("topic"), F.explode("tokens").alias("term")
     )
     counts = tokens.groupBy("topic", "term").agg(F.count("*").alias("n"))
-    totals = tokens.groupBy("topic").agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(totals), "topic").select(
+    totals = counts.groupBy("topic").agg(F.sum("n").alias("total"))
+    return counts.join(totals, "topic").select(
         "topic", "term", (F.col("n") / F.col("total")).alias("weight")
     )
 

@@ -40,6 +40,9 @@ def test_vectors_sum_to_one_and_are_blank_without_known_words(corpus):
     assert all(sum(vector) == pytest.approx(1) for vector in rows.values())
     assigned = {r.doc_id: r for r in md.assignments(corpus, model, 3).collect()}
     assert (assigned[90].topic, assigned[90].prob) == (-1, 0.0)
+    prior = lda.asymmetric_prior(3)
+    given = lda.topic_vectors(model, corpus.vectors, unknown=prior).filter("doc_id = 90").first()
+    assert list(given.vector) == pytest.approx(prior)
 
 
 def test_same_seed_same_model(corpus):

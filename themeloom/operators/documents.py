@@ -37,6 +37,7 @@ def content_tokens(
 ) -> DataFrame:
     """``key, tokens``: cleaned words without stop words.
 
+    Put columns to carry along into ``key``; they stay aligned with the tokens without a join.
     The whole text is read. ``max_chars`` cuts each text first, for results that must match an
     engine with such a limit.
     """
@@ -86,10 +87,12 @@ def with_row_index(rows: DataFrame, order: Sequence[str | Column], name: str) ->
 
 
 def original_index(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """``doc_id, original_index`` over the documents that have a text."""
-    return with_row_index(
-        present_texts(documents, text_col).select("doc_id"), ["doc_id"], "original_index"
-    )
+    """``doc_id, original_index`` over the documents that have a text.
+
+    The keys are staged first: range partitioning looks at its input twice, the texts are read once.
+    """
+    keys = stage(present_texts(documents, text_col).select("doc_id"), "keys")
+    return with_row_index(keys, ["doc_id"], "original_index")
 
 
 def index_map(indexed: DataFrame, survivors: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.functions import vectors as vx
+
 # Topic counts, passes over the corpus and seed.
 TOPIC_COUNTS = (14, 15, 16, 17, 18, 19, 20)
 PASSES = 20
@@ -90,10 +92,21 @@ def fit_report(model: LDAModel, vectors: DataFrame, n_tokens: int, k: int) -> Da
     )
 
 
-def topic_vectors(model: LDAModel, vectors: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``doc_id, vector``: weight of every topic; zeros for a document without known words."""
-    scored = model.transform(vectors)
-    return scored.select(*key, vector_to_array("topic_vector").alias("vector"))
+def topic_vectors(
+    model: LDAModel,
+    vectors: DataFrame,
+    key: Sequence[str] = ("doc_id",),
+    unknown: Sequence[float] | None = None,
+) -> DataFrame:
+    """``doc_id, vector``: weight of every topic.
+
+    A document without known words gets zeros, or the weights ``unknown`` (the prior, for instance).
+    """
+    weights = vector_to_array("topic_vector")
+    if unknown is not None:
+        given = F.array(*[F.lit(float(weight)) for weight in unknown])
+        weights = F.when(vx.is_blank(weights), given).otherwise(weights)
+    return model.transform(vectors).select(*key, weights.alias("vector"))
 
 
 def topic_terms(model: LDAModel, dictionary: DataFrame) -> DataFrame:

@@ -40,3 +40,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staged_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete this application's staged tables, once no DataFrame that reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
