@@ -433,10 +433,10 @@ def _metric_queries() -> dict[str, str]:
     out = {"valid_points": f"SELECT doc_id, label FROM ({_FLAWED}) WHERE {_VALID}"}
     for name in ("silhouette", "davies_bouldin", "calinski_harabasz"):
         out[name] = f"SELECT round({name}, 6) AS {name} FROM ({every})"
-    rows = [
-        f"SELECT {k} AS k, m.* FROM ({_metric_sql(f'SELECT doc_id, v[1:{k}] AS v, label FROM ({_FLAWED}) WHERE label >= 0 AND NOT list_bool_or(list_transform(v[1:{k}], lambda x: isnan(x)))')}) m"
-        for k in TOPIC_COUNTS
-    ]
+    rows = []
+    for k in TOPIC_COUNTS:
+        cut = f"SELECT doc_id, v[1:{k}] AS v, label FROM ({_FLAWED})"
+        rows.append(f"SELECT {k} AS k, m.* FROM ({_metric_sql(f'SELECT * FROM ({cut}) WHERE {_VALID}')}) m")
     out["metric_table"] = (
         "SELECT k, round(silhouette, 4) AS silhouette, round(davies_bouldin, 4) AS davies_bouldin, "
         f"round(calinski_harabasz, 4) AS calinski_harabasz FROM ({' UNION ALL '.join(rows)})"

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from themeloom.functions.text import sql_list
 from themeloom.operators.joins import looked_up, salted_join
+from themeloom.staging import stage
 
 # Irregular English forms, given as lemma: surface forms.
 IRREGULAR = {
@@ -60,7 +61,8 @@ def lemmatised(
     """Replace each token by its lemma, in place and in order. ``docs`` holds its key and tokens.
 
     ``forms`` maps surface forms to lemmas: a mapping, or a table ``form, lemma`` with one row per
-    form. By default the built-in irregular forms apply. Tokens not found there get ``regular_lemma`` unless switched off.
+    form. By default the built-in irregular forms apply. Tokens not found there get ``regular_lemma``
+    unless switched off.
     """
     if forms is None:
         forms = irregular_forms()
@@ -82,11 +84,13 @@ def lemmatised(
 
 
 def _lemmatised_by_table(docs: DataFrame, table: DataFrame, regular: bool) -> DataFrame:
-    """Use a table of any size: only its forms that occur in the corpus matter."""
-    vocabulary = docs.select(F.explode("tokens").alias("form")).distinct()
-    found = table.select("form", "lemma").join(vocabulary, "form", "left_semi")
-    rows = found.select(F.col("form").alias("word"), F.col("lemma").alias("value"))
-    rows = rows.limit(BROADCAST_FORMS + 1).toArrow()
+    """Use a table of any size. Of a large one only the forms that occur in the corpus matter."""
+    table = table.select(F.col("form").alias("word"), F.col("lemma").alias("value"))
+    rows = table.limit(BROADCAST_FORMS + 1).toArrow()
+    if rows.num_rows > BROADCAST_FORMS:
+        vocabulary = docs.select(F.explode("tokens").alias("word")).distinct()
+        table = stage(table.join(vocabulary, "word", "left_semi"), "forms")
+        rows = table.limit(BROADCAST_FORMS + 1).toArrow()
     if rows.num_rows > BROADCAST_FORMS:
         return _lemmatised_by_join(docs, table, regular)
     if rows.num_rows <= IN_PLAN_FORMS:
@@ -103,10 +107,10 @@ def _lemmatised_by_table(docs: DataFrame, table: DataFrame, regular: bool) -> Da
 def _lemmatised_by_join(docs: DataFrame, table: DataFrame, regular: bool) -> DataFrame:
     """Shuffle join for a table too large for every executor; tokens are put back in order."""
     key = [name for name in docs.columns if name != "tokens"]
-    words = docs.select(*key, F.posexplode_outer("tokens").alias("pos", "form"))
-    rule = F.expr(regular_lemma("form")) if regular else F.col("form")
-    placed = salted_join(words, table.select("form", "lemma"), "form", key, "left").select(
-        *key, F.struct("pos", F.coalesce("lemma", rule).alias("token")).alias("placed")
+    words = docs.select(*key, F.posexplode_outer("tokens").alias("pos", "word"))
+    rule = F.expr(regular_lemma("word")) if regular else F.col("word")
+    placed = salted_join(words, table, "word", key, "left").select(
+        *key, F.struct("pos", F.coalesce("value", rule).alias("token")).alias("placed")
     )
     ordered = F.filter(F.sort_array(F.collect_list("placed")), lambda p: p["pos"].isNotNull())
     return placed.groupBy(*key).agg(F.transform(ordered, lambda p: p["token"]).alias("tokens"))
