@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import mixing, sharding
+from themeloom.llm import mixing, packing, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,7 +29,12 @@ def op3_stratified_shards(spark, folder):
     )
 
 
+def op9_best_fit_packing(spark, folder):
+    return packing.packed_pieces(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op3_stratified_shards": op3_stratified_shards,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Mapping, Sequence
+import sys
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from types import ModuleType
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -80,3 +83,14 @@ def text_slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[in
     step = max(1, int(len(texts) * most_bytes / max(1, sizes)))
     for start in range(0, len(texts), step):
         yield start, [text or "" for text in texts.slice(start, step).to_pylist()]
+
+
+def kept_in_worker(name: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, made once per Python worker.
+
+    Functions travel to tasks by value, so their module's globals are new in each task; this place stays.
+    """
+    place = sys.modules.setdefault("_themeloom_worker", ModuleType("_themeloom_worker")).__dict__
+    if name not in place:
+        place[name] = build()
+    return place[name]
