@@ -1,3 +1,46 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-QUERIES: dict[str, str] = {}
+QUERIES: dict[str, str] = {
+    "op3_stratified_shards": """
+        WITH table_steps AS (
+            SELECT i, list_reduce(range(8), lambda acc, x:
+                CASE WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END, i::BIGINT) AS c
+            FROM range(256) t(i)
+        ), crc_table AS (SELECT list(c ORDER BY i) AS crcs FROM table_steps),
+        rows AS (
+            SELECT doc_id, source, coalesce(text, '') AS text,
+                md5(concat('interleave:', doc_id, ':', coalesce(text, ''))) AS hash
+            FROM documents
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY hash, doc_id) AS r,
+                count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total
+            FROM rows
+        ), placed AS (
+            SELECT *, row_number() OVER (
+                ORDER BY (2 * r - 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS LAST, hash, doc_id) - 1 AS place
+            FROM ranked
+        )
+        SELECT doc_id, (octet_length(encode(text)) + 1)::BIGINT AS size,
+            xor(list_reduce(
+                list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: ('0x' || b)::BIGINT),
+                lambda acc, b: xor(acc // 256, crcs[xor(acc % 256, b) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32,
+            'rows' AS law, (place * 16 // total)::INTEGER AS shard,
+            (place - ((place * 16 // total) * total + 15) // 16)::BIGINT AS slot,
+            NULL::INTEGER AS grown_shard
+        FROM placed, crc_table
+    """,
+    "op8_exact_top_scores": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import mixing, packing, sharding
+from themeloom.llm import mixing, packing, sharding, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_stratified_shards(spark, folder):
     )
 
 
+def op8_exact_top_scores(spark, folder):
+    return topk.top_scores(_table(spark, folder, "embeddings"))
+
+
 def op9_best_fit_packing(spark, folder):
     return packing.packed_pieces(_table(spark, folder, "documents"))
 
@@ -36,5 +40,6 @@ def op9_best_fit_packing(spark, folder):
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op3_stratified_shards": op3_stratified_shards,
+    "op8_exact_top_scores": op8_exact_top_scores,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
