@@ -214,7 +214,8 @@ def mixture(
         F.col("_start") + F.col("_size"), F.col("_block") * block_words + F.least(F.lit(block_words), F.col("_limit"))
     )
     pieces = (
-        touched.join(_slots(spark, plan, seed), ["_no", "_block"])
+        # the size Spark expects of rows made in Python is far too low to broadcast by
+        touched.join(_slots(spark, plan, seed).hint("merge"), ["_no", "_block"])
         .select("_row", "_shard", "_slot", "_pass", (begin - F.col("_start")).alias("_from"), (end - begin).alias("_words"))
         .where("_words > 0")
     )
