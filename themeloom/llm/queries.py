@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import mixing, packing, sharding, topk
+from themeloom.llm import mixing, neardup, packing, sharding, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_source_mixing(spark, folder):
     return mixing.mixed_rows(_table(spark, folder, "documents"))
 
 
+def op2_minhash_near_duplicates(spark, folder):
+    return neardup.near_duplicates(_table(spark, folder, "documents"), words=3, similar=85)
+
+
 def op3_stratified_shards(spark, folder):
     shards = sharding.interleaved_shards(_table(spark, folder, "documents"))
     return shards.select(
@@ -39,6 +43,7 @@ def op9_best_fit_packing(spark, folder):
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
     "op3_stratified_shards": op3_stratified_shards,
     "op8_exact_top_scores": op8_exact_top_scores,
     "op9_best_fit_packing": op9_best_fit_packing,

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from types import ModuleType
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,3 +95,72 @@ def kept_in_worker(name: str, build: Callable[[], Any]) -> Any:
     if name not in place:
         place[name] = build()
     return place[name]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, dtype=np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTE_VALUES = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def scrambled(values: np.ndarray) -> np.ndarray:
+    """A bijective mix of unsigned 64-bit values."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def hashed_words(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, number of rows, word hashes and the row of each word, for slices of about ``most_bytes``.
+
+    A-Z count as a-z. Whole slices are hashed at once by running sums of a polynomial over their bytes.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    first = 0
+    while first < len(texts):
+        last = int(np.searchsorted(offsets, offsets[first] + most_bytes, side="right")) - 1
+        last = min(max(last, first + 1), len(texts))
+        raw = data[offsets[first] : offsets[last]]
+        bounds = offsets[first : last + 1] - offsets[first]
+        yield first, last - first, *_words_of_bytes(raw, bounds)
+        first = last
+
+
+def _words_of_bytes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(raw):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    inside = np.ones(len(raw) + 1, dtype=bool)
+    inside[:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+    inside[-1] = False
+    text_start = np.zeros(len(raw) + 1, dtype=bool)
+    text_start[bounds] = True
+    begins = inside[:-1].copy()
+    begins[1:] &= ~inside[:-2] | text_start[1:-1]
+    starts = np.flatnonzero(begins)
+    ends = inside[:-1] & (~inside[1:] | text_start[1:])
+    stops = np.flatnonzero(ends) + 1
+    values = _BYTE_VALUES[np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)]
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(values * _powers(_BASE, len(raw)), out=sums[1:])
+    hashes = (sums[stops] - sums[starts]) * _powers(_BASE_INVERSE, len(raw))[starts]
+    rows = np.searchsorted(bounds, starts, side="right") - 1
+    return scrambled(hashes + (stops - starts).astype(np.uint64)), rows
+
+
+def chained(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of ``n`` successive values."""
+    count = max(0, len(hashes) - n + 1)
+    result = scrambled(hashes[:count] + np.uint64(n))
+    for i in range(1, n):
+        result = scrambled(result * np.uint64(0xD6E8FEB86659FD93) + hashes[i : i + count])
+    return result
