@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themeloom.llm.shared import chained, hashed_words, scrambled
+from themeloom.llm.shared import chained, hashed_texts, scrambled
 from themeloom.staging import stage
 
 SHINGLE_WORDS = 5
@@ -63,18 +63,15 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, list[np.nda
 
     A text with fewer words is one shingle, one without words has none.
     """
-    for first, n_rows, hashes, rows in hashed_words(texts):
-        runs = chained(hashes, words)
-        same = rows[: len(runs)] == rows[len(hashes) - len(runs) :]
-        bounds = np.searchsorted(rows, np.arange(n_rows + 1))
+    for part in hashed_texts(texts):
+        runs, bounds = chained(part.words, words), part.word_bounds().tolist()
         sets = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a >= words:
                 sets.append(np.unique(runs[a : b - words + 1]))
             else:
-                sets.append(chained(hashes[a:b], b - a) if b > a else np.empty(0, np.uint64))
-        assert int(same.sum()) == sum(max(0, b - a - words + 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
-        yield first, sets
+                sets.append(chained(part.words[a:b], b - a) if b > a else np.empty(0, np.uint64))
+        yield part.first, sets
 
 
 SIGNATURES = "_key long, n_shingles long, _set_a long, _set_b long, _bands array<long>"

@@ -115,11 +115,44 @@ def scrambled(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def hashed_words(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First row, number of rows, word hashes and the row of each word, for slices of about ``most_bytes``.
+class Texts:
+    """Some texts as one run of bytes, with the place and the hash of every word.
 
-    A-Z count as a-z. Whole slices are hashed at once by running sums of a polynomial over their bytes.
+    ``bounds`` has where each text begins and the last one ends; ``starts``, ``stops`` and ``rows`` have a
+    word's span and text. Hashes are differences of running sums of a polynomial over the bytes.
     """
+
+    def __init__(self, first: int, raw: np.ndarray, bounds: np.ndarray, fold_case: bool):
+        self.first, self.raw, self.bounds, self.n_rows = first, raw, bounds, len(bounds) - 1
+        self.inside = (raw != 32) & ((raw < 9) | (raw > 13))
+        text_start = np.zeros(len(raw) + 1, dtype=bool)
+        text_start[bounds] = True
+        before, after = np.r_[False, self.inside[:-1]], np.r_[self.inside[1:], False]
+        self.starts = np.flatnonzero(self.inside & (~before[: len(raw)] | text_start[:-1]))
+        self.stops = np.flatnonzero(self.inside & (~after[: len(raw)] | text_start[1:])) + 1
+        self.rows = np.searchsorted(bounds, self.starts, side="right") - 1
+        shown = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw) if fold_case else raw
+        self._sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUES[shown] * _powers(_BASE, len(raw)), out=self._sums[1:])
+        self.words = self.hashes(self.starts, self.stops)
+
+    def hashes(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Hash of each span of bytes."""
+        sums = (self._sums[stops] - self._sums[starts]) * _powers(_BASE_INVERSE, len(self.raw) + 1)[starts]
+        return scrambled(sums + (stops - starts).astype(np.uint64))
+
+    def counted(self, marked: np.ndarray) -> np.ndarray:
+        """Number of marked bytes of each text."""
+        sums = np.r_[0, np.cumsum(marked)]
+        return sums[self.bounds[1:]] - sums[self.bounds[:-1]]
+
+    def word_bounds(self) -> np.ndarray:
+        """Number of the first word of each text, and of all words."""
+        return np.searchsorted(self.rows, np.arange(self.n_rows + 1))
+
+
+def hashed_texts(texts: pa.Array, fold_case: bool = True, most_bytes: int = 4 << 20) -> Iterator[Texts]:
+    """Slices of about ``most_bytes``; null texts count as empty, A-Z as a-z if ``fold_case``."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
@@ -130,33 +163,12 @@ def hashed_words(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[i
     while first < len(texts):
         last = int(np.searchsorted(offsets, offsets[first] + most_bytes, side="right")) - 1
         last = min(max(last, first + 1), len(texts))
-        raw = data[offsets[first] : offsets[last]]
-        bounds = offsets[first : last + 1] - offsets[first]
-        yield first, last - first, *_words_of_bytes(raw, bounds)
+        yield Texts(
+            first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], fold_case
+        )
         first = last
 
 
-def _words_of_bytes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(raw):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    inside = np.ones(len(raw) + 1, dtype=bool)
-    inside[:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
-    inside[-1] = False
-    text_start = np.zeros(len(raw) + 1, dtype=bool)
-    text_start[bounds] = True
-    begins = inside[:-1].copy()
-    begins[1:] &= ~inside[:-2] | text_start[1:-1]
-    starts = np.flatnonzero(begins)
-    ends = inside[:-1] & (~inside[1:] | text_start[1:])
-    stops = np.flatnonzero(ends) + 1
-    values = _BYTE_VALUES[np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)]
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(values * _powers(_BASE, len(raw)), out=sums[1:])
-    hashes = (sums[stops] - sums[starts]) * _powers(_BASE_INVERSE, len(raw))[starts]
-    rows = np.searchsorted(bounds, starts, side="right") - 1
-    return scrambled(hashes + (stops - starts).astype(np.uint64)), rows
-
-
 def chained(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` successive values."""
     count = max(0, len(hashes) - n + 1)
