@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import mixing, neardup, packing, quality, sharding, topk
+from themeloom.llm import mixing, neardup, packing, quality, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_robust_outliers(spark, folder):
     return quality.quality_verdicts(_table(spark, folder, "documents"))
 
 
+def op7_counterfactual_toxicity(spark, folder):
+    return toxicity.scored_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op8_exact_top_scores(spark, folder):
     return topk.top_scores(_table(spark, folder, "embeddings"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
     "op3_stratified_shards": op3_stratified_shards,
     "op5_robust_outliers": op5_robust_outliers,
+    "op7_counterfactual_toxicity": op7_counterfactual_toxicity,
     "op8_exact_top_scores": op8_exact_top_scores,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
