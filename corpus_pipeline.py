@@ -3,17 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from themeloom.llm import mixing
+from themeloom.llm import mixing, neardup, packing, pii, toxicity
 from themeloom.staging import stage
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of the sources, whole documents as far as a pass takes them whole."""
-    return mixing.mixed_documents(docs)
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
-STAGES = [("mixing", mix)]
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones, does not call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, labels)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates: runs of five words, similarity 0.8."""
+    return neardup.without_near_duplicates(docs)
+
+
+def replace_entities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data and secrets."""
+    return _measured(pii.with_surrogates(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture of the sources; a document taken twice comes twice, one taken in part is shorter."""
+    return _measured(mixing.mixed_documents(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a sequence of at most 4,096 tokens."""
+    return packing.packed_pieces(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("entities", replace_entities),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-# Models, hashes and tokens are beyond SQL; tests hold the stages against brute force.
+# A trained classifier, 64-bit hashes and subword ids are beyond SQL; tests hold each stage against
+# brute force.
 ORACLE_SQL = None

@@ -85,7 +85,7 @@ class Found:
 
 
 #: Only lines with one of these can hold an entity that no title announces.
-LINE_SIGN = re.compile(r"[0-9@=:]")
+LINE_SIGN = re.compile(r"[0-9@=:]|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-")
 _TITLE_SIGNS = tuple(f"{title} " for title in TITLES)
 
 

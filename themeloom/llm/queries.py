@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import mixing, neardup, packing, quality, sharding, topk, toxicity
+from themeloom.llm import mixing, neardup, packing, pii, quality, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_stratified_shards(spark, folder):
     )
 
 
+def op4_surrogate_entities(spark, folder):
+    return pii.replaced_documents(_table(spark, folder, "documents"))
+
+
 def op5_robust_outliers(spark, folder):
     return quality.quality_verdicts(_table(spark, folder, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
     "op3_stratified_shards": op3_stratified_shards,
+    "op4_surrogate_entities": op4_surrogate_entities,
     "op5_robust_outliers": op5_robust_outliers,
     "op7_counterfactual_toxicity": op7_counterfactual_toxicity,
     "op8_exact_top_scores": op8_exact_top_scores,
