@@ -7,7 +7,6 @@ Words repeat, so each worker encodes a word once and keeps its ids as bytes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 
 import numpy as np
 import public_tokenizers
@@ -16,8 +15,10 @@ from tokenizers import Tokenizer
 from themeloom.llm.shared import WORD_PATTERN, kept_in_worker
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words per generation of the cache; a worker holds two generations.
-CACHED_WORDS = 250_000
+#: Entries per generation of the caches of words and of pieces; a worker holds two generations of each.
+CACHED_WORDS, CACHED_PIECES = 350_000, 400_000
+#: White space for str.split, but not for the tokenizer.
+SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Marks that are one piece of their own behind a word of plain letters.
 MARKS = ".,;:!?*#%&$|"
@@ -30,12 +31,12 @@ class _Cache:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def missing(self, words: Iterable[str]) -> list[str]:
+    def missing(self, words: set[str]) -> list[str]:
         """Words not yet known; the known ones move to the younger generation."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
         new = []
-        for word in set(words).difference(self.young):
+        for word in words.difference(self.young):
             known = self.old.get(word)
             if known is None:
                 new.append(word)
@@ -47,41 +48,43 @@ class _Cache:
 class WordTokens:
     """Little-endian unsigned 32-bit ids of words and texts."""
 
-    def __init__(self, path: str, most: int = CACHED_WORDS):
+    def __init__(self, path: str, most_words: int = CACHED_WORDS, most_pieces: int = CACHED_PIECES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words, self.plain = _Cache(most), _Cache(most)
+        self.words, self.plain = _Cache(most_words), _Cache(most_pieces)
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        words = [WORD_PATTERN.findall(text) for text in texts]
-        self._learn({word for found in words for word in found})
+        words = [
+            WORD_PATTERN.findall(text) if any(mark in text for mark in SEPARATORS) else text.split() for text in texts
+        ]
+        self._learn(set().union(*words))
         known = self.words.young.__getitem__
         return [b"".join(map(known, found)) for found in words]
 
     def _learn(self, words: set[str]) -> None:
         # a word of plain letters and marks is two pieces, which many words share
-        new, parts, pieces = self.words.missing(words), {}, set()
+        new, parted, pieces = self.words.missing(words), [], set()
+        young = self.words.young
         for word in new:
             core = word.rstrip(MARKS)
-            if PLAIN.fullmatch(core):
-                part = (core.lower(), word[len(core) :])
-                parts[word] = part
-                pieces.update(part)
-        pieces.discard("")
-        self._encode_pieces(self.plain.missing(pieces))
-        known, young = self.plain.young, self.words.young
-        known[""] = b""
-        for word in new:
-            if word in parts:
-                core, marks = parts[word]
-                young[word] = known[core] + known[marks]
+            if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core)):
+                marks, core = word[len(core) :], core.lower()
+                parted.append((word, core, marks))
+                pieces.add(core)
+                pieces.add(marks)
             else:
                 ids = self.tokenizer.encode(word, add_special_tokens=False).ids
                 young[word] = np.array(ids, dtype="<u4").tobytes()
+        pieces.discard("")
+        self._encode_pieces(self.plain.missing(pieces))
+        known = self.plain.young
+        known[""] = b""
+        for word, core, marks in parted:
+            young[word] = known[core] + known[marks]
 
     def _encode_pieces(self, pieces: list[str]) -> None:
         for start in range(0, len(pieces), ENCODED_AT_ONCE):
