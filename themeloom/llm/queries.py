@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import mixing, neardup, packing, pii, quality, sharding, topk, toxicity
+from themeloom.llm import extraction, mixing, neardup, packing, pii, quality, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op9_best_fit_packing(spark, folder):
     return packing.packed_pieces(_table(spark, folder, "documents"))
 
 
+def op10_main_text(spark, folder):
+    return extraction.page_texts(_table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
@@ -62,4 +66,5 @@ QUERIES = {
     "op7_counterfactual_toxicity": op7_counterfactual_toxicity,
     "op8_exact_top_scores": op8_exact_top_scores,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_main_text": op10_main_text,
 }
