@@ -5,7 +5,7 @@ signature: its shingle hashes fall into bins, each bin keeps its least hash, and
 first filled one of an order that is drawn for that bin once and for all documents. Bands of the signature
 name buckets. In a bucket only edges from its least member go out: the number of candidates is that of
 bucket entries. Edges are confirmed on full shingle sets, and components found. Where a bucket still
-holds several components, its members are compared across them; nothing else in it is left to find.
+holds several components, links across them are searched exactly, by their rarest shingles.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,19 +121,19 @@ def among(rows: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") ->
     return rows.join(ids, rows[key] == ids[ids.columns[0]], how)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
-    """The staged pairs ``_a, _b`` whose full sets are similar enough."""
-    nodes = stage(
-        pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct(), "neardup_nodes"
-    )
-    sets = stage(full_sets(among(docs, "_key", nodes), words), "neardup_sets")
+def sets_of(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Staged ``_node, _set`` of every node in the staged ``pairs``."""
+    nodes = stage(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct(), "neardup_nodes")
+    return stage(full_sets(among(docs, "_key", nodes), words), "neardup_sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs ``_a, _b`` whose full sets are similar enough."""
     left = sets.select(F.col("_node").alias("_a"), F.col("_set").alias("_set_a"))
     right = sets.select(F.col("_node").alias("_b"), F.col("_set").alias("_set_b"))
     shared = F.size(F.array_intersect("_set_a", "_set_b")) * (100 + similar)
     both = (F.size("_set_a") + F.size("_set_b")) * similar
-    # the size Spark expects of these rows is too low to broadcast by
-    joined = pairs.hint("merge").join(left.hint("merge"), "_a").hint("merge").join(right.hint("merge"), "_b")
-    return joined.where(shared >= both).select("_a", "_b").distinct()
+    return pairs.join(left, "_a").join(right, "_b").where(shared >= both).select("_a", "_b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,13 +204,11 @@ def near_duplicates(
     shared = stage(entries.join(buckets.select("_bucket", "_a"), "_bucket"), "neardup_shared")
     pairs = stage(shared.where("_node <> _a").select("_a", F.col("_node").alias("_b")).distinct(), "neardup_pairs")
     same_key = signed.where("n_shingles > 0").join(classes, ["_set_a", "_set_b"]).where("_key <> _node")
-    edges = stage(
-        confirmed(pairs, given, words, similar).unionByName(_shared_keys(same_key, classes)), "neardup_edges"
-    )
-    found = stage(components(edges), "neardup_components")
-    more = stage(_across(shared, found, pairs, similar), "neardup_across")
-    edges = edges.unionByName(confirmed(more, given, words, similar))
+    sets = sets_of(pairs, given, words)
+    edges = stage(confirmed(pairs, sets, similar).unionByName(_shared_keys(same_key, classes)), "neardup_edges")
     found = stage(components(edges), "neardup_components")
+    more = stage(_across(shared, found, sets, similar).join(pairs, ["_a", "_b"], "left_anti"), "neardup_across")
+    found = stage(components(edges.unionByName(confirmed(more, sets, similar))), "neardup_components")
     node = classes.join(found, "_node", "left").select(
         "_set_a", "_set_b", F.coalesce("_component", "_node").alias("_component")
     )
@@ -221,27 +219,71 @@ def near_duplicates(
     return result.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def without_near_duplicates(
+    docs: DataFrame, words: int = SHINGLE_WORDS, similar: int = SIMILAR, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One document of each component, the one with the least key, with all columns as they were.
+
+    Rows with null keys stay; of rows that repeat a key one stays.
+    """
+    found = near_duplicates(docs, words, similar, key, text)
+    found = stage(found.where(F.col(key).isNotNull()), "neardup_found")
+    dropped = stage(found.where("NOT kept").select(F.col(key).alias("_id")).distinct(), "neardup_dropped")
+    left = among(docs, key, dropped, "left_anti")
+    repeated = stage(found.groupBy(F.col(key).alias("_id")).count().where("count > 1").select("_id"), "neardup_repeated")
+    if repeated.isEmpty():
+        return left
+    once = among(left, key, repeated).dropDuplicates([key])
+    return among(left, key, repeated, "left_anti").unionByName(once)
+
+
 def _shared_keys(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges between the classes of rows that have one key and different texts."""
     heads = classes.select(F.col("_node").alias("_key"))
     return rows.join(heads, "_key", "left_semi").select(F.col("_key").alias("_a"), F.col("_node").alias("_b")).distinct()
 
 
-def _across(shared: DataFrame, found: DataFrame, tried: DataFrame, similar: int) -> DataFrame:
-    """Pairs of bucket members in different components that no edge has tried and whose sizes allow it."""
-    placed = shared.join(found, "_node", "left").select(
-        "_bucket", "_node", "_n", F.coalesce("_component", "_node").alias("_component")
-    )
+def _across(shared: DataFrame, found: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Pairs of nodes in different components that can still be similar.
+
+    Only buckets with several components leave such pairs. Their nodes' shingles are ordered by how few of
+    these nodes hold them. Of two similar sets the first shingle in common leaves enough behind it on both
+    sides, so it is among the first few of each, and its place there rules out nearly all other pairs.
+    In a group of nodes with one shingle, those of the commonest component are not compared among themselves.
+    """
+    placed = shared.join(found, "_node", "left").select("_bucket", "_node", F.coalesce("_component", "_node").alias("_component"))
     several = (
         placed.groupBy("_bucket")
         .agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"))
         .where("_low <> _high")
     )
-    placed = stage(placed.join(several.select("_bucket"), "_bucket"), "neardup_open")
-    other = placed.select(
-        "_bucket", F.col("_node").alias("_a"), F.col("_n").alias("_n_a"), F.col("_component").alias("_component_a")
+    nodes = stage(placed.join(several.select("_bucket"), "_bucket").select("_node", "_component").distinct(), "neardup_open")
+    held = stage(
+        sets.dropDuplicates(["_node"]).join(nodes, "_node")
+        .select("_node", "_component", F.size("_set").alias("_n"), F.explode("_set").alias("_shingle")),
+        "neardup_open_shingles",
+    )
+    holders = held.groupBy("_shingle").agg(F.count("*").alias("_holders"))
+    place = F.row_number().over(Window.partitionBy("_node").orderBy("_holders", "_shingle")) - 1
+    first = (
+        held.join(holders, "_shingle")
+        .withColumn("_place", place)
+        .where((F.col("_holders") > 1) & (100 * (F.col("_n") - F.col("_place")) >= similar * F.col("_n")))
+        .select("_shingle", "_node", "_component", "_n", "_place")
+    )
+    first = stage(first, "neardup_first_shingles")
+    commonest = (
+        first.groupBy("_shingle", "_component").agg(F.count("*").alias("_rows"))
+        .groupBy("_shingle").agg(F.max_by("_component", F.struct("_rows", "_component")).alias("_main"), F.count("*").alias("_parts"))
+        .where("_parts > 1").select("_shingle", "_main")
+    )
+    open_ = first.join(commonest, "_shingle")
+    left = open_.where("_component <> _main").select(
+        "_shingle", *(F.col(name).alias(f"{name}_a") for name in ("_node", "_component", "_n", "_place"))
+    )
+    enough = similar * (F.col("_n") + F.col("_n_a"))
+    can = ((100 + similar) * (F.col("_n") - F.col("_place")) >= enough) & (
+        (100 + similar) * (F.col("_n_a") - F.col("_place_a")) >= enough
     )
-    near = (F.least("_n", "_n_a") * 100 >= F.greatest("_n", "_n_a") * similar) & (F.col("_a") < F.col("_node"))
-    pairs = placed.join(other, "_bucket").where((F.col("_component") != F.col("_component_a")) & near)
-    pairs = pairs.select("_a", F.col("_node").alias("_b")).distinct()
-    return pairs.join(tried, ["_a", "_b"], "left_anti")
+    pairs = left.join(open_, "_shingle").where((F.col("_component") != F.col("_component_a")) & can)
+    return pairs.select(F.least("_node", "_node_a").alias("_a"), F.greatest("_node", "_node_a").alias("_b")).distinct()
