@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import extraction, mixing, neardup, packing, pii, quality, sharding, topk, toxicity
+from themeloom.llm import extraction, mixing, neardup, packing, pii, quality, scoring, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_robust_outliers(spark, folder):
     return quality.quality_verdicts(_table(spark, folder, "documents"))
 
 
+def op6_attention_scores(spark, folder):
+    return scoring.language_scores(_table(spark, folder, "documents"))
+
+
 def op7_counterfactual_toxicity(spark, folder):
     return toxicity.scored_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op3_stratified_shards": op3_stratified_shards,
     "op4_surrogate_entities": op4_surrogate_entities,
     "op5_robust_outliers": op5_robust_outliers,
+    "op6_attention_scores": op6_attention_scores,
     "op7_counterfactual_toxicity": op7_counterfactual_toxicity,
     "op8_exact_top_scores": op8_exact_top_scores,
     "op9_best_fit_packing": op9_best_fit_packing,
