@@ -8,6 +8,7 @@ that names none gets two different ones), and the squared difference of their sc
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themeloom.llm.shared import WORD_PATTERN, text_slices
+from themeloom.llm.shared import WORD_PATTERN, fresh, text_slices
 from themeloom.staging import stage
 
 # Names of groups that are exchanged for one another.
@@ -32,11 +33,13 @@ IDENTITY_TERMS = (
 )
 THRESHOLD = 0.7
 #: Most labelled documents of each class that training sees.
-PER_CLASS = 2000
+PER_CLASS = 1500
 #: Most features with a weight, by how clearly they mark toxic documents.
 MOST_FEATURES = 5000
 #: Least standard score of a feature's share among toxic documents against clean ones.
-CLEAR = 5.0
+CLEAR = 4.0
+#: Least number of toxic documents that show a feature.
+LEAST = 2
 PREFIXES = (4, 5, 6)
 EDGES = ".,;:!?\"'()[]*#%&$|<>"
 PENALTY, RIDGE = 1.0, 1e-5
@@ -90,7 +93,7 @@ def clear_features(texts: Sequence[set[str]], labels: np.ndarray) -> list[str]:
     for feature, n in counts[1].items():
         p = (n + counts[0][feature] + 1) / (toxic + clean + 2)
         score = (n / toxic - counts[0][feature] / clean) / np.sqrt(p * (1 - p) * (1 / toxic + 1 / clean))
-        if n >= 3 and score >= CLEAR:
+        if n >= LEAST and score >= CLEAR:
             clear.append((-score, feature))
     return [feature for _, feature in sorted(clear)[:MOST_FEATURES]]
 
@@ -115,6 +118,8 @@ def train(texts: Sequence[set[str]], labels: np.ndarray, seed: int = 3) -> Class
             other.append({IDENTITY_TERMS[b]})
     rows, left, right = columns(texts), columns(named), columns(other)
     n, pairs, size = max(1, len(texts)), max(1, len(named)), len(features)
+    # both classes weigh the same, however many of each there are
+    weigh = np.where(labels == 1, 0.5 / max(1, int(labels.sum())), 0.5 / max(1, int((labels == 0).sum())))
     weights, bias = np.zeros(size), 0.0
     moving, shift = np.zeros(size), 0.0
 
@@ -126,28 +131,31 @@ def train(texts: Sequence[set[str]], labels: np.ndarray, seed: int = 3) -> Class
 
     swapped = np.bincount(left[1], minlength=size) + np.bincount(right[1], minlength=size)
     width = np.bincount(rows[0], minlength=n).max(initial=1)
-    step = RATE / (np.bincount(rows[1], minlength=size) / n * np.sqrt(width) / 4 + 4 * PENALTY * swapped / pairs + RIDGE)
+    step = RATE / (per_feature(rows, weigh) * np.sqrt(width) / 4 + 4 * PENALTY * swapped / pairs + RIDGE)
     for _ in range(STEPS if len(texts) else 0):
         wrong = 1 / (1 + np.exp(-np.clip(total(rows, weights, n) + bias, -30, 30))) - labels
+        wrong = wrong * weigh
         apart = 2 * PENALTY / pairs * (total(left, weights, pairs) - total(right, weights, pairs))
-        slope = per_feature(rows, wrong) / n + per_feature(left, apart) - per_feature(right, apart) + RIDGE * weights
+        slope = per_feature(rows, wrong) + per_feature(left, apart) - per_feature(right, apart) + RIDGE * weights
         moving = MOMENTUM * moving - step * slope
-        shift = MOMENTUM * shift - RATE * wrong.mean()
+        shift = MOMENTUM * shift - RATE * wrong.sum()
         weights += moving
         bias += shift
     return Classifier({f: float(w) for f, w in zip(features, weights, strict=True) if abs(w) > 1e-6}, float(bias))
 
 
 def _word_sets(docs: DataFrame) -> DataFrame:
-    """``_label, _words`` of ``_label, _text``."""
+    """``_key, _label, _words`` of ``_key, _label, _text``."""
+    schema = T.StructType([*docs.schema.fields[:2], T.StructField("_words", T.ArrayType(T.StringType()))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in text_slices(batch.column(1)):
+            for first, texts in text_slices(batch.column(2)):
                 words = pa.array([sorted(plain_words(t)) for t in texts], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), words], ["_label", "_words"])
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), words], schema.names)
 
-    return docs.mapInArrow(split, "_label int, _words array<string>")
+    return docs.mapInArrow(split, schema)
 
 
 def fitted(
@@ -170,20 +178,26 @@ def fitted(
         "toxicity_sample",
     )
     found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")
-    rows = sorted((int(r["_label"]), r["_words"]) for r in _word_sets(found.select("_label", "_text")).collect())
-    return train([set(words) for _, words in rows], np.array([y for y, _ in rows], dtype=float))
+    rows = []
+    for row in _word_sets(found.select("_key", "_label", "_text")).toLocalIterator():
+        rows.append((row["_key"], row["_label"], {sys.intern(word) for word in row["_words"]}))
+    rows.sort(key=lambda r: (r[1], r[0], sorted(r[2])))
+    return train([words for *_, words in rows], np.array([y for _, y, _ in rows], dtype=float))
 
 
 def toxicity_scores(
     docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """All columns of ``docs`` but with ``_score`` and ``_predicted`` at the end.
+    """All columns of ``docs``, and behind them the score and the prediction.
 
     Null and empty texts are scored as texts without words. Labels are not read.
     """
     weights, bias = classifier.weights, classifier.bias
     at = docs.columns.index(text)
-    added = [T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())]
+    added = [
+        T.StructField(fresh("score", docs.columns), T.DoubleType()),
+        T.StructField(fresh("predicted", docs.columns), T.IntegerType()),
+    ]
     schema = T.StructType([*docs.schema.fields, *added])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,12 +218,12 @@ def scored_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     """
     classifier = fitted(docs, labels, key, text, **settings)
     given = docs.select(F.col(key), F.col(text).alias("_text"))
-    return toxicity_scores(given, classifier, key, "_text").select(
-        key, held_out(key).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted")
-    )
+    scored = toxicity_scores(given, classifier, key, "_text")
+    return scored.select(key, held_out(key).alias("held_out"), *(F.col(name) for name in scored.columns[2:]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The documents that are not predicted toxic, with their columns as they were."""
     classifier = fitted(docs, labels, key, text, **settings)
-    return toxicity_scores(docs, classifier, key, text).where("_predicted = 0").select(*docs.columns)
+    scored = toxicity_scores(docs, classifier, key, text)
+    return scored.where(F.col(scored.columns[-1]) == 0).select(*docs.columns)
