@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom.llm.labelled_pages import labelled_pages
+from themeloom.llm.shared import fresh
 
 # Elements of HTML by what they do to text.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "select", "textarea", "button", "audio", "video"}
@@ -28,6 +29,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SPACES = re.compile(r"\s+")
+#: A tag that the page ends in the middle of.
+CUT_TAG = re.compile(r"<[/!A-Za-z][^<>]*$")
 NAME_PART = re.compile(r"[a-z]+")
 LABELS = ("boilerplate", "main")
 RIDGE, STEPS, RATE = 0.02, 300, 1.0
@@ -137,7 +140,7 @@ class PageBlocks(HTMLParser):
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     reader = PageBlocks()
-    reader.feed(page)
+    reader.feed(CUT_TAG.sub("", page))
     reader.close()
     return reader.blocks
 
@@ -276,7 +279,7 @@ def main_text(page: str, chain: Chain) -> str:
 
 
 def extracted_text(pages: DataFrame, chain: Chain | None = None, html_column: str = "html") -> DataFrame:
-    """All columns of ``pages`` and ``_text``, the main text of the whole page.
+    """All columns of ``pages``, and behind them the main text of the whole page.
 
     Null and empty pages have an empty text, and so have pages without a main block. Repeated rows and
     columns of any name pass through; an empty table gives no rows.
@@ -284,7 +287,7 @@ def extracted_text(pages: DataFrame, chain: Chain | None = None, html_column: st
     chain = chain or train(labelled_pages())
     emit, move = chain.emit, chain.move
     at = pages.columns.index(html_column)
-    schema = T.StructType([*pages.schema.fields, T.StructField("_text", T.StringType())])
+    schema = T.StructType([*pages.schema.fields, T.StructField(fresh("text", pages.columns), T.StringType())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Chain(emit, move)
@@ -299,4 +302,5 @@ def page_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html_co
     """``key, url, text, n_chars`` for every page."""
     given = pages.select(F.col(key), F.col(url), F.col(html_column).alias("_html"))
     out = extracted_text(given, html_column="_html")
-    return out.select(key, url, F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+    text = F.col(out.columns[-1])
+    return out.select(key, url, text.alias("text"), F.length(text).cast("long").alias("n_chars"))

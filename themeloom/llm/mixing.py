@@ -222,10 +222,6 @@ def mixture(
     return Mixture(placed, pieces)
 
 
-def _hashed(*columns: str):
-    return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-
-
 def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """How much of each row the mixture takes: ``key, size, source_size, target, taken``, all in words.
 
@@ -236,7 +232,7 @@ def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     """
     plain = docs.select(
         F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(text).alias("_size"),
-        F.xxhash64(F.lit(settings.get("seed", SEED)), _hashed(key), F.col(text)).alias("_hash"),
+        F.xxhash64(F.lit(settings.get("seed", SEED)), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text)).alias("_hash"),
     )
     rows = stage(plain.withColumn("_row", F.monotonically_increasing_id()), "mixing_input")
     mix = mixture(rows.select("_row", "_hash", "_source", "_size"), **settings)
@@ -261,24 +257,26 @@ def mixed_documents(
     in the mixture.
     """
     names = docs.columns
-    staged = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mixing_documents")
+    whole_row = F.struct(*(F.col(f"`{name}`") for name in names)).alias("_doc")
+    staged = stage(docs.select(whole_row, F.monotonically_increasing_id().alias("_row")), "mixing_documents")
+    words, wanted = F.col(f"_doc.{text}"), F.col(f"_doc.{key}")
     rows = staged.select(
-        "_row", F.col(source).alias("_source"), word_count(text).alias("_size"),
-        F.xxhash64(F.lit(settings.get("seed", SEED)), _hashed(key), F.col(text)).alias("_hash"),
+        "_row", F.col(f"_doc.{source}").alias("_source"), word_count(words).alias("_size"),
+        F.xxhash64(F.lit(settings.get("seed", SEED)), F.coalesce(wanted.cast("string"), F.lit("")), words).alias("_hash"),
     )
     mix = mixture(stage(rows, "mixing_input"), **settings)
     spans = F.sort_array(F.collect_list(F.struct("_from", "_words")))
     taken = mix.pieces.groupBy("_row", "_pass").agg(spans.alias("_spans"), F.sum("_words").alias("_taken"))
     joined = staged.join(taken, "_row")
-    whole = F.col("_taken") == word_count(text)
+    whole = F.col("_taken") == word_count(words)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else cut_words(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    part = cut(F.when(~whole, F.col(text)), F.when(~whole, F.col("_spans")))
-    return joined.withColumn("_text", F.when(whole, F.col(text)).otherwise(part)).select(
-        *(F.col("_text").alias(name) if name == text else F.col(name) for name in names)
+    part = cut(F.when(~whole, words), F.when(~whole, F.col("_spans")))
+    return joined.withColumn("_text", F.when(whole, words).otherwise(part)).select(
+        *(F.col("_text").alias(name) if name == text else F.col(f"_doc.`{name}`").alias(name) for name in names)
     )
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themeloom.llm.shared import text_slices
+from themeloom.llm.shared import fresh, text_slices
 from themeloom.staging import stage
 
 DEFAULT_KEY = "surrogates"
@@ -346,7 +346,7 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text",
     """
     names, at = docs.columns, docs.columns.index(text)
     retries, n = retried(docs.select(F.col(text).alias("_text")), key)
-    added = [T.StructField(f"n_{kind}", T.LongType()) for kind in KINDS] if counts else []
+    added = [T.StructField(fresh(f"n_{kind}", names), T.LongType()) for kind in KINDS] if counts else []
     schema = T.StructType([*docs.schema.fields, *added])
     spark = docs.sparkSession
     if n <= BROADCAST_RETRIES:
@@ -379,7 +379,8 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text",
 
 def _with_attempts(docs: DataFrame, retries: DataFrame, text: str) -> DataFrame:
     """``docs`` and the retried entities of each text: ``_attempts array<struct<kind, value, attempt>>``."""
-    staged = stage(docs.withColumn("_pii_row", F.monotonically_increasing_id()), "pii_rows")
+    row = fresh("_pii_row", docs.columns)
+    staged = stage(docs.withColumn(row, F.monotonically_increasing_id()), "pii_rows")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,14 +393,16 @@ def _with_attempts(docs: DataFrame, retries: DataFrame, text: str) -> DataFrame:
                 rows, schema=pa.schema([("_pii_row", pa.int64()), ("_kind", pa.string()), ("_value", pa.string())])
             )
 
-    held = staged.select("_pii_row", text).mapInArrow(find, "_pii_row long, _kind string, _value string")
+    held = staged.select(F.col(row).alias("_pii_row"), text).mapInArrow(find, "_pii_row long, _kind string, _value string")
     entry = F.struct(F.col("_kind").alias("kind"), F.col("_value").alias("value"), F.col("_attempt").alias("attempt"))
-    per_row = held.hint("merge").join(retries, ["_kind", "_value"]).groupBy("_pii_row").agg(F.collect_list(entry).alias("_attempts"))
-    return staged.join(per_row, "_pii_row", "left").select(*docs.columns, "_attempts")
+    attempts = fresh("_attempts", docs.columns)
+    per_row = held.hint("merge").join(retries, ["_kind", "_value"]).groupBy(F.col("_pii_row").alias(row))
+    per_row = per_row.agg(F.collect_list(entry).alias(attempts))
+    return staged.join(per_row, row, "left").select(*docs.columns, attempts)
 
 
 def replaced_documents(docs: DataFrame, key: str = DEFAULT_KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_entities``, counts per kind, and the whole text with surrogates."""
     out = with_surrogates(docs.select(doc_id, text), key, text, counts=True)
-    total = sum((F.col(f"n_{kind}") for kind in KINDS), F.lit(0))
+    total = sum((F.col(f"n_{kind}") for kind in KINDS), F.lit(0).cast("long"))
     return out.select(doc_id, total.alias("n_entities"), *(f"n_{kind}" for kind in KINDS), text)
