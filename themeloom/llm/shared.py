@@ -25,6 +25,14 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """A column name like ``name`` that is not among ``taken``, whatever their case."""
+    taken = {column.lower() for column in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def word_count(text: str | Column = "text") -> Column:
     """Number of words as a long; 0 for null."""
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
