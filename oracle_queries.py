@@ -86,8 +86,10 @@ class Chain:
         forms = ", ".join(f"('{form}', '{lemma}')" for form, lemma in irregular_forms().items())
         rule = """CASE
           WHEN tok LIKE '%ies' AND length(tok) > 4 THEN tok[:-4] || 'y'
-          WHEN (tok LIKE '%sses' OR tok LIKE '%shes' OR tok LIKE '%ches' OR tok LIKE '%xes')
-            AND length(tok) > 4 THEN tok[:-3]
+          WHEN regexp_matches(tok, '(sses|shes|ches|uses|xes|oes)$') AND length(tok) > 4
+            AND NOT regexp_matches(tok, '[ao]uses$')
+            AND NOT regexp_matches(tok, '^(ab|acc|am|exc|f|m|ref|re|mis|conf|inf|diff)?uses$')
+            AND tok NOT IN ('toes', 'shoes', 'foes', 'woes', 'canoes', 'does') THEN tok[:-3]
           WHEN tok LIKE '%s' AND tok[-2:] NOT IN ('ss', 'us', 'is') AND length(tok) > 3 THEN tok[:-2]
           ELSE tok END"""
         rows = (

@@ -49,3 +49,27 @@ def test_user_worker_is_made_once_per_task(docs_of, tokens_of):
 
     docs = docs_of(["a", "b"], ["c"], []).coalesce(1)
     assert tokens_of(lem.lemmatised_by(docs, make)) == {0: ["a1", "b1"], 1: ["c2"], 2: []}
+
+
+PAIRS = {
+    "series": "series", "species": "species", "news": "news", "always": "always", "perhaps": "perhaps",
+    "texas": "texas", "kansas": "kansas", "thomas": "thomas", "james": "james", "bias": "bias", "alias": "alias",
+    "analyses": "analysis", "indices": "index", "goes": "go", "buses": "bus", "viruses": "virus", "causes": "cause",
+    "houses": "house", "uses": "use", "excuses": "excuse", "shoes": "shoe", "potatoes": "potato", "statuses": "status",
+    "wolves": "wolf", "data": "datum", "physics": "physics", "claims": "claim", "ties": "tie",
+}
+
+
+def test_words_have_their_real_lemmas(docs_of, tokens_of):
+    assert tokens_of(lem.lemmatised(docs_of(list(PAIRS))))[0] == list(PAIRS.values())
+    assert lem.table_worker()(list(PAIRS)) == list(PAIRS.values())
+
+
+@pytest.mark.parametrize("in_plan, broadcast", [(5_000, 5_000), (1, 5_000), (0, 0)])
+def test_repeated_forms_and_keys_give_one_answer(spark, monkeypatch, in_plan, broadcast):
+    monkeypatch.setattr(lem, "IN_PLAN_FORMS", in_plan)
+    monkeypatch.setattr(lem, "BROADCAST_FORMS", broadcast)
+    forms = spark.createDataFrame([("saw", "see2"), ("saw", "see"), ("was", "be")], "form string, lemma string")
+    docs = spark.createDataFrame([(1, ["saw", "x"]), (1, ["x", "was"]), (1, [])], "doc_id long, tokens array<string>")
+    out = sorted(tuple(row.tokens) for row in lem.lemmatised(docs, forms).collect())
+    assert out == [(), ("see", "x"), ("x", "be")]

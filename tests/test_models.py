@@ -28,9 +28,8 @@ def test_prior_falls_and_sums_to_one():
 
 
 def test_training_plan():
-    assert lda.TrainingPlan.for_corpus(500, 20) == lda.TrainingPlan(1.0, 20)
-    assert lda.TrainingPlan.for_corpus(10_000, 20) == lda.TrainingPlan(0.2, 100)
-    assert lda.TrainingPlan.for_corpus(10**9, 20) == lda.TrainingPlan(0.05, 400)
+    assert lda.TrainingPlan.for_passes(20) == lda.TrainingPlan(0.2, 100)
+    assert lda.TrainingPlan.for_passes(20, 0.05) == lda.TrainingPlan(0.05, 400)
 
 
 def test_vectors_sum_to_one_and_are_blank_without_known_words(corpus):

@@ -88,3 +88,14 @@ def test_stop_phrases_can_go_after_merging(docs_of, tokens_of):
     lists = [["a", "b", "x"]] * 60 + [[f"f{i}", f"g{i}"] for i in range(200)]
     settings = cp.CorpusSettings(stop_words=("a_b",), filter_after_phrases=True, threshold=1.0, trigram_min_count=1000)
     assert tokens_of(cp.phrase_tokens(docs_of(*lists), settings))[0] == ["x"]
+
+
+@pytest.mark.parametrize("in_plan, broadcast", [(1_000, 1_000), (0, 1_000), (0, 0)])
+def test_repeated_keys_and_odd_tokens_give_one_answer(spark, monkeypatch, in_plan, broadcast):
+    monkeypatch.setattr(phr, "IN_PLAN_PHRASES", in_plan)
+    monkeypatch.setattr(phr, "BROADCAST_PHRASES", broadcast)
+    rows = [(1, ["a", "b", "c"]), (1, ["c", "a", "b"]), (2, ["x\x01y", "z", "", "b"]), (2, ["x", "y\x01z"])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    merged = phr.apply_phrases(docs, model_of(spark, ("a", "b"), ("x", "y\x01z")))
+    out = sorted(tuple(row.tokens) for row in merged.collect())
+    assert out == [("a_b", "c"), ("c", "a_b"), ("x\x01y", "z", "", "b"), ("x_y\x01z",)]

@@ -19,9 +19,8 @@ TOPIC_COUNTS = (14, 15, 16, 17, 18, 19, 20)
 PASSES = 20
 SEED = 42
 
-DOCS_PER_UPDATE = 2_000
-# Each update scans the corpus to draw its sample, so a large corpus takes larger, fewer updates.
-SMALLEST_SAMPLE = 0.05
+#: Share of the corpus that one update draws, the same at every size. Each update scans the corpus once.
+SAMPLE = 0.2
 
 
 @dataclass(frozen=True)
@@ -32,8 +31,7 @@ class TrainingPlan:
     updates: int
 
     @classmethod
-    def for_corpus(cls, n_docs: int, passes: int = PASSES) -> TrainingPlan:
-        sample = min(1.0, max(SMALLEST_SAMPLE, DOCS_PER_UPDATE / max(n_docs, 1)))
+    def for_passes(cls, passes: int = PASSES, sample: float = SAMPLE) -> TrainingPlan:
         return cls(sample, math.ceil(passes / sample))
 
 
@@ -64,13 +62,14 @@ def train_sweep(
     topic_counts: Sequence[int] = TOPIC_COUNTS,
     passes: int = PASSES,
     seed: int = SEED,
+    sample: float = SAMPLE,
 ) -> Iterator[tuple[int, LDAModel]]:
     """One model per topic count over the same count vectors.
 
     ``vectors`` should be a staged table: it is cached for all updates, and what an executor loses is
     read again.
     """
-    plan = TrainingPlan.for_corpus(vectors.count(), passes)
+    plan = TrainingPlan.for_passes(passes, sample)
     cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for k in topic_counts:

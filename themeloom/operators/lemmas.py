@@ -20,7 +20,7 @@ IRREGULAR = {
     "choose": "chose chosen", "come": "came", "deal": "dealt", "draw": "drew drawn",
     "drive": "drove driven", "eat": "ate eaten", "fall": "fell fallen", "feel": "felt",
     "fight": "fought", "find": "found", "flee": "fled", "foot": "feet", "forbid": "forbade forbidden",
-    "forget": "forgot forgotten", "get": "got gotten", "give": "gave given", "go": "went gone",
+    "forget": "forgot forgotten", "get": "got gotten", "give": "gave given", "go": "went gone goes",
     "good": "better best", "grow": "grew grown", "half": "halves", "hear": "heard", "hide": "hid hidden",
     "hold": "held", "keep": "kept", "knife": "knives", "know": "knew known", "lay": "laid",
     "lead": "led", "leaf": "leaves", "leave": "left", "lend": "lent", "life": "lives", "lose": "lost",
@@ -33,14 +33,31 @@ IRREGULAR = {
     "understand": "understood", "wear": "wore worn", "wife": "wives", "win": "won",
     "withdraw": "withdrew withdrawn", "withhold": "withheld", "woman": "women",
     "write": "wrote written",
+    "analysis": "analyses", "basis": "bases", "crisis": "crises", "hypothesis": "hypotheses", "thesis": "theses",
+    "diagnosis": "diagnoses", "index": "indices", "appendix": "appendices", "matrix": "matrices", "vertex": "vertices",
+    "criterion": "criteria", "phenomenon": "phenomena", "datum": "data", "wolf": "wolves", "thief": "thieves",
+    "calf": "calves", "loaf": "loaves", "ox": "oxen", "goose": "geese", "die": "dying dies", "lie": "lying lies",
+    "tie": "tying ties", "quiz": "quizzes",
 }
+
+# Words that end in -s and are their own lemma.
+INVARIANT = """
+series species news always perhaps besides afterwards towards hence thus alias atlas bias canvas christmas gas
+texas kansas arkansas dallas vegas thomas james charles jones williams davis harris lewis morris nicholas douglas
+lucas marcus brussels athens paris wales physics mathematics economics politics ethics statistics athletics
+headquarters means premises proceeds
+""".split()
+# Words in -uses and -oes whose singular keeps the e.
+KEEP_E = ("uses", "abuses", "accuses", "amuses", "excuses", "fuses", "muses", "refuses", "reuses", "misuses",
+          "confuses", "infuses", "diffuses", "toes", "shoes", "foes", "woes", "canoes", "does")
 IN_PLAN_FORMS = 1_000
 BROADCAST_FORMS = 2_000_000
 
 
 def irregular_forms() -> dict[str, str]:
-    """Surface form -> lemma."""
-    return {form: lemma for lemma, forms in IRREGULAR.items() for form in forms.split()}
+    """Surface form -> lemma; words that never change are their own lemma."""
+    irregular = {form: lemma for lemma, forms in IRREGULAR.items() for form in forms.split()}
+    return irregular | {word: word for word in INVARIANT}
 
 
 def regular_lemma(token: str) -> str:
@@ -48,7 +65,8 @@ def regular_lemma(token: str) -> str:
     return f"""CASE
         WHEN {token} LIKE '%ies' AND length({token}) > 4
             THEN concat(substring({token}, 1, length({token}) - 3), 'y')
-        WHEN (right({token}, 4) IN ('sses', 'shes', 'ches') OR {token} LIKE '%xes') AND length({token}) > 4
+        WHEN (right({token}, 4) IN ('sses', 'shes', 'ches', 'uses') OR right({token}, 3) IN ('xes', 'oes'))
+            AND length({token}) > 4 AND right({token}, 5) NOT IN ('auses', 'ouses') AND {token} NOT IN ({sql_list(KEEP_E)})
             THEN substring({token}, 1, length({token}) - 2)
         WHEN {token} LIKE '%s' AND right({token}, 2) NOT IN ('ss', 'us', 'is') AND length({token}) > 3
             THEN substring({token}, 1, length({token}) - 1)
@@ -60,8 +78,8 @@ def lemmatised(
 ) -> DataFrame:
     """Replace each token by its lemma, in place and in order. ``docs`` holds its key and tokens.
 
-    ``forms`` maps surface forms to lemmas: a mapping, or a table ``form, lemma`` with one row per
-    form. By default the built-in irregular forms apply. Tokens not found there get ``regular_lemma``
+    ``forms`` maps surface forms to lemmas: a mapping, or a table ``form, lemma``; of several lemmas of a
+    form the least counts. By default the built-in irregular forms apply. Tokens not found there get ``regular_lemma``
     unless switched off.
     """
     if forms is None:
@@ -85,7 +103,7 @@ def lemmatised(
 
 def _lemmatised_by_table(docs: DataFrame, table: DataFrame, regular: bool) -> DataFrame:
     """Use a table of any size. Of a large one only the forms that occur in the corpus matter."""
-    table = table.select(F.col("form").alias("word"), F.col("lemma").alias("value"))
+    table = table.groupBy(F.col("form").alias("word")).agg(F.min("lemma").alias("value")).where("word IS NOT NULL AND value IS NOT NULL")
     rows = table.limit(BROADCAST_FORMS + 1).toArrow()
     if rows.num_rows > BROADCAST_FORMS:
         vocabulary = docs.select(F.explode("tokens").alias("word")).distinct()
@@ -106,14 +124,17 @@ def _lemmatised_by_table(docs: DataFrame, table: DataFrame, regular: bool) -> Da
 
 def _lemmatised_by_join(docs: DataFrame, table: DataFrame, regular: bool) -> DataFrame:
     """Shuffle join for a table too large for every executor; tokens are put back in order."""
-    key = [name for name in docs.columns if name != "tokens"]
-    words = docs.select(*key, F.posexplode_outer("tokens").alias("pos", "word"))
+    names, key = docs.columns, [name for name in docs.columns if name != "tokens"]
+    # rows may share their key, so each has a number of its own, fixed by writing it
+    docs = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "lemma-rows")
+    words = docs.select("_row", *key, F.posexplode_outer("tokens").alias("pos", "word"))
     rule = F.expr(regular_lemma("word")) if regular else F.col("word")
-    placed = salted_join(words, table, "word", key, "left").select(
-        *key, F.struct("pos", F.coalesce("value", rule).alias("token")).alias("placed")
+    placed = salted_join(words, table, "word", ["_row"], "left").select(
+        "_row", *key, F.struct("pos", F.coalesce("value", rule).alias("token")).alias("placed")
     )
     ordered = F.filter(F.sort_array(F.collect_list("placed")), lambda p: p["pos"].isNotNull())
-    return placed.groupBy(*key).agg(F.transform(ordered, lambda p: p["token"]).alias("tokens"))
+    merged = placed.groupBy("_row", *key).agg(F.transform(ordered, lambda p: p["token"]).alias("tokens"))
+    return merged.select(*names)
 
 
 def lemmatised_by(docs: DataFrame, make_worker: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
@@ -140,7 +161,8 @@ def table_worker() -> Callable[[list[str]], list[str]]:
             return forms[token]
         if token.endswith("ies") and len(token) > 4:
             return token[:-3] + "y"
-        if token.endswith(("sses", "shes", "ches", "xes")) and len(token) > 4:
+        es = token.endswith(("sses", "shes", "ches", "uses", "xes", "oes")) and len(token) > 4
+        if es and not token.endswith(("auses", "ouses")) and token not in KEEP_E:
             return token[:-2]
         if token.endswith("s") and token[-2:] not in ("ss", "us", "is") and len(token) > 3:
             return token[:-1]

@@ -19,8 +19,6 @@ TRIGRAM_MIN_COUNT = 25
 THRESHOLD = 10.0
 DELIMITER = "_"
 
-_GAP = "\x01"  # stands between tokens in strings; no token holds it
-
 IN_PLAN_PHRASES = 5_000
 BROADCAST_PHRASES = 2_000_000
 # A pair with at least 1/HOT_SHARE of all occurrences is hot, so at most HOT_SHARE pairs are.
@@ -94,13 +92,14 @@ def apply_phrases(docs: DataFrame, model: PhraseModel, key: Sequence[str] = ("do
     A small set of phrases becomes part of the plan, a larger one is copied to each executor, and no
     rows move; one that does not fit there is joined.
     """
-    pair = F.concat_ws(_GAP, "a", "b").alias("word")
+    # the length says where the first token ends, whatever the tokens hold
+    pair = F.concat(F.length("a").cast("string"), F.lit(":"), "a", "b").alias("word")
     found = model.phrases.select(pair, F.lit("1").alias("value")).limit(BROADCAST_PHRASES + 1).toArrow()
     if not found.num_rows:
         return docs
     if found.num_rows > BROADCAST_PHRASES:
-        return _merged(_flagged_by_join(docs, model, key))
-    next_pair = f"zip_with(tokens, slice(tokens, 2, size(tokens)), (a, b) -> concat(a, '{_GAP}', b))"
+        return _merged(_flagged_by_join(docs, model))
+    next_pair = f"zip_with(tokens, slice(tokens, 2, size(tokens)), (a, b) -> concat(length(a), ':', a, b))"
     if found.num_rows > IN_PLAN_PHRASES:
         paired = looked_up(docs.withColumn("_pairs", F.expr(next_pair)), "_pairs", found, "_found")
         flags = F.array_join("_found", "", "0")
@@ -110,7 +109,7 @@ def apply_phrases(docs: DataFrame, model: PhraseModel, key: Sequence[str] = ("do
     return _merged(docs.withColumn("_flags", F.array_join(flags, "")))
 
 
-def _flagged_by_join(docs: DataFrame, model: PhraseModel, key: Sequence[str]) -> DataFrame:
+def _flagged_by_join(docs: DataFrame, model: PhraseModel) -> DataFrame:
     """Add ``_flags``, one character per token: 1 where the token starts an accepted pair.
 
     Hot pairs, accepted or not, are few by definition and are settled without a shuffle; the pairs
@@ -119,6 +118,9 @@ def _flagged_by_join(docs: DataFrame, model: PhraseModel, key: Sequence[str]) ->
     hot = model.frequent.filter(F.col("n") * HOT_SHARE >= model.total_pairs).select("a", "b")
     accepted = model.phrases.select("a", "b", F.lit(True).alias("accepted"))
     hot = hot.join(accepted, ["a", "b"], "left").select("a", "b", F.coalesce("accepted", F.lit(False)).alias("hot"))
+    names = docs.columns
+    # rows may share their key, so each has a number of its own, fixed by writing it
+    docs, key = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "phrase-rows"), ("_row",)
     pairs = docs.select(*key, F.posexplode(adjacent_pairs(F.col("tokens"))).alias("pos", "gram"))
     marked = pairs.select(*key, "pos", "gram.a", "gram.b").join(F.broadcast(hot), ["a", "b"], "left")
     hits = (
@@ -138,19 +140,20 @@ def _flagged_by_join(docs: DataFrame, model: PhraseModel, key: Sequence[str]) ->
         ),
     )
     flags = F.rpad(F.coalesce(F.array_join(gaps, ""), F.lit("")), F.size("tokens"), "0")
-    return docs.join(places, list(key), "left").withColumn("_flags", flags).drop("_places")
+    return docs.join(places, list(key), "left").select(*names, flags.alias("_flags"))
 
 
 def _merged(flagged: DataFrame) -> DataFrame:
     """Merge by flags. Replacing each ``1.`` in turn is the greedy, non-overlapping scan: it leaves 1
     where a phrase starts, 2 on its second token and 0 elsewhere."""
     marks = F.split(F.regexp_replace("_flags", "1.", "12"), "")
-    ends = F.zip_with(
+    joined = F.transform(
         "tokens",
-        marks,
-        lambda token, mark: F.concat(token, F.when(mark == "1", F.lit(DELIMITER)).otherwise(F.lit(_GAP))),
+        lambda token, i: F.when(F.get(marks, i) == "1", F.concat(token, F.lit(DELIMITER), F.get("tokens", i + 1)))
+        .when(F.get(marks, i) == "2", F.lit(None))
+        .otherwise(token),
     )
-    merged = F.split(F.rtrim(F.array_join(ends, ""), F.lit(_GAP)), _GAP)
+    merged = F.filter(joined, lambda token: token.isNotNull())
     untouched = F.instr("_flags", "1") == 0
     tokens = F.when(untouched, F.col("tokens")).otherwise(merged)
     return evaluated_once(flagged.withColumn("tokens", tokens).drop("_flags"))

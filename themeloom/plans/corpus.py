@@ -12,7 +12,7 @@ from themeloom.functions.stopwords import default_stop_words
 from themeloom.functions.text import CHUNK_WORDS, MIN_TOKENS, words_of, without_words
 from themeloom.operators import dictionary as dct
 from themeloom.operators import phrases as phr
-from themeloom.operators.documents import chunked, content_tokens, evaluated_once, with_enough_tokens
+from themeloom.operators.documents import chunked, content_tokens, evaluated_once, present_texts, with_enough_tokens
 from themeloom.operators.lemmas import lemmatised
 from themeloom.staging import stage
 
@@ -75,7 +75,7 @@ def stage_counts(documents: DataFrame, settings: CorpusSettings | None = None) -
     )
     kept = with_enough_tokens(lemmas, settings.min_tokens)
     final = with_enough_tokens(phrase_tokens(kept, settings), settings.min_tokens)
-    counted = [("read", tokens), ("tokens", lemmas), ("lemmas", kept), ("phrases", final)]
+    counted = [("read", present_texts(documents)), ("tokens", lemmas), ("lemmas", kept), ("phrases", final)]
     rows = [docs.agg(F.lit(name).alias("stage"), F.count("*").alias("n_docs")) for name, docs in counted]
     return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3])
 
