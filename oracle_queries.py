@@ -11,7 +11,7 @@ from themeloom.operators.lemmas import irregular_forms
 _BASE = sorted(set(sw.BASE_ENGLISH))
 _LEGAL = sorted(set(sw.legal_words()))
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-TOPIC_COUNTS = (14, 17, 20)
+TOPIC_COUNTS = (14, 15, 16, 17, 18, 19, 20)
 
 
 def _quoted(words) -> str:
@@ -201,6 +201,8 @@ def _text_queries() -> dict[str, str]:
         f"FROM ({_GAPPY}) WHERE text IS NOT NULL",
         "truncate_text": "SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest "
         "FROM (SELECT doc_id, substring(text, 1, 5000000) AS t FROM documents)",
+        "truncate_text_binding": "SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest "
+        "FROM (SELECT doc_id, substring(text, 1, 1000) AS t FROM documents)",
         "letters_only": "SELECT doc_id, md5(lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g'))) AS digest "
         "FROM documents",
         "text_chunks": f"""SELECT doc_id, chunk_no, string_agg(tok, ' ' ORDER BY pos) AS text FROM (
@@ -301,6 +303,7 @@ def _corpus_queries() -> dict[str, str]:
     chain = _kept()
     chain.dictionary("d", "k")
     out["dictionary"] = chain.select("SELECT * FROM d")
+    out["dictionary_keep_terms"] = chain.select("SELECT * FROM d WHERE term_id < 40")
     out["dictionary_size"] = chain.select("SELECT count(*)::BIGINT AS n_terms FROM d")
     out["bag_of_words"] = chain.select(
         "SELECT doc_id, term_id, count(*)::BIGINT AS n FROM k JOIN d ON tok = term GROUP BY ALL"
@@ -334,6 +337,39 @@ def _corpus_queries() -> dict[str, str]:
     return out
 
 
+def _model_facts() -> dict[str, str]:
+    """What is known of any model's output without training it."""
+    chain = Chain()
+    chain.prepared("f")
+    chain.dictionary("d", "f")
+    docs = "SELECT DISTINCT doc_id FROM f"
+    ranges = ", ".join(f"true AS in_range_k{k}" for k in TOPIC_COUNTS)
+    counts = ", ".join(map(str, TOPIC_COUNTS))
+    return {
+        "model_fit_facts": chain.select(
+            "SELECT 14 AS k, (SELECT count(*) FROM d)::BIGINT AS vocabulary, true AS negative, true AS positive"
+        ),
+        "model_vectors_facts": chain.select(
+            "SELECT doc_id, 14 AS n_topics, CASE WHEN count(term) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS total "
+            "FROM f LEFT JOIN d ON tok = term GROUP BY doc_id"
+        ),
+        "model_words_facts": chain.select(
+            """SELECT t.i::INT AS topic, (r.i + 1)::INT AS rank, true AS in_dictionary
+            FROM range(14) t(i), range(10) r(i) WHERE r.i < (SELECT count(*) FROM d)"""
+        ),
+        "model_saved_facts": chain.select(f"SELECT doc_id, true AS same, true AS in_range FROM ({docs})"),
+        "model_sweep_facts": chain.select(
+            f"SELECT doc_id, lang, source, {ranges} FROM documents WHERE doc_id IN ({docs})"
+        ),
+        "model_evaluation_facts": chain.select(
+            f"SELECT unnest([{counts}]) AS k, (SELECT count(*) FROM ({docs}))::BIGINT AS n_docs"
+        ),
+        "chunk_topics_facts": "SELECT count(*)::BIGINT AS n_chunks, count(*)::BIGINT AS n_in_range FROM ("
+        + _chunk_query()
+        + ")",
+    }
+
+
 def _chunk_query() -> str:
     chain = Chain()
     chain.add("chunk", _text_chunks_with_key())
@@ -366,9 +402,14 @@ _VECTORS = "SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label FROM embedd
 _DOMINANT = "(list_position(v, list_max(v)) - 1)::INT AS topic, list_max(v) AS prob"
 
 
+def _folded(k: int) -> str:
+    """Entry j of k is the sum of the entries j, j + k, j + 2k and so on."""
+    return f"list_transform(range({k}), lambda j: list_reduce(v[j + 1:64:{k}], lambda a, b: a + b)) AS v"
+
+
 def _assignments() -> str:
     return " UNION ALL ".join(
-        f"SELECT doc_id, {k} AS k, {_DOMINANT} FROM (SELECT doc_id, v[1:{k}] AS v FROM ({_VECTORS}))"
+        f"SELECT doc_id, {k} AS k, {_DOMINANT} FROM (SELECT doc_id, {_folded(k)} FROM ({_VECTORS}))"
         for k in TOPIC_COUNTS
     )
 
@@ -435,9 +476,19 @@ def _metric_queries() -> dict[str, str]:
     out = {"valid_points": f"SELECT doc_id, label FROM ({_FLAWED}) WHERE {_VALID}"}
     for name in ("silhouette", "davies_bouldin", "calinski_harabasz"):
         out[name] = f"SELECT round({name}, 6) AS {name} FROM ({every})"
+    # with squared distances the mean over a cluster is that to its centroid plus the cluster's variance
+    out["squared_silhouette"] = f"""WITH p AS MATERIALIZED ({_VECTORS}),
+    size AS (SELECT label, count(*) AS n FROM p GROUP BY label),
+    gaps AS (SELECT a.doc_id, a.label AS own, b.label, sum(list_distance(a.v, b.v) ^ 2) AS total
+             FROM p a, p b GROUP BY ALL),
+    score AS (SELECT doc_id, own,
+        max(total / (n - 1)) FILTER (gaps.label = own AND n > 1) AS a,
+        min(total / n) FILTER (gaps.label <> own) AS b
+      FROM gaps JOIN size ON size.label = gaps.label GROUP BY ALL)
+    SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM score"""
     rows = []
     for k in TOPIC_COUNTS:
-        cut = f"SELECT doc_id, v[1:{k}] AS v, label FROM ({_FLAWED})"
+        cut = f"SELECT doc_id, {_folded(k)}, label FROM ({_FLAWED})"
         rows.append(f"SELECT {k} AS k, m.* FROM ({_metric_sql(f'SELECT * FROM ({cut}) WHERE {_VALID}')}) m")
     out["metric_table"] = (
         "SELECT k, round(silhouette, 4) AS silhouette, round(davies_bouldin, 4) AS davies_bouldin, "
@@ -532,7 +583,7 @@ _TOPIC_NUMBER = "(list_position(['de', 'en', 'es', 'fr'], topic) - 1)::INT AS to
 def _word_queries() -> dict[str, str]:
     chain = _language_terms()
     browser = _browser()
-    two, three = _coherence("'de', 'en'"), _coherence("'de', 'en', 'es'")
+    series = {2: "'de', 'en'", 3: "'de', 'en', 'es'", 4: "'de', 'en', 'es', 'fr'"}
     return {
         "top_words": chain.select(
             "SELECT topic, rank, term, round(weight, 9) AS weight FROM ranked WHERE rank <= 10"
@@ -554,8 +605,10 @@ def _word_queries() -> dict[str, str]:
         "topic_coherence": "SELECT topic, round(coherence, 6) AS coherence FROM ("
         + _coherence("'de', 'en', 'es', 'fr'")
         + ")",
-        "coherence_series": f"SELECT 2 AS k, round(avg(coherence), 6) AS coherence FROM ({two}) UNION ALL "
-        f"SELECT 3, round(avg(coherence), 6) FROM ({three})",
+        "coherence_series": " UNION ALL ".join(
+            f"SELECT {k} AS k, round(avg(coherence), 6) AS coherence FROM ({_coherence(names)})"
+            for k, names in series.items()
+        ),
         "topic_shares": browser.select(
             f"SELECT {_TOPIC_NUMBER}, round(freq, 6) AS freq, round(share, 9) AS share FROM shares"
         ),
@@ -567,7 +620,7 @@ def _word_queries() -> dict[str, str]:
             f""", scored AS (SELECT {_TOPIC_NUMBER}, lambda_ AS "lambda", term,
               lambda_ * ln(weight) + (1 - lambda_) * (ln(weight) - ln(share)) AS relevance
               FROM terms JOIN saliency USING (term)
-              CROSS JOIN (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS lambda_)),
+              CROSS JOIN (SELECT i * 0.01::DOUBLE AS lambda_ FROM range(101) t(i))),
             best AS (SELECT *, row_number() OVER (PARTITION BY topic, "lambda"
               ORDER BY round(relevance, 9) DESC, term)::INT AS rank FROM scored)
             SELECT topic, "lambda", rank, term, round(relevance, 6) AS relevance FROM best WHERE rank <= 30"""
@@ -577,5 +630,5 @@ def _word_queries() -> dict[str, str]:
 
 def oracle_queries() -> dict[str, str]:
     return (
-        _text_queries() | _corpus_queries() | _assignment_queries() | _metric_queries() | _word_queries()
+        _text_queries() | _corpus_queries() | _model_facts() | _assignment_queries() | _metric_queries() | _word_queries()
     )

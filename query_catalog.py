@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
+from pyspark.ml.clustering import LDAModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,10 @@ from themeloom.plans import modelling as md
 from themeloom.sources import readers, writers
 from themeloom.staging import stage, staged_path
 
-TOPIC_COUNTS = (14, 17, 20)
-TRAIN_PASSES = 2
+TOPIC_COUNTS = lda.TOPIC_COUNTS
 SETTINGS = cp.CorpusSettings()
+KEPT_TERMS = 40
+CUT_CHARS = 1_000
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -174,6 +176,14 @@ def truncate_text(spark, folder):
     )
 
 
+def truncate_text_binding(spark, folder):
+    """A bound inside the data: most texts are longer."""
+    cut = tx.truncate_text(F.col("text"), CUT_CHARS)
+    return _documents(spark, folder).select(
+        "doc_id", F.length(cut).cast("long").alias("n_chars"), F.md5(cut).alias("digest")
+    )
+
+
 def letters_only(spark, folder):
     return _texts(spark, folder).select("doc_id", F.md5(tx.letters_only(F.col("text"))).alias("digest"))
 
@@ -279,6 +289,12 @@ def dictionary(spark, folder):
     return dct.build_dictionary(stage(_kept(spark, folder), "docs"))
 
 
+def dictionary_keep_terms(spark, folder):
+    """The dictionary with a bound on its terms that binds."""
+    docs = stage(_kept(spark, folder), "docs")
+    return dct.build_dictionary(docs, keep_terms=KEPT_TERMS)
+
+
 def dictionary_size(spark, folder):
     return dictionary(spark, folder).agg(F.count("*").alias("n_terms"))
 
@@ -340,14 +356,17 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _folded(k: int) -> Column:
+    """Entry j of k is the sum of the array's entries j, j + k, j + 2k and so on."""
+    entry = f"aggregate(transform(sequence(j, size(vector) - 1, {k}), i -> vector[i]), 0D, (a, x) -> a + x)"
+    return F.expr(f"transform(sequence(0, {k - 1}), j -> {entry})").alias("vector")
+
+
 def _assignments(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of k topics are the first k entries of the arrays."""
+    """Vectors of k topics by folding all entries of the arrays."""
     points = _vectors(spark, folder)
     parts = [
-        topics.dominant_topics(points.select("doc_id", F.slice("vector", 1, k).alias("vector"))).withColumn(
-            "k", F.lit(k)
-        )
-        for k in TOPIC_COUNTS
+        topics.dominant_topics(points.select("doc_id", _folded(k))).withColumn("k", F.lit(k)) for k in TOPIC_COUNTS
     ]
     return reduce(DataFrame.unionByName, parts).select("doc_id", "k", "topic", "prob")
 
@@ -428,10 +447,15 @@ def calinski_harabasz(spark, folder):
     return cm.calinski_harabasz(profiles).select(F.round("calinski_harabasz", 6).alias("calinski_harabasz"))
 
 
+def squared_silhouette(spark, folder):
+    score = cm.squared_silhouette(_vectors(spark, folder))
+    return spark.createDataFrame([(round(score, 6),)], "silhouette double")
+
+
 def metric_table(spark, folder):
     points = _flawed(spark, folder)
     rows = [
-        cm.metric_row(points.select(F.slice("vector", 1, k).alias("vector"), "label"), k) for k in TOPIC_COUNTS
+        cm.metric_row(points.select(_folded(k), "label"), k) for k in TOPIC_COUNTS
     ]
     return cm.metric_report(reduce(DataFrame.unionByName, rows))
 
@@ -480,7 +504,7 @@ def coherence_series(spark, folder):
     terms = stage(_language_terms(spark, folder), "terms")
     scores = [
         coh.coherence_by_topic(docs, terms.filter(F.col("topic").isin(*names))).withColumn("k", F.lit(k))
-        for k, names in ((2, ("de", "en")), (3, ("de", "en", "es")))
+        for k, names in ((2, ("de", "en")), (3, ("de", "en", "es")), (4, ("de", "en", "es", "fr")))
     ]
     series = coh.coherence_series(reduce(DataFrame.unionByName, scores))
     return series.select("k", F.round("coherence", 6).alias("coherence"))
@@ -500,7 +524,7 @@ def salient_terms(spark, folder):
 def relevant_terms(spark, folder):
     terms, shares = _language_shares(spark, folder)
     saliency = stage(br.term_saliency(terms, shares), "saliency")
-    best = br.relevant_terms(terms, saliency, lambdas=(0.0, 0.25, 0.5, 0.75, 1.0))
+    best = br.relevant_terms(terms, saliency)
     return best.select("topic", "lambda", "rank", "term", F.round("relevance", 6).alias("relevance"))
 
 
@@ -513,59 +537,121 @@ def topic_map(spark, folder):
     return br.topic_map(br.topic_distances(_language_terms(spark, folder)))
 
 
-# Models (checked by row counts only: training is iterative)
+# Models. Training is iterative, so the queries named ..._facts give what SQL can know of the same output.
+
+_corpora: dict[tuple[str, str], md.Corpus] = {}
+_models: dict[tuple[str, str, int], LDAModel] = {}
 
 
 def _corpus(spark: SparkSession, folder: str) -> md.Corpus:
-    return md.build_corpus(cp.prepared_documents(_texts(spark, folder), SETTINGS), SETTINGS)
+    """The prepared corpus, once per application and folder."""
+    name = (spark.sparkContext.applicationId, folder)
+    if name not in _corpora:
+        _corpora[name] = md.build_corpus(cp.prepared_documents(_texts(spark, folder), SETTINGS), SETTINGS)
+    return _corpora[name]
+
+
+def _trained(spark: SparkSession, folder: str, *counts: int) -> dict[int, LDAModel]:
+    """A model per topic count; each is trained once per application and folder."""
+    app = spark.sparkContext.applicationId
+    missing = [k for k in counts if (app, folder, k) not in _models]
+    for k, model in lda.train_sweep(_corpus(spark, folder).vectors, missing) if missing else ():
+        _models[app, folder, k] = model
+    return {k: _models[app, folder, k] for k in counts}
 
 
-def _model(corpus: md.Corpus, k: int = 14):
-    return next(model for _, model in lda.train_sweep(corpus.vectors, (k,), TRAIN_PASSES))
+def _model(spark: SparkSession, folder: str) -> LDAModel:
+    return _trained(spark, folder, 14)[14]
 
 
 def model_fit(spark, folder):
     corpus = _corpus(spark, folder)
-    return lda.fit_report(_model(corpus), corpus.vectors, dct.token_total(corpus.dictionary), 14)
+    return lda.fit_report(_model(spark, folder), corpus.vectors, dct.token_total(corpus.dictionary), 14)
+
+
+def model_fit_facts(spark, folder):
+    fit = model_fit(spark, folder)
+    return fit.select("k", "vocabulary", (F.col("log_likelihood") < 0).alias("negative"), (F.col("log_perplexity") > 0).alias("positive"))
 
 
 def model_vectors(spark, folder):
-    corpus = _corpus(spark, folder)
-    return lda.topic_vectors(_model(corpus), corpus.vectors)
+    return lda.topic_vectors(_model(spark, folder), _corpus(spark, folder).vectors)
+
+
+def model_vectors_facts(spark, folder):
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return model_vectors(spark, folder).select(
+        "doc_id", F.size("vector").alias("n_topics"), F.round(total, 6).alias("total")
+    )
 
 
 def model_words(spark, folder):
     corpus = _corpus(spark, folder)
-    terms = stage(lda.topic_terms(_model(corpus), corpus.dictionary), "terms")
+    terms = stage(lda.topic_terms(_model(spark, folder), corpus.dictionary), "terms")
     return topics.top_words(terms)
 
 
+def model_words_facts(spark, folder):
+    known = _corpus(spark, folder).dictionary.select("term", F.lit(True).alias("in_dictionary"))
+    words = model_words(spark, folder).join(known, "term", "left")
+    return words.select("topic", "rank", F.coalesce("in_dictionary", F.lit(False)).alias("in_dictionary"))
+
+
 def model_saved(spark, folder):
-    corpus = _corpus(spark, folder)
     path = staged_path(spark, "model")
-    lda.save_model(_model(corpus), path)
-    return md.assignments(corpus, lda.load_model(path), 14)
+    lda.save_model(_model(spark, folder), path)
+    return md.assignments(_corpus(spark, folder), lda.load_model(path), 14)
+
+
+def model_saved_facts(spark, folder):
+    before = md.assignments(_corpus(spark, folder), _model(spark, folder), 14)
+    after = model_saved(spark, folder).select("doc_id", F.col("topic").alias("topic_after"))
+    return before.join(after, "doc_id").select(
+        "doc_id", (F.col("topic") == F.col("topic_after")).alias("same"), F.col("topic").between(-1, 13).alias("in_range")
+    )
 
 
 def model_sweep(spark, folder):
-    """Every step for two topic counts, with the assignments next to the documents."""
-    run = md.run_models(_corpus(spark, folder), TOPIC_COUNTS[:2], TRAIN_PASSES)
+    """Every step for all topic counts, with the assignments next to the documents."""
+    run = md.run_models(_corpus(spark, folder), TOPIC_COUNTS, trained=_trained(spark, folder, *TOPIC_COUNTS))
     return md.with_assignments(_documents(spark, folder).drop("text"), run)
 
 
+def model_sweep_facts(spark, folder):
+    wide = model_sweep(spark, folder)
+    return wide.select(
+        "doc_id", "lang", "source", *(F.col(f"topic_k{k}").between(-1, k - 1).alias(f"in_range_k{k}") for k in TOPIC_COUNTS)
+    )
+
+
 def model_evaluation(spark, folder):
-    corpus = _corpus(spark, folder)
-    models = dict(lda.train_sweep(corpus.vectors, TOPIC_COUNTS[:2], TRAIN_PASSES))
+    corpus, models = _corpus(spark, folder), _trained(spark, folder, *TOPIC_COUNTS)
     parts = [md.assignments(corpus, model, k) for k, model in models.items()]
     wide = topics.wide_assignments(reduce(DataFrame.unionByName, parts), sorted(models))
     return md.evaluate(stage(wide, "wide"), corpus, models)
 
 
-def chunk_topics(spark, folder):
+def model_evaluation_facts(spark, folder):
+    return model_evaluation(spark, folder).select("k", F.col("n_docs").cast("long").alias("n_docs"))
+
+
+def _chunk_assignments(spark: SparkSession, folder: str) -> DataFrame:
     chunks = cp.prepared_chunks(_texts(spark, folder), SETTINGS)
     corpus = md.build_corpus(chunks.drop("text"), SETTINGS, ("doc_id", "chunk_no"))
-    assigned = stage(md.assignments(corpus, _model(corpus), 14), "assignments")
-    return topics.topic_sizes(assigned)
+    (model,) = (model for _, model in lda.train_sweep(corpus.vectors, (14,)))
+    topic = md.assignments(corpus, model, 14).select("doc_id", "chunk_no", "topic")
+    return stage(chunks.select("doc_id", "chunk_no", "text").join(topic, ["doc_id", "chunk_no"]), "chunk-topics")
+
+
+def chunk_topics(spark, folder):
+    """The pieces' texts with their topics."""
+    return _chunk_assignments(spark, folder).select("text", "topic")
+
+
+def chunk_topics_facts(spark, folder):
+    return _chunk_assignments(spark, folder).agg(
+        F.count("*").alias("n_chunks"), F.sum(F.col("topic").between(-1, 13).cast("long")).alias("n_in_range")
+    )
 
 
 QUERIES = {
@@ -580,6 +666,7 @@ QUERIES = {
     "present_texts": present_texts,
     "original_index": original_index,
     "truncate_text": truncate_text,
+    "truncate_text_binding": truncate_text_binding,
     "strip_case_numbers": partial(_cleaned, tx.strip_case_numbers),
     "strip_reporter_cites": partial(_cleaned, tx.strip_reporter_cites),
     "strip_petition_header": partial(_cleaned, tx.strip_petition_header),
@@ -603,6 +690,7 @@ QUERIES = {
     "without_top_tokens": without_top_tokens,
     "document_frequency": document_frequency,
     "dictionary": dictionary,
+    "dictionary_keep_terms": dictionary_keep_terms,
     "dictionary_size": dictionary_size,
     "known_tokens": known_tokens,
     "bag_of_words": bag_of_words,
@@ -626,6 +714,7 @@ QUERIES = {
     "silhouette": silhouette,
     "davies_bouldin": davies_bouldin,
     "calinski_harabasz": calinski_harabasz,
+    "squared_silhouette": squared_silhouette,
     "metric_table": metric_table,
     "top_words": top_words,
     "topic_coherence": topic_coherence,
@@ -636,10 +725,17 @@ QUERIES = {
     "topic_distances": topic_distances,
     "topic_map": topic_map,
     "model_fit": model_fit,
+    "model_fit_facts": model_fit_facts,
     "model_vectors": model_vectors,
+    "model_vectors_facts": model_vectors_facts,
     "model_words": model_words,
+    "model_words_facts": model_words_facts,
     "model_saved": model_saved,
+    "model_saved_facts": model_saved_facts,
     "model_sweep": model_sweep,
+    "model_sweep_facts": model_sweep_facts,
     "model_evaluation": model_evaluation,
+    "model_evaluation_facts": model_evaluation_facts,
     "chunk_topics": chunk_topics,
+    "chunk_topics_facts": chunk_topics_facts,
 }

@@ -94,7 +94,8 @@ def prepared_chunks(
     settings = settings or CorpusSettings()
     key = ("doc_id", "chunk_no")
     chunks = chunked(documents, words_per_chunk)
-    docs = content_tokens(chunks, settings.stop_words, key)
+    # the text goes along in the staged tables; phrase passes do not read it
+    docs = content_tokens(chunks, settings.stop_words, (*key, "text"))
     docs = stage(with_enough_tokens(lemma_tokens(docs, settings), settings.min_tokens), "chunk-lemmas")
     stop_words = [*settings.stop_words, *[row.token for row in dct.top_tokens(docs, top).collect()]]
     settings = replace(settings, stop_words=stop_words)
@@ -104,4 +105,4 @@ def prepared_chunks(
     again = lemma_tokens(again, settings)
     again = stage(with_enough_tokens(again, settings.min_tokens), "chunk-tokens")
     merged = phrase_tokens(again, settings, key)
-    return stage(merged.join(chunks, list(key)).select(*key, "text", "tokens"), "chunks")
+    return stage(merged.select(*key, "text", "tokens"), "chunks")

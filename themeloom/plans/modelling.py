@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,6 +36,8 @@ def build_corpus(
 ) -> Corpus:
     """Dictionary and count vectors of prepared documents (a staged table)."""
     settings = settings or CorpusSettings()
+    if settings.keep_terms is None:
+        raise ValueError("a model's vocabulary goes through the driver: set keep_terms")
     dictionary = stage(
         dct.build_dictionary(docs, settings.no_below, settings.no_above, settings.keep_terms), "dictionary"
     )
@@ -69,11 +71,13 @@ def run_models(
     topic_counts: Sequence[int] = lda.TOPIC_COUNTS,
     passes: int = lda.PASSES,
     seed: int = lda.SEED,
+    trained: Mapping[int, LDAModel] | None = None,
 ) -> ModelRun:
-    """Train every topic count and collect words, assignments and coherence."""
+    """Train every topic count and collect words, assignments and coherence; ``trained`` models are taken as they are."""
     models, fits, words, assigned, coherence = {}, [], [], [], []
     n_tokens = dct.token_total(corpus.dictionary)
-    for k, model in lda.train_sweep(corpus.vectors, topic_counts, passes, seed):
+    sweep = trained.items() if trained else lda.train_sweep(corpus.vectors, topic_counts, passes, seed)
+    for k, model in sweep:
         terms = stage(lda.topic_terms(model, corpus.dictionary), f"terms-k{k}")
         models[k] = model
         fits.append(lda.fit_report(model, corpus.vectors, n_tokens, k))
