@@ -103,11 +103,13 @@ def with_assignments(documents: DataFrame, run: ModelRun, key: Sequence[str] = (
     return documents.join(wide, list(key))
 
 
-def evaluate(wide: DataFrame, corpus: Corpus, models: dict[int, LDAModel]) -> DataFrame:
+def evaluate(
+    wide: DataFrame, corpus: Corpus, models: dict[int, LDAModel], measure: str = "euclidean"
+) -> DataFrame:
     """Cluster metrics for every topic count that has both a column and a model.
 
     Tables must hold the same documents; they are never cut to a common length. A topic count that
-    fails stays as a row with its error.
+    fails stays as a row with its error. ``measure`` is that of the silhouette, see ``metric_row``.
     """
     require_alignment(wide, corpus.vectors, corpus.key)
     rows = []
@@ -116,7 +118,7 @@ def evaluate(wide: DataFrame, corpus: Corpus, models: dict[int, LDAModel]) -> Da
             vectors = lda.topic_vectors(models[k], corpus.vectors, corpus.key)
             labels = wide.select(*corpus.key, F.col(column).alias("label"))
             points = stage(vectors.join(labels, list(corpus.key)).select("vector", "label"), f"points-k{k}")
-            rows.append(cm.metric_row(points, k))
+            rows.append(cm.metric_row(points, k, measure))
         except Exception as failure:  # a failed topic count must not lose the others
             failed = [(k, None, None, None, None, f"{type(failure).__name__}: {failure}")]
             rows.append(wide.sparkSession.createDataFrame(failed, cm.METRICS))

@@ -20,16 +20,14 @@ def read_texts(
     path: str,
     text_col: str = "text",
     key: Sequence[str] = ("doc_id",),
-    batch_size: int | None = None,
 ) -> DataFrame:
     """Key and text of a Parquet table.
 
     A table with fewer splits than the session has cores is spread over them by key, since cleaning
     text is the costly part. A large table has enough splits and is read without a shuffle.
-    ``batch_size`` sets the rows per columnar batch, for very long texts.
+    The rows per columnar batch are the session's ``spark.sql.parquet.columnarReaderBatchSize``; lower it
+    there for very long texts.
     """
-    if batch_size is not None:
-        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", batch_size)
     texts = spark.read.parquet(path).select(*key, text_col)
     cores = spark.sparkContext.defaultParallelism
     return texts if texts.rdd.getNumPartitions() >= cores else texts.repartition(cores, *key)
