@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm.shared import WORD_PATTERN, bucket_bits, group_key, with_running_totals, word_count
+from themeloom.llm.shared import WORD_PATTERN, bucket_bits, freed_worker, group_key, with_running_totals, word_count
 from themeloom.staging import stage
 
 WEIGHTS = (5, 2, 1)
@@ -134,6 +134,7 @@ def _slots(spark: SparkSession, plan: list[tuple], seed: int) -> DataFrame:
     )
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        freed_worker()
         for frame in frames:
             for row in frame.to_dict("records"):
                 n, no = int(row["_blocks"]), int(row["_no"])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themeloom.llm.shared import chained, hashed_texts, scrambled
+from themeloom.llm.shared import chained, freed_worker, hashed_texts, scrambled
 from themeloom.staging import stage
 
 SHINGLE_WORDS = 5
@@ -82,6 +82,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     schema = T._parse_datatype_string(SIGNATURES)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed_worker()
         probes = probe_orders()
         for batch in batches:
             for first, sets in shingle_sets(batch.column(1), words):
@@ -106,6 +107,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """``_node, _set`` with all shingle hashes per row of ``_key, _text``."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed_worker()
         for batch in batches:
             for first, sets in shingle_sets(batch.column(1), words):
                 values = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))

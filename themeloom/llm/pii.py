@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themeloom.llm.shared import fresh, text_slices
+from themeloom.llm.shared import freed_worker, fresh, text_slices
 from themeloom.staging import stage
 
 DEFAULT_KEY = "surrogates"
@@ -279,6 +279,7 @@ def _entities(docs: DataFrame, key: str) -> DataFrame:
     """Entities of ``_text`` with their first surrogates, each once per batch."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed_worker()
         for batch in batches:
             seen = set()
             for _, texts in text_slices(batch.column(0)):
@@ -357,6 +358,7 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text",
         given = _with_attempts(docs, retries, text)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed_worker()
         for batch in batches:
             texts, tallies = batch.column(at), []
             known = shared.value if shared is not None else {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import sys
@@ -86,7 +87,7 @@ def with_running_totals(
     )
 
 
-def text_slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Position and texts of consecutive slices of about ``most_bytes``; null texts become empty."""
     sizes = texts.cast(pa.large_binary()).nbytes if len(texts) else 0
     step = max(1, int(len(texts) * most_bytes / max(1, sizes)))
@@ -159,7 +160,7 @@ class Texts:
         return np.searchsorted(self.rows, np.arange(self.n_rows + 1))
 
 
-def hashed_texts(texts: pa.Array, fold_case: bool = True, most_bytes: int = 4 << 20) -> Iterator[Texts]:
+def hashed_texts(texts: pa.Array, fold_case: bool = True, most_bytes: int = 1 << 20) -> Iterator[Texts]:
     """Slices of about ``most_bytes``; null texts count as empty, A-Z as a-z if ``fold_case``."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
@@ -184,3 +185,14 @@ def chained(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(1, n):
         result = scrambled(result * np.uint64(0xD6E8FEB86659FD93) + hashes[i : i + count])
     return result
+
+
+def freed_worker() -> None:
+    """Give back what an earlier task kept in this Python worker; called by tasks that do not use it."""
+    place = sys.modules.get("_themeloom_worker")
+    kept = [name for name in place.__dict__ if not name.startswith("__")] if place else []
+    for name in kept:
+        delattr(place, name)
+    if kept:
+        gc.collect()
+    pa.default_memory_pool().release_unused()

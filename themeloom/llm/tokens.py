@@ -16,7 +16,7 @@ from themeloom.llm.shared import WORD_PATTERN, kept_in_worker
 
 TOKENIZER = "word_bpe_49k.json"
 #: Entries per generation of the caches of words and of pieces; a worker holds two generations of each.
-CACHED_WORDS, CACHED_PIECES = 350_000, 400_000
+CACHED_WORDS, CACHED_PIECES = 150_000, 200_000
 #: White space for str.split, but not for the tokenizer.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")

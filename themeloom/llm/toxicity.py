@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themeloom.llm.shared import WORD_PATTERN, fresh, text_slices
+from themeloom.llm.shared import WORD_PATTERN, freed_worker, fresh, text_slices
 from themeloom.staging import stage
 
 # Names of groups that are exchanged for one another.
@@ -201,6 +201,7 @@ def toxicity_scores(
     schema = T.StructType([*docs.schema.fields, *added])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed_worker()
         model = Classifier(weights, bias)
         for batch in batches:
             scores = [model.score(plain_words(t)) for _, texts in text_slices(batch.column(at)) for t in texts]
