@@ -92,3 +92,50 @@ def test_many_retries_are_joined(spark, monkeypatch):
     monkeypatch.setattr(pii, "BROADCAST_RETRIES", -1)
     out = {r.doc_id: r.text for r in pii.with_surrogates(docs).collect()}
     assert out == {1: pii.replaced("at 10.0.0.1 and", pii.DEFAULT_KEY, {})[0], 2: "none", None: None}
+
+
+def settled(spark, texts, kind):
+    """Surrogates of all entities of a kind after the retries, by entity."""
+    retries, _ = pii.retried(spark.createDataFrame([(t,) for t in texts], "_text string").coalesce(4), "k")
+    attempts = {(r._kind, r._value): r._attempt for r in retries.collect()}
+    values = {(e.kind, pii.normal(e.kind, e.value)) for t in texts for e in pii.detected(t)}
+    return {v: pii.surrogate(k, v, "k", attempts.get((k, v), 0)) for k, v in values if k == kind}
+
+
+def test_more_persons_than_listed_names_are_told_apart(spark):
+    names = [a + b for a in ("Bra", "Cal", "Dor", "Fen", "Gil") for b in ("ton", "vin", "mer", "sky", "ras")]
+    texts = [f"then Mr {a} {b} said" for a in names for b in names] + [f"so Frau {a} {b} went" for a in names[:2] for b in names]
+    found = settled(spark, texts, "person")
+    assert len(found) == len(set(found.values())) == 675 and not set(found) & set(found.values())
+    assert all(new.split(" ")[0] == old.split(" ")[0] and len(new.split(" ")) == 3 for old, new in found.items())
+    assert all([e.value for e in pii.detected(f"then {new}, x")] == [new] for new in found.values())
+
+
+def test_forms_with_all_values_taken_get_longer(spark):
+    texts = [" ".join(f"mail {a}@{b}.co" for b in "abcdefghijklmnopqrstuvwxyz") for a in "abcdefghijklmnopqrstuvwxyz"]
+    found = settled(spark, texts, "email")
+    assert len(found) == len(set(found.values())) == 676 and not set(found) & set(found.values())
+    assert all([e.value for e in pii.detected(f"to {new} x")] == [new] for new in found.values())
+
+
+@pytest.mark.parametrize("kind,value", [(k, v) for k, v in ENTITIES if k != "person"])
+def test_late_attempts_are_longer_in_every_form(kind, value):
+    base = pii.normal(kind, value)
+    new = pii.surrogate(kind, base, "k", 40)
+    assert len(new) >= len(pii.surrogate(kind, base, "k", 0)) + 60
+    assert pii.normal(kind, pii.in_form_of(kind, new, value)) == new
+
+
+def test_values_without_letters_or_digits_are_no_entities():
+    for text in ("password=****", "token=....", "sk-________________", "+@-.com", "xoxb-----------"):
+        assert pii.detected(text) == [] and pii.replaced(text, "k", {})[0] == text
+    assert pii.detected("-----BEGIN PRIVATE KEY-----\n...\n-----END PRIVATE KEY-----") == []
+
+
+@pytest.mark.parametrize("value", ["密码密码", "كلمةالسر", "πωρτα", "ключёё", "пароль12", "ñandúé", "١٢٣٤٥", "さくらカナ"])
+def test_secrets_of_any_script_are_replaced(value):
+    (found,) = pii.detected(f"password={value} x")
+    new = pii.surrogate("secret", value, "k")
+    assert found.value == value and len(new) == len(value)
+    assert sum(a == b for a, b in zip(new, value)) < len(value) / 2
+    assert [pii.unicodedata.category(c) for c in new] == [pii.unicodedata.category(c) for c in value]

@@ -15,6 +15,8 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,8 @@ from themeloom.llm.shared import freed_worker, fresh, text_slices
 from themeloom.staging import stage
 
 DEFAULT_KEY = "surrogates"
-MOST_ROUNDS = 40
+#: So many attempts keep the length of an entity; each further one adds characters, so that values never run out.
+SAME_LENGTH_ATTEMPTS = 6
 #: So many retried entities go to every executor at most; beyond that documents are joined with them.
 BROADCAST_RETRIES = 200_000
 
@@ -43,6 +46,13 @@ FAMILY = {
     "cyrillic": ("Орлов", "Соколов", "Лебедев", "Морозов", "Волков", "Зайцев", "Павлов", "Беляев"),
     "greek": ("Νικολάου", "Γεωργίου", "Παππάς", "Αντωνίου"),
 }
+# Syllables of made-up family names by script.
+SYLLABLES = {
+    script: tuple(c + v for c in consonants for v in vowels)
+    for script, consonants, vowels in (
+        ("latin", "bdfgklmnprstvz", "aeiou"), ("cyrillic", "бвгдзклмнпрст", "аеиоу"), ("greek", "βγδζκλμνπρστ", "αειου"),
+    )
+}
 # Titles that say that a name follows, and the gender they say.
 TITLES = {
     "Mr": "m", "Mr.": "m", "Mrs": "f", "Mrs.": "f", "Ms": "f", "Ms.": "f", "Miss": "f", "Herr": "m", "Herrn": "m",
@@ -112,10 +122,26 @@ def _detected_in(text: str, start: int) -> list[Found]:
             kind = "card"
         if kind == "card" and not _passes_luhn(value):
             continue
+        if not any(c.isalnum() for part in _parts(kind, value)[1::2] for c in part):
+            continue
         found.append(Found(start + match.start(), start + match.end(), kind, value))
     return found
 
 
+def _parts(kind: str, value: str) -> tuple[str, ...]:
+    """A value cut into what stays and what is replaced, in turn; only letters and digits are replaced."""
+    if kind == "email":
+        name, domain = value.split("@", 1)
+        host, last = domain.rsplit(".", 1)
+        return "", name, "@", host, f".{last}"
+    if kind == "token":
+        head = re.match(r"(?:gh[pousr]_|sk-|xox[abprs]-|eyJ|)", value).group()
+        return head, value[len(head) :]
+    if kind == "private_key":
+        return re.match(r"(-----BEGIN [^-]*-----)([\s\S]*?)(-----END [^-]*-----)$", value).groups()
+    return "", value
+
+
 def normal(kind: str, value: str) -> str:
     """What counts as the same entity: case of addresses and separators of numbers do not matter."""
     if kind == "email":
@@ -178,11 +204,29 @@ def _same_form(value: str, stream: _Stream, hexadecimal: bool = False) -> str:
             out.append(stream.of("абвгдежзиклмнопрстуфхцчшщэюя"))
         elif "А" <= c <= "Я":
             out.append(stream.of("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"))
+        elif c.isalnum():
+            out.append(stream.of(_alike(c)))
         else:
             out.append(c)
     return "".join(out)
 
 
+@lru_cache(maxsize=4096)
+def _alike(c: str) -> str:
+    """Letters or digits of a character's script and class, from its page of 256; a-z where it is the only one."""
+    page, script, kind = ord(c) & ~0xFF, unicodedata.name(c, "").split(" ")[0], unicodedata.category(c)
+    found = [
+        x
+        for x in map(chr, range(max(page, 0x80), page + 0x100))
+        if unicodedata.category(x) == kind
+        and unicodedata.name(x, "").split(" ")[0] == script
+        and unicodedata.normalize("NFKC", x) == x
+        and len(x.upper()) == len(x.lower()) == 1
+        and x in (x.upper().lower(), x.lower().upper())
+    ]
+    return "".join(found) if len(found) > 1 else "abcdefghijklmnopqrstuvwxyz"
+
+
 def script_of(name: str) -> str:
     """Script of a name's first letter."""
     label = unicodedata.name(name[0], "LATIN").split()[0].lower()
@@ -194,16 +238,18 @@ def gender_of(given: str) -> str | None:
     return next((gender for (_, gender), names in GIVEN.items() if given in names), None)
 
 
-def _person(value: str, stream: _Stream) -> str:
+def _person(value: str, stream: _Stream, attempt: int) -> str:
     title, *names = value.split(" ")
     script = script_of(names[0])
     family = stream.of(FAMILY[script])
-    # more names than the lists hold: a second family name keeps distinct people apart
     if len(names) > 1:
         gender = TITLES.get(title) or gender_of(names[0]) or "m"
-        return f"{title} {stream.of(GIVEN[script, gender])} {family}"
-    other = _same_form(names[0][1:], stream)
-    return f"{title} {family}{other[:2].lower()}"
+        given = f"{stream.of(GIVEN[script, gender])} "
+    else:
+        given = ""
+        family += _same_form(names[0][1:], stream)[:2].lower()
+    # more names than the lists hold: made-up syllables, one more with each attempt, keep people apart
+    return f"{title} {given}{family}{''.join(stream.of(SYLLABLES[script]) for _ in range(attempt))}"
 
 
 def _card(digits: str, stream: _Stream) -> str:
@@ -220,18 +266,25 @@ def _iban(value: str, stream: _Stream) -> str:
 def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
     """Replacement of an entity in normal form: valid for its kind and of the same form."""
     stream = _Stream(key, kind, value, str(attempt))
-    if kind == "email":
-        name, domain = value.split("@", 1)
-        host, last = domain.rsplit(".", 1)
-        return f"{_same_form(name, stream)}@{_same_form(host, stream)}.{last}"
+    if kind == "person":
+        return _person(value, stream, attempt)
+    new = _of_same_length(kind, value, stream)
+    more = 2 * max(0, attempt - SAME_LENGTH_ATTEMPTS)
+    if not more:
+        return new
+    plain = kind in ("card", "phone", "iban", "social")
+    added = "".join(stream.of("0123456789" if plain else "0123456789abcdef") for _ in range(more))
+    if kind in ("email", "private_key"):
+        *head, tail = _parts(kind, new)
+        return "".join([*head, added, tail])
+    return new + ("-" if kind in ("ip", "ip6", "mac") else "") + added
+
+
+def _of_same_length(kind: str, value: str, stream: _Stream) -> str:
+    if kind in ("email", "token", "private_key"):
+        return "".join(_same_form(part, stream) if i % 2 else part for i, part in enumerate(_parts(kind, value)))
     if kind == "cloud_key":
         return value[:4] + "".join(stream.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in value[4:])
-    if kind == "token":
-        head = re.match(r"(?:gh[pousr]_|sk-|xox[abprs]-|eyJ|)", value).group()
-        return head + _same_form(value[len(head) :], stream)
-    if kind == "private_key":
-        begin, body, end = re.match(r"(-----BEGIN [^-]*-----)([\s\S]*?)(-----END [^-]*-----)$", value).groups()
-        return begin + _same_form(body, stream) + end
     if kind == "ip":
         return ".".join(str(1 + stream.below(254)) for _ in range(4))
     if kind in ("ip6", "mac", "quoted_secret"):
@@ -246,8 +299,6 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
     if kind == "phone":
         country = value[: max(1, len(value) - 10)] if value.startswith("+") else ""
         return country + str(2 + stream.below(8)) + _same_form(value[len(country) + 1 :], stream)
-    if kind == "person":
-        return _person(value, stream)
     return _same_form(value, stream)
 
 
@@ -255,7 +306,7 @@ def in_form_of(kind: str, replacement: str, original: str) -> str:
     """The replacement with the separators and the case of the place where it goes."""
     if kind in ("card", "phone", "iban", "social"):
         signs = iter(c for c in replacement)
-        return "".join(next(signs) if c.isalnum() or c == "+" else c for c in original)
+        return "".join(next(signs) if c.isalnum() or c == "+" else c for c in original) + "".join(signs)
     if kind == "email" and original.isupper():
         return replacement.upper()
     return replacement
@@ -299,13 +350,15 @@ def retried(
     """Entities whose first surrogate would not do, with the attempt that does, and their number.
 
     Of entities with one surrogate the least keeps it. A surrogate that is itself an entity is never used.
+    The values of ``make`` must not run out: those of ``surrogate`` grow with the attempt, a hundredfold and
+    more each time, so that few rounds place any number of entities.
     """
     entities = stage(_entities(docs, key).distinct(), "pii_entities")
     again = F.udf(lambda kind, value, attempt: make(kind, value, key, attempt), "string")
     now = entities.withColumn("_attempt", F.lit(0))
     taken = None
     settled = []
-    for attempt in range(MOST_ROUNDS):
+    for attempt in count():
         first = now.groupBy("_kind", "_surrogate").agg(F.min("_value").alias("_first"), F.count("*").alias("_n"))
         clash = first.where("_n > 1").select("_kind", "_surrogate", "_first")
         real = entities.select("_kind", F.col("_value").alias("_surrogate"), F.lit(True).alias("_real"))
@@ -328,8 +381,6 @@ def retried(
             F.lit(attempt + 1).alias("_attempt"),
         )
         now = stage(now, "pii_again")
-    else:
-        raise RuntimeError("surrogates still collide; the form of some entities has too few values")
     result = entities.select("_kind", "_value", F.lit(0).alias("_attempt")).limit(0)
     for good in settled:
         result = result.unionByName(good.select("_kind", "_value", "_attempt"))
