@@ -61,15 +61,19 @@ TITLES = {
 }
 
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яёα-ωά-ώ][^\W\d_]{1,30}"
+_PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+_EMAIL = r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]+\.)+[A-Za-z]{2,24}"
+_CLOUD_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
+_TOKEN = r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
 PATTERN = re.compile(
     "|".join(
         (
-            r"(?P<private_key>-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)",
-            r"(?P<email>(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]+\.)+[A-Za-z]{2,24})",
-            r"(?P<cloud_key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)",
-            r"(?P<token>\b(?:gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}))",
-            r"(?P<secret>(?<=[=:])(?:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=apikey=)|(?<=token=)|(?<=password:)|(?<=secret:)|(?<=token:)|(?<=pwd=))[^\s\"'<>,;]{4,})",
-            r"(?P<quoted_secret>(?<=\")[0-9a-f]{32,64}(?=\"))",
+            rf"(?P<private_key>{_PRIVATE_KEY})",
+            rf"(?P<email>{_EMAIL})",
+            rf"(?P<cloud_key>{_CLOUD_KEY})",
+            rf"(?P<token>{_TOKEN})",
+            rf"(?=[PpSsAaTt])(?i:password|passwd|pwd|secret|api_key|apikey|token)[ \t]*[=:][ \t]*(?!{_PRIVATE_KEY}|{_EMAIL}|{_CLOUD_KEY}|{_TOKEN})(?P<secret>[^\s\"'<>,;]{{4,}})",
+            r"(?P<quoted_secret>(?<=\")[0-9a-fA-F]{32,64}(?=\"))",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
             r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))",
             r"(?P<ip6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))",
@@ -117,14 +121,13 @@ def detected(text: str) -> list[Found]:
 def _detected_in(text: str, start: int) -> list[Found]:
     found = []
     for match in PATTERN.finditer(text):
-        kind, value = match.lastgroup, match.group()
-        if kind == "gap":
-            kind = "card"
+        kind = "card" if match.lastgroup == "gap" else match.lastgroup
+        value = match.group(kind)
         if kind == "card" and not _passes_luhn(value):
             continue
         if not any(c.isalnum() for part in _parts(kind, value)[1::2] for c in part):
             continue
-        found.append(Found(start + match.start(), start + match.end(), kind, value))
+        found.append(Found(start + match.start(kind), start + match.end(kind), kind, value))
     return found
 
 
@@ -143,16 +146,20 @@ def _parts(kind: str, value: str) -> tuple[str, ...]:
 
 
 def normal(kind: str, value: str) -> str:
-    """What counts as the same entity: case of addresses and separators of numbers do not matter."""
+    """What counts as the same entity: case of addresses and hexadecimal values, and separators of numbers, do not matter."""
     if kind == "email":
         return value.lower()
     if kind in ("card", "phone", "iban", "social"):
         return "".join(c for c in value if c.isalnum() or c == "+").upper()
-    if kind in ("ip6", "mac"):
+    if _is_hexadecimal(kind, value):
         return value.lower()
     return value
 
 
+def _is_hexadecimal(kind: str, value: str) -> bool:
+    return kind in ("ip6", "mac", "quoted_secret") or kind == "secret" and all(c in "0123456789abcdefABCDEF" for c in value)
+
+
 def _passes_luhn(value: str) -> bool:
     digits = [int(c) for c in value if c.isdigit()]
     return _luhn(digits[:-1]) == digits[-1]
@@ -287,11 +294,8 @@ def _of_same_length(kind: str, value: str, stream: _Stream) -> str:
         return value[:4] + "".join(stream.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in value[4:])
     if kind == "ip":
         return ".".join(str(1 + stream.below(254)) for _ in range(4))
-    if kind in ("ip6", "mac", "quoted_secret"):
+    if _is_hexadecimal(kind, value):
         return _same_form(value, stream, hexadecimal=True)
-    if kind == "secret":
-        plain = all(c in "0123456789abcdefABCDEF" for c in value)
-        return _same_form(value, stream, hexadecimal=plain)
     if kind == "card":
         return _card(value, stream)
     if kind == "iban":
@@ -309,6 +313,13 @@ def in_form_of(kind: str, replacement: str, original: str) -> str:
         return "".join(next(signs) if c.isalnum() or c == "+" else c for c in original) + "".join(signs)
     if kind == "email" and original.isupper():
         return replacement.upper()
+    if _is_hexadecimal(kind, original) and original != original.lower():
+        # each place has the case of the last letter up to there, in front of all letters that of the first
+        upper, cased = next(c.isupper() for c in original if c.isalpha()), []
+        for i, c in enumerate(replacement):
+            upper = original[i].isupper() if i < len(original) and original[i].isalpha() else upper
+            cased.append(c.upper() if upper else c)
+        return "".join(cased)
     return replacement
 
 
