@@ -58,3 +58,23 @@ def test_pages_keep_rows_and_other_columns(spark):
     whole = ex.extracted_text(pages)
     assert whole.columns == [*pages.columns, "_text"]
     assert ex.page_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("start", ["<p>One.", "<div><p>One.</div>", "<article><p>One.</article>", "<b>One.</b>", "One."])
+def test_a_head_left_open_ends_where_the_body_begins(start):
+    head = "<html><head><title>T</title><meta name=a><style>s</style><template><p>t</p></template><noscript><p>n</p></noscript>"
+    for end in ("", "</head>", "</head><body>", "<body>"):
+        blocks = ex.blocks_of(f"{head}\n{end}{start}<p>Two.</p></body></html>")
+        assert [b.text for b in blocks] == ["One.", "Two."], end
+
+
+def test_an_article_after_an_open_head_is_main_text(chain):
+    article = "<article><h1>Head line</h1><p>First sentence of it.</p><p>Second and last one here.</p></article>"
+    page = f"<html><head><title>T</title>{article}<footer>&copy; us</footer></html>"
+    assert ex.main_text(page, chain) == "Head line\nFirst sentence of it.\nSecond and last one here."
+
+
+def test_formulas_and_fallback_text_are_content():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x = 2</annotation></semantics></math>"
+    page = f"<p>So {formula} holds, see <object data='a.svg'>a figure</object> here.<p>a<object><p>b</p></object>"
+    assert [b.text for b in ex.blocks_of(page)] == ["So x=2 holds, see a figure here.", "a", "b"]

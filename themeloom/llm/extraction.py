@@ -23,8 +23,11 @@ from themeloom.llm.labelled_pages import labelled_pages
 from themeloom.llm.shared import fresh
 
 # Elements of HTML by what they do to text.
-SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "select", "textarea", "button", "audio", "video"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "acronym"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "canvas", "head", "title", "select", "textarea", "button", "audio", "video", "annotation", "annotation-xml"}
+MATH = {"math", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics", "annotation", "annotation-xml"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "acronym", "object"} | MATH
+#: Start tags that may stand in a head; any other, and text, ends it.
+IN_HEAD = {"html", "head", "title", "meta", "link", "style", "script", "base", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -79,7 +82,16 @@ class PageBlocks(HTMLParser):
             self.anchors -= gone.tag == "a"
         del self.stack[at:]
 
+    def _end_head(self, body: bool) -> None:
+        """What may not stand in an open head ends it and begins the body."""
+        if self.stack and self.stack[-1].tag == "head":
+            self._close_to(len(self.stack) - 1)
+            if body:
+                self.stack.append(_Open("body"))
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head(tag != "body")
         if tag == "br":
             self.parts.append(" ")
         if tag == "body":
@@ -95,7 +107,7 @@ class PageBlocks(HTMLParser):
                     if self.stack[at].tag == "p":
                         self._close_to(at)
                         break
-                    if self.stack[at].tag not in INLINE:
+                    if self.stack[at].tag not in INLINE or self.stack[at].tag == "object":
                         break
             for at in range(len(self.stack) - 1, -1, -1):
                 if self.stack[at].tag in SIBLINGS.get(tag, ()):
@@ -125,6 +137,8 @@ class PageBlocks(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.silent and data.strip():
+            self._end_head(True)
         if self.silent:
             return
         self.parts.append(data)
