@@ -38,6 +38,9 @@ def test_queries_have_the_agreed_columns(spark):
         "op8_exact_top_scores": "query_id rank vec_id score",
         "op9_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
         "op10_main_text": "page_id url text n_chars",
+        "op11_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+        "op12_shared_lines": "doc_id n_lines n_dropped kept_sha256",
+        "op13_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
     }
     for name, columns in wanted.items():
         frame = queries.QUERIES[name](spark, FOLDER)

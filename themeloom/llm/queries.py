@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import extraction, mixing, neardup, packing, pii, quality, scoring, sharding, topk, toxicity
+from themeloom.llm import (
+    alignment,
+    extraction,
+    linededup,
+    merkle,
+    mixing,
+    neardup,
+    packing,
+    pii,
+    quality,
+    scoring,
+    sharding,
+    topk,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,6 +75,18 @@ def op10_main_text(spark, folder):
     return extraction.page_texts(_table(spark, folder, "pages"))
 
 
+def op11_token_alignment(spark, folder):
+    return alignment.aligned_tokens(_table(spark, folder, "documents"))
+
+
+def op12_shared_lines(spark, folder):
+    return linededup.line_digests(_table(spark, folder, "documents"))
+
+
+def op13_merkle_manifest(spark, folder):
+    return merkle.verified_documents(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
@@ -72,4 +98,7 @@ QUERIES = {
     "op8_exact_top_scores": op8_exact_top_scores,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_main_text": op10_main_text,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_shared_lines": op12_shared_lines,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
