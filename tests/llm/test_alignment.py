@@ -1,8 +1,12 @@
 import hashlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from themeloom.llm import alignment as al
 
@@ -13,6 +17,13 @@ ODD = [
 ]
 
 
+@cache
+def plain_byte():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(al.BYTE_TOKENIZER))
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 def plain_groups(a, b, size_a, size_b):
     """Walk both sides until their ends meet."""
     out, i, j = [], 0, 0
@@ -37,10 +48,10 @@ def brute(rows):
     size_a, size_b = (s.tolist() for s in both.sizes())
     found, counts = [], Counter()
     for key, text, *_ in rows:
-        a = both.byte.encode(f" {text}", add_special_tokens=False).ids if text else []
+        a = plain_byte().encode(f" {text}", add_special_tokens=False).ids if text else []
         b = both.piece.encode(text) if text else []
         raw = f" {text}".encode()
-        if text and not raw == b"".join(both.byte_tokens[i] for i in a) == b"".join(both.piece_tokens[i] for i in b):
+        if text and not raw == b"".join(both.byte.tokens[i] for i in a) == b"".join(both.piece_tokens[i] for i in b):
             a, b = [], []
         spans = []
         for ids, sizes in ((a, size_a), (b, size_b)):
@@ -85,15 +96,47 @@ def test_groups_as_text(spark):
     assert row.groups.count(";") + 1 == row.n_groups
 
 
-@pytest.mark.parametrize("most", [1, 5, 40])
-def test_cutting_a_text_changes_no_id(most):
+def test_cutting_a_text_into_words_changes_no_id():
+    both = al.two_tokenizers()
+    for text in (*ODD, "Some Words go on, and on; über alles 日本 語 and 12 34 ab  cd e\n f\t g \x1c h \u00a0 i"):
+        words = al.cut_words(text)
+        assert words == al.CUT.split(text)
+        ((a, _), (b, _)), whole = both.encoded(words)
+        assert not whole.all() or a.tolist() == plain_byte().encode(f" {text}", add_special_tokens=False).ids
+        if "▁" not in text:
+            assert b.tolist() == both.piece.encode(text)
+
+
+def test_a_text_that_one_tokenizer_changes_counts_nowhere(spark):
+    rows = [(1, "same words here", 1, "x", 2), (2, "same words here and a ▁ sign", 1, "x", 2)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, al.aligned_tokens(docs).collect())) == brute(rows)
+
+
+def test_blocks_of_few_words_give_the_same(spark):
+    rows = sample() * 3
     both = al.two_tokenizers()
-    for text in (*ODD, "Some Words go on, and on; über alles 日本 語 and 12 34 ab  cd e"):
-        pieces = al.parts(text, most)
-        assert " ".join(pieces) == text
-        a = [i for e in both.byte.encode_batch([f" {p}" for p in pieces], add_special_tokens=False) for i in e.ids]
-        assert a == both.byte.encode(f" {text}", add_special_tokens=False).ids
-        assert [i for p in pieces for i in both.piece.encode(p)] == both.piece.encode(text)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.string())], ["_text"])
+    al.WORDS_AT_ONCE, kept = 5, al.WORDS_AT_ONCE
+    try:
+        blocks = list(al._blocks(iter([batch, batch]), 0))
+    finally:
+        al.WORDS_AT_ONCE = kept
+    assert sum(len(b.places) for b in blocks) == 2 * len(rows)
+    for block in blocks:
+        table, _, bounds = block.table(both, with_texts=True)
+        assert len(table.texts) == len(block.numbers) and len(bounds) == len(block.places) + 1
+
+
+def test_ranks_give_the_ids_of_the_file_for_every_character():
+    ranked, plain = al.ByteTokenizer(public_tokenizers.path(al.BYTE_TOKENIZER)), plain_byte()
+    assert ranked.ranked is not None
+    characters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 7 == 0)]
+    texts = [f" a{c}b {c} {c}1{c} {c}{c}.{c}'s" for c in characters]
+    for start in range(0, len(texts), 4096):
+        some = texts[start : start + 4096]
+        expected = plain.encode_batch_fast(some, add_special_tokens=False)
+        assert ranked.encoded(some) == [e.ids for e in expected]
 
 
 def test_no_piece_goes_on_over_a_space():

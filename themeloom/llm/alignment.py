@@ -2,25 +2,31 @@
 
 The tokens of both are intervals of bytes. Sorted by start, with the running maximum of their ends, a group
 ends where a start reaches that maximum; inside a group every token is expanded over the tokens of the other
-tokenizer that it overlaps. Texts are encoded once and their ids kept as a table. How often two ids are
-linked in the whole corpus is counted from it, and goes back to the documents in two parts: the frequent
-pairs, of which there is a bounded number, are looked up in the tasks, the rest is joined by shuffle.
+tokenizer that it overlaps. Both tokenizers end a token wherever a new word follows a single space, so what
+stands between such spaces is encoded and aligned once for many texts. How often two ids are linked in the
+whole corpus is counted in a first pass. The second pass puts the counts to the documents in two parts: the
+frequent pairs, of which there is a bounded number, are looked up in the tasks, the rest is joined by shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from themeloom.llm.shared import kept_in_worker, text_slices
@@ -30,28 +36,21 @@ BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
 #: Pairs of ids looked up in the tasks at most: two arrays of 8 bytes and one of 1 a pair.
 LOOKED_UP = 1_000_000
-#: A text goes to the tokenizers in parts of about so many characters, cut where a word begins.
-PART_CHARS = 1 << 16
-CUT = re.compile(r"(?<=\w) (?=\w)")
-#: Links counted in a task before the counts are sent on.
-COUNTED_AT_ONCE = 1 << 21
-#: Tokens of documents that are aligned together.
-ALIGNED_AT_ONCE = 1 << 18
+#: Where both tokenizers begin anew: a single space between other characters.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+WIDE = re.compile(r"\s\s")
+#: Documents are worked on together until they have so many distinct words or so many words.
+WORDS_AT_ONCE = 500_000
+PLACES_AT_ONCE = 1 << 23
+#: Words that are encoded and aligned together.
+ALIGNED_AT_ONCE = 1 << 15
 
 
-def parts(text: str, most: int = PART_CHARS) -> list[str]:
-    """The text cut at single spaces between word characters, which go; each part is encoded by itself.
-
-    Neither tokenizer has a token that goes on over such a space, and both begin the next word with it.
-    """
-    cut, start = [], 0
-    while len(text) - start > most:
-        space = CUT.search(text, start + most)
-        if space is None:
-            break
-        cut.append(text[start : space.start()])
-        start = space.end()
-    return [*cut, text[start:]]
+def cut_words(text: str) -> list[str]:
+    """What stands between single spaces; a text without wider white space is cut at every space."""
+    if WIDE.search(text) or text[:1].isspace() or text[-1:].isspace():
+        return CUT.split(text)
+    return text.split(" ")
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -64,22 +63,49 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class ByteTokenizer:
+    """Ids of texts by the byte-level vocabulary in a tokenizer file.
+
+    Where each merge makes the next id, as in the given file, ids are ranks and the vocabulary serves the
+    rank encoder, which gives the same ids in a quarter of the time; any other file is read as it is.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        alphabet, vocabulary = byte_level_alphabet(), model["vocab"]
+        ranks = {bytes(alphabet[c] for c in entry): i for entry, i in vocabulary.items() if set(entry) <= alphabet.keys()}
+        merged = ["".join(merge.split(" ") if isinstance(merge, str) else merge) for merge in model["merges"]]
+        ids = [vocabulary[entry] for entry in merged]
+        self.plain, self.ranked = None, None
+        if ids == list(range(len(alphabet), len(alphabet) + len(ids))) and len(ranks) == len(alphabet) + len(ids):
+            self.ranked = tiktoken.Encoding(
+                "ranks of a file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            )
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+            self.plain = Tokenizer.from_file(path)
+            self.plain.no_truncation()
+            self.plain.encode_special_tokens = True
+        self.tokens = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in ranks.items():
+            self.tokens[i] = token
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; the strings of special tokens are ordinary text."""
+        if self.ranked is not None:
+            return [self.ranked.encode_ordinary(text) for text in texts]
+        return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class TwoTokenizers:
     """Ids of a text by both tokenizers, and the bytes of each id."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.byte = Tokenizer.from_file(byte_path)
-        self.byte.no_truncation()
-        self.byte.encode_special_tokens = True
+        self.byte = ByteTokenizer(byte_path)
         self.piece = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        alphabet = byte_level_alphabet()
-        vocabulary = self.byte.get_vocab(with_added_tokens=False)
-        self.byte_tokens = [b""] * (max(self.byte.get_vocab().values()) + 1)
-        for entry, i in vocabulary.items():
-            if all(c in alphabet for c in entry):
-                self.byte_tokens[i] = bytes(alphabet[c] for c in entry)
         self.piece_tokens = [self._piece_bytes(i) for i in range(self.piece.get_piece_size())]
+        self._sizes = tuple(np.array([len(t) for t in tokens], np.int64) for tokens in (self.byte.tokens, self.piece_tokens))
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self.piece.id_to_piece(i)
@@ -89,25 +115,31 @@ class TwoTokenizers:
 
     def sizes(self) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of each id of either tokenizer."""
-        return tuple(np.array([len(t) for t in tokens], np.int64) for tokens in (self.byte_tokens, self.piece_tokens))
-
-    def encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of space and text by both; empty for empty texts and those that either does not give back."""
-        cut = [parts(text) if text else [] for text in texts]
-        flat = [part for found in cut for part in found]
-        a = [e.ids for e in self.byte.encode_batch_fast([f" {part}" for part in flat], add_special_tokens=False)]
-        b = self.piece.encode(flat, num_threads=1) if flat else []
-        result, at = [], 0
-        for text, found in zip(texts, cut, strict=True):
-            own = slice(at, at + len(found))
-            at += len(found)
-            ids = tuple([i for part in side[own] for i in part] for side in (a, b))
-            result.append(ids if not text or self._whole(text, *ids) else ([], []))
-        return result
-
-    def _whole(self, text: str, a: list[int], b: list[int]) -> bool:
-        raw = f" {text}".encode()
-        return raw == b"".join([self.byte_tokens[i] for i in a]) == b"".join([self.piece_tokens[i] for i in b])
+        return self._sizes
+
+    def encoded(self, words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """For both, the ids of the words behind a space in turn and how many each has; which words are whole.
+
+        A word is whole if both give it back byte for byte; the others have no ids.
+        """
+        raw = [f" {word}" for word in words]
+        sides = self.byte.encoded(raw), self.piece.encode(words, num_threads=1)
+        given = [text.encode() for text in raw]
+        whole = np.ones(len(words), dtype=bool)
+        for ids, tokens in zip(sides, (self.byte.tokens, self.piece_tokens), strict=True):
+            # all at once; one by one only where something differs
+            if b"".join(map(tokens.__getitem__, chain.from_iterable(ids))) != b"".join(given):
+                whole &= [b"".join([tokens[i] for i in found]) == text for found, text in zip(ids, given, strict=True)]
+        lengths = np.fromiter(map(len, given), np.int64, len(given))
+        result = []
+        for ids, sizes in zip(sides, self.sizes(), strict=True):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            whole &= np.diff(np.r_[0, np.cumsum(sizes[flat])][np.r_[0, np.cumsum(n)]]) == lengths
+            result.append((flat, n))
+        if not whole.all():
+            result = [(flat[np.repeat(whole, n)], np.where(whole, n, 0)) for flat, n in result]
+        return result, whole
 
 
 def two_tokenizers(byte_path: str | None = None, piece_path: str | None = None) -> TwoTokenizers:
@@ -118,11 +150,11 @@ def two_tokenizers(byte_path: str | None = None, piece_path: str | None = None)
 
 
 class Aligned:
-    """Tokens of some documents in groups, and their links.
+    """Tokens of some words in groups, and their links.
 
-    ``a, b`` have the ids of all documents in turn, ``n_a, n_b`` how many each document has, ``size_a,
-    size_b`` the bytes of the ids. A document's intervals begin where those of the document before end.
-    ``group_a, group_b`` number the group of each token, ``link_a, link_b`` the tokens of each link.
+    ``a, b`` have the ids of all words in turn, ``n_a, n_b`` how many each word has, ``size_a, size_b`` the
+    bytes of the ids. A word's intervals begin where those of the word before end. ``group_a, group_b``
+    number the group of each token, ``link_a, link_b`` the tokens of each link.
     """
 
     def __init__(self, a, n_a, b, n_b, size_a, size_b):
@@ -144,97 +176,121 @@ class Aligned:
         spread = last - first
         self.link_a = np.repeat(np.arange(len(a)), spread)
         self.link_b = np.arange(len(self.link_a)) - np.repeat(np.cumsum(spread) - spread, spread) + np.repeat(first, spread)
-        self.bounds_a, self.bounds_b = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
+        self.bounds_a = np.r_[0, np.cumsum(n_a)]
 
     def pairs(self) -> np.ndarray:
         """The two ids of each link as one number."""
         return (self.a[self.link_a].astype(np.int64) << 32) | self.b[self.link_b]
 
-    def link_documents(self) -> np.ndarray:
-        """The document of each link."""
-        return np.searchsorted(self.bounds_a, self.link_a, side="right") - 1
+    def links_before(self) -> np.ndarray:
+        """Number of the first link of each word, and of all links."""
+        return np.searchsorted(self.link_a, self.bounds_a)
 
-    def document_groups(self) -> np.ndarray:
-        """Number of the first group of each document, and of all groups."""
-        known = np.r_[self.group_a, self.n_groups]
-        return known[self.bounds_a]
+    def groups_before(self) -> np.ndarray:
+        """Number of the first group of each word, and of all groups."""
+        return np.r_[self.group_a, self.n_groups][self.bounds_a]
 
     def texts(self) -> list[str]:
-        """For each document ``a1,a2|b1;a3|b2,b3``: the ids of its groups in order."""
-        sides = [self._joined(ids, groups) for ids, groups in ((self.a, self.group_a), (self.b, self.group_b))]
+        """For each word ``a1,a2|b1;a3|b2,b3``: the ids of its groups in order."""
+        names = list(map(str, range(int(max(self.a.max(initial=0), self.b.max(initial=0))) + 1)))
+        sides = [self._joined(ids, groups, names) for ids, groups in ((self.a, self.group_a), (self.b, self.group_b))]
         joined = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
-        bounds = self.document_groups().tolist()
+        bounds = self.groups_before().tolist()
         return [";".join(joined[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)]
 
-    def _joined(self, ids: np.ndarray, groups: np.ndarray) -> list[str]:
-        words = list(map(str, ids.tolist()))
+    def _joined(self, ids: np.ndarray, groups: np.ndarray, names: list[str]) -> list[str]:
+        words = [names[i] for i in ids.tolist()]
         bounds = np.searchsorted(groups, np.arange(self.n_groups + 1)).tolist()
         return [words[i] if j == i + 1 else ",".join(words[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)]
 
 
-def _encoded(docs: DataFrame, key: str, text: str, byte_path: str | None, piece_path: str | None) -> DataFrame:
-    """``_row, _doc, _a, _b``: ids of every row, staged."""
-    given = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
-    schema = T.StructType(
-        [
-            T.StructField("_doc", given.schema["_doc"].dataType),
-            T.StructField("_a", T.ArrayType(T.IntegerType())),
-            T.StructField("_b", T.ArrayType(T.IntegerType())),
-        ]
-    )
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = two_tokenizers(byte_path, piece_path)
-        ids = pa.list_(pa.int32())
-        for batch in batches:
-            for start, texts in text_slices(batch.column(1)):
-                a, b = zip(*both.encoded(texts), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), pa.array(a, ids), pa.array(b, ids)], ["_doc", "_a", "_b"]
-                )
-
-    return stage(given.mapInArrow(encode, schema).withColumn("_row", F.monotonically_increasing_id()), "alignment_ids")
-
-
-def _slices(batch: pa.RecordBatch, a: int, b: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """Consecutive rows with about ALIGNED_AT_ONCE tokens: first and last row, ids and counts of both sides."""
-    sides = []
-    for column in (batch.column(a), batch.column(b)):
-        sides.append((column.values.to_numpy(zero_copy_only=False), np.asarray(column.offsets)))
-    tokens = sides[0][1] - sides[0][1][0]
-    first = 0
-    while first < batch.num_rows:
-        last = int(np.searchsorted(tokens, tokens[first] + ALIGNED_AT_ONCE, side="right")) - 1
-        last = min(max(last, first + 1), batch.num_rows)
-        found = []
-        for ids, offsets in sides:
-            found += [ids[offsets[first] : offsets[last]], np.diff(offsets[first : last + 1])]
-        yield first, last, found
-        first = last
-
-
-def _pair_counts(ids: DataFrame, byte_path: str | None, piece_path: str | None) -> DataFrame:
+@dataclass
+class WordTable:
+    """Of each distinct word: counts of tokens, groups and links, its pairs in turn, and its groups as text."""
+
+    whole: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    pairs: np.ndarray
+    texts: list[str]
+
+
+def word_table(words: list[str], both: TwoTokenizers, with_texts: bool) -> WordTable:
+    """Words encoded and aligned, some thousands at a time; words that are not given back have nothing."""
+    size_a, size_b = both.sizes()
+    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+    texts: list[str] = []
+    for start in range(0, len(words), ALIGNED_AT_ONCE):
+        ((a, n_a), (b, n_b)), whole = both.encoded(words[start : start + ALIGNED_AT_ONCE])
+        aligned = Aligned(a, n_a, b, n_b, size_a, size_b)
+        found = (whole, n_a, n_b, np.diff(aligned.groups_before()), np.diff(aligned.links_before()), aligned.pairs())
+        for column, values in zip(columns, found, strict=True):
+            column.append(values)
+        if with_texts:
+            texts += aligned.texts()
+    return WordTable(*map(np.concatenate, columns), texts)
+
+
+class Block:
+    """Some documents as numbers of their distinct words."""
+
+    def __init__(self) -> None:
+        self.numbers: defaultdict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__  # a new word gets the next number
+        self.places: list[np.ndarray] = []
+        self.rows: list[pa.RecordBatch] = []
+        self.n_places = 0
+
+    def add(self, text: str) -> None:
+        """A document's words; none if it is empty."""
+        words = cut_words(text) if text else []
+        self.places.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.n_places += len(words)
+
+    def full(self) -> bool:
+        return len(self.numbers) >= WORDS_AT_ONCE or self.n_places >= PLACES_AT_ONCE
+
+    def table(self, both: TwoTokenizers, with_texts: bool) -> tuple[WordTable, np.ndarray, np.ndarray]:
+        """The words, the words of documents that both tokenizers give back, in turn, and their bounds."""
+        found = word_table(list(self.numbers), both, with_texts)
+        if not found.whole.all():
+            none = np.empty(0, dtype=np.int32)
+            self.places = [p if found.whole[p].all() else none for p in self.places]
+        return found, np.concatenate(self.places), np.r_[0, np.cumsum([len(p) for p in self.places])]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[Block]:
+    """Documents together until there are enough words; ``rows`` keeps the other columns."""
+    block = Block()
+    others = None
+    for batch in batches:
+        others = [name for i, name in enumerate(batch.schema.names) if i != text]
+        for start, texts in text_slices(batch.column(text)):
+            for value in texts:
+                block.add(value)
+            block.rows.append(batch.select(others).slice(start, len(texts)))
+            if block.full():
+                yield block
+                block = Block()
+    if block.places:
+        yield block
+
+
+def _pair_counts(docs: DataFrame, byte_path: str | None, piece_path: str | None) -> DataFrame:
     """``_pair, _n``: links of each pair of ids in the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = two_tokenizers(byte_path, piece_path).sizes()
-        held, links = [], 0
-
-        def counted() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["_pair", "_n"])
-
-        for batch in batches:
-            for _, _, sides in _slices(batch, 0, 1):
-                held.append(Aligned(*sides, *sizes).pairs())
-                links += len(held[-1])
-                if links > COUNTED_AT_ONCE:
-                    yield counted()
-                    held, links = [], 0
-        if held:
-            yield counted()
-
-    counts = ids.select("_a", "_b").mapInArrow(count, "_pair long, _n long").groupBy("_pair").agg(F.sum("_n").alias("_n"))
+        both = two_tokenizers(byte_path, piece_path)
+        for block in _blocks(batches, 0):
+            words, places, _ = block.table(both, with_texts=False)
+            times = np.repeat(np.bincount(places, minlength=len(words.whole)), words.n_links)
+            pairs, back = np.unique(words.pairs, return_inverse=True)
+            n = np.bincount(back, weights=times, minlength=len(pairs)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[n > 0]), pa.array(n[n > 0])], ["_pair", "_n"])
+
+    counts = docs.select("_text").mapInArrow(count, "_pair long, _n long").groupBy("_pair").agg(F.sum("_n").alias("_n"))
     return stage(counts, "alignment_counts")
 
 
@@ -257,64 +313,65 @@ def _least_frequent(counts: DataFrame, most: int) -> int:
     return 1 << (power + 1)
 
 
+RESULT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+
+
 def _looked_up(
-    ids: DataFrame, frequent: pa.Table, byte_path: str | None, piece_path: str | None, with_groups: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Per row its counts over the frequent pairs; per row and other pair how many links it has."""
-    shared = ids.sparkSession.sparkContext.broadcast(
+    docs: DataFrame,
+    frequent: pa.Table,
+    byte_path: str | None,
+    piece_path: str | None,
+    with_groups: bool,
+    with_rest: bool,
+) -> DataFrame:
+    """Per row its counts over the frequent pairs, and with ``with_rest`` its other pairs, ``_rest``."""
+    shared: Broadcast = docs.sparkSession.sparkContext.broadcast(
         tuple(frequent.column(c).to_numpy() for c in ("_pair", "_n", "_best"))
     )
+    names = [field.split()[0] for field in RESULT.split(", ")]
 
-    def matched(batch: pa.RecordBatch, known, sizes) -> Iterator[tuple]:
-        pairs_known, n_known, best_known = known
-        for first, last, sides in _slices(batch, 2, 3):
-            aligned = Aligned(*sides, *sizes)
-            pairs, back = np.unique(aligned.pairs(), return_inverse=True)
-            at = np.minimum(np.searchsorted(pairs_known, pairs), max(0, len(pairs_known) - 1))
-            hit = pairs_known[at] == pairs if len(pairs_known) else np.zeros(len(pairs), dtype=bool)
-            yield first, last, sides, aligned, pairs, back, at, hit
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = two_tokenizers(byte_path, piece_path).sizes()
-        known = shared.value
-        for batch in batches:
-            for first, last, sides, aligned, pairs, back, at, hit in matched(batch, known, sizes):
-                documents, n = aligned.link_documents(), last - first
-                value = np.zeros(len(pairs), dtype=np.int64)
-                best = np.zeros(len(pairs), dtype=bool)
-                value[hit], best[hit] = known[1][at[hit]], known[2][at[hit]]
-                sums = np.zeros(n, dtype=np.int64)
-                np.add.at(sums, documents, value[back])
-                texts = aligned.texts()
-                columns = [
-                    *(c.slice(first, n) for c in batch.columns[:2]),
-                    *(pa.array(x.astype(np.int64)) for x in (
-                        sides[1], sides[3], np.diff(aligned.document_groups()),
-                        np.bincount(documents, minlength=n), np.bincount(documents[best[back]], minlength=n), sums,
-                    )),
-                    pa.array([hashlib.sha256(text.encode()).hexdigest() if text else "" for text in texts], pa.string()),
-                ]
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = two_tokenizers(byte_path, piece_path)
+        known, n_known, best_known = shared.value
+        for block in _blocks(batches, 1):
+            words, places, bounds = block.table(both, with_texts=True)
+            at = np.minimum(np.searchsorted(known, words.pairs), max(0, len(known) - 1))
+            hit = known[at] == words.pairs if len(known) else np.zeros(len(words.pairs), dtype=bool)
+            value, best = (np.zeros(len(words.pairs), dtype=np.int64) for _ in range(2))
+            value[hit], best[hit] = n_known[at[hit]], best_known[at[hit]]
+            links = np.r_[0, np.cumsum(words.n_links)]
+            per_word = [words.n_a, words.n_b, words.n_groups, words.n_links]
+            per_word += [np.diff(np.r_[0, np.cumsum(x)][links]) for x in (best, value)]
+            sums = [np.diff(np.r_[0, np.cumsum(x[places])][bounds]) for x in per_word]
+            texts, first = words.texts, 0
+            numbers, ends = places.tolist(), bounds.tolist()
+            rare = [words.pairs[i:j][~hit[i:j]] for i, j in zip(links, links[1:], strict=False)] if with_rest else []
+            for rows in block.rows:
+                last = first + rows.num_rows
+                groups = [";".join([texts[w] for w in numbers[ends[i] : ends[i + 1]]]) for i in range(first, last)]
+                hashes = [hashlib.sha256(text.encode()).hexdigest() if text else "" for text in groups]
+                columns = [*rows.columns, *(pa.array(x[first:last].astype(np.int64)) for x in sums), pa.array(hashes, pa.string())]
+                labels = [*rows.schema.names, *names]
                 if with_groups:
-                    columns.append(pa.array(texts, pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = two_tokenizers(byte_path, piece_path).sizes()
-        for batch in batches:
-            for first, _, _, aligned, pairs, back, _, hit in matched(batch, shared.value, sizes):
-                other = ~hit[back]
-                rows = np.asarray(batch.column(0))[first + aligned.link_documents()[other]]
-                cells, n = np.unique(np.stack([rows, pairs[back[other]]]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells[0]), pa.array(cells[1]), pa.array(n.astype(np.int64))], ["_row", "_pair", "_times"]
-                )
-
-    kind = ids.schema["_doc"].dataType.simpleString()
-    schema = f"_row long, _doc {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    schema += ", groups string" if with_groups else ""
-    names = [field.split()[0] for field in schema.split(", ")]
-    given = ids.select("_row", "_doc", "_a", "_b")
-    return given.mapInArrow(tally, schema), given.mapInArrow(rest, "_row long, _pair long, _times long")
+                    columns.append(pa.array(groups, pa.large_string()).cast(pa.string()))
+                    labels.append("groups")
+                if with_rest:
+                    found = [_tallied([rare[w] for w in numbers[ends[i] : ends[i + 1]]]) for i in range(first, last)]
+                    columns.append(pa.array(found, pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))))
+                    labels.append("_rest")
+                yield pa.RecordBatch.from_arrays(columns, labels)
+                first = last
+
+    kind = docs.schema["_doc"].dataType.simpleString()
+    schema = f"_doc {kind}, {RESULT}" + ", groups string" * with_groups
+    schema += ", _rest array<struct<pair: bigint, times: bigint>>" * with_rest
+    return docs.select("_doc", "_text").mapInArrow(put, schema)
+
+
+def _tallied(pairs: list[np.ndarray]) -> list[dict[str, int]]:
+    """Each pair once with its number."""
+    found, n = np.unique(np.concatenate([np.empty(0, np.int64), *pairs]), return_counts=True)
+    return [{"pair": p, "times": t} for p, t in zip(found.tolist(), n.tolist(), strict=True)]
 
 
 def aligned_tokens(
@@ -339,16 +396,21 @@ def aligned_tokens(
     empty table gives no rows. At most ``looked_up`` pairs of ids go to every task, the most frequent ones;
     rarer pairs are joined by shuffle, where none has as many rows as those.
     """
-    ids = _encoded(docs, key, text, byte_path, piece_path)
-    counts = _pair_counts(ids, byte_path, piece_path)
+    given = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    counts = _pair_counts(given, byte_path, piece_path)
     marked = _marked(counts)
     least = _least_frequent(counts, looked_up)
     frequent = marked.where(F.col("_n") >= least).toArrow().sort_by("_pair")
-    result, rest = _looked_up(ids, frequent, byte_path, piece_path, with_groups)
-    names = [c for c in result.columns if c not in ("_row", "_doc")]
-    if counts.where(F.col("_n") < least).isEmpty():
-        return result.select(F.col("_doc").alias(key), *names)
     rare = marked.where(F.col("_n") < least)
+    with_rest = not counts.where(F.col("_n") < least).isEmpty()
+    result = _looked_up(given, frequent, byte_path, piece_path, with_groups, with_rest)
+    names = [c for c in result.columns if c not in ("_doc", "_rest")]
+    if not with_rest:
+        return result.select(F.col("_doc").alias(key), *names)
+    # rows may share their key, so each has a number of its own, fixed by writing it
+    result = stage(result.withColumn("_row", F.monotonically_increasing_id()), "alignment_rows")
+    rest = result.select("_row", F.explode("_rest").alias("_one"))
+    rest = rest.select("_row", F.col("_one.pair").alias("_pair"), F.col("_one.times").alias("_times"))
     more = rest.join(rare.hint("merge"), "_pair").groupBy("_row").agg(
         F.sum(F.when(F.col("_best"), F.col("_times")).otherwise(0)).alias("_more_best"),
         F.sum(F.col("_times") * F.col("_n")).alias("_more_sum"),
