@@ -6,6 +6,7 @@ Tokens are rows ``(doc_id, pos, tok)`` here, while the Spark operators keep arra
 from __future__ import annotations
 
 from themeloom.functions import stopwords as sw
+from themeloom.operators.inflection import UNINFLECTED
 from themeloom.operators.lemmas import irregular_forms
 
 _BASE = sorted(set(sw.BASE_ENGLISH))
@@ -58,6 +59,16 @@ def _long(relation: str, words: str, key: str = "doc_id") -> str:
     )
 
 
+_REGULAR = """CASE
+          WHEN tok LIKE '%ies' AND length(tok) > 4 THEN tok[:-4] || 'y'
+          WHEN regexp_matches(tok, '(sses|shes|ches|uses|xes|oes)$') AND length(tok) > 4
+            AND NOT regexp_matches(tok, '[ao]uses$')
+            AND NOT regexp_matches(tok, '^(ab|acc|am|exc|f|m|ref|re|mis|conf|inf|diff)?uses$')
+            AND tok NOT IN ('toes', 'shoes', 'foes', 'woes', 'canoes', 'does') THEN tok[:-3]
+          WHEN tok LIKE '%s' AND tok[-2:] NOT IN ('ss', 'us', 'is') AND length(tok) > 3 THEN tok[:-2]
+          ELSE tok END"""
+
+
 class Chain:
     """A growing list of common table expressions over token rows."""
 
@@ -84,21 +95,79 @@ class Chain:
 
     def lemmas(self, name: str, tokens: str, stop: str | None = "stop") -> str:
         forms = ", ".join(f"('{form}', '{lemma}')" for form, lemma in irregular_forms().items())
-        rule = """CASE
-          WHEN tok LIKE '%ies' AND length(tok) > 4 THEN tok[:-4] || 'y'
-          WHEN regexp_matches(tok, '(sses|shes|ches|uses|xes|oes)$') AND length(tok) > 4
-            AND NOT regexp_matches(tok, '[ao]uses$')
-            AND NOT regexp_matches(tok, '^(ab|acc|am|exc|f|m|ref|re|mis|conf|inf|diff)?uses$')
-            AND tok NOT IN ('toes', 'shoes', 'foes', 'woes', 'canoes', 'does') THEN tok[:-3]
-          WHEN tok LIKE '%s' AND tok[-2:] NOT IN ('ss', 'us', 'is') AND length(tok) > 3 THEN tok[:-2]
-          ELSE tok END"""
         rows = (
-            f"SELECT * EXCLUDE (tok, form, lemma), coalesce(lemma, {rule}) AS tok FROM {tokens} "
+            f"SELECT * EXCLUDE (tok, form, lemma), coalesce(lemma, {_REGULAR}) AS tok FROM {tokens} "
             f"LEFT JOIN (VALUES {forms}) AS f(form, lemma) ON tok = form"
         )
         where = f" WHERE tok NOT IN (SELECT w FROM {stop})" if stop else ""
         return self.add(name, f"SELECT * FROM ({rows}){where}")
 
+    def attested_forms(self, name: str, tokens: str) -> str:
+        """Words that change, with the lemma that the tokens attest."""
+        forms = ", ".join(f"('{form}', '{lemma}')" for form, lemma in irregular_forms().items())
+        self.add(f"{name}_irregular", f"SELECT * FROM (VALUES {forms}) AS f(form, lemma)")
+        self.add(f"{name}_voc", f"SELECT tok, count(*) AS n FROM {tokens} GROUP BY tok")
+        self.add(f"{name}_tab", f"SELECT tok FROM {name}_voc WHERE tok NOT IN (SELECT form FROM {name}_irregular)")
+        self._best_stems(f"{name}_singular", f"{name}_tab", f"{name}_voc", """CASE
+            WHEN tok NOT LIKE '%s' OR tok[-2:] IN ('ss', 'us', 'is') THEN []
+            WHEN tok LIKE '%ies' THEN [left(tok, length(tok) - 3) || 'y', left(tok, length(tok) - 1)]
+            WHEN tok LIKE '%ves' THEN [left(tok, length(tok) - 1), left(tok, length(tok) - 3) || 'f', left(tok, length(tok) - 3) || 'fe']
+            WHEN tok LIKE '%es' THEN [left(tok, length(tok) - 1), left(tok, length(tok) - 2)]
+            ELSE [left(tok, length(tok) - 1)] END""")
+        self.add(
+            f"{name}_base",
+            f"SELECT tok AS form, coalesce(stem, {_REGULAR}) AS tok FROM {name}_tab LEFT JOIN {name}_singular USING (tok)",
+        )
+        self.add(
+            f"{name}_ending",
+            f"""SELECT DISTINCT tok FROM {name}_base WHERE tok NOT IN ({_quoted(UNINFLECTED)})
+            AND (regexp_matches(tok, '(ed|ing)$')
+              OR tok LIKE '%er' AND left(tok, length(tok) - 2) || 'est' IN (SELECT tok FROM {name}_voc)
+              OR tok LIKE '%est' AND left(tok, length(tok) - 3) || 'er' IN (SELECT tok FROM {name}_voc))""",
+        )
+
+        def opened(cut: int, silent: str) -> str:
+            single = f"""CASE WHEN tok[length(tok) - {cut}] = tok[length(tok) - {cut + 1}]
+                THEN left(tok, length(tok) - {cut + 1}) END"""
+            plain = f"left(tok, length(tok) - {cut})"
+            short = f"regexp_matches({plain}, '^[^aeiouy]*[aeiou][^aeiouwxy]$')"
+            return f"[{silent}, CASE WHEN NOT {short} THEN {plain} END, {single}]"
+
+        self._best_stems(f"{name}_inflected", f"{name}_ending", f"{name}_voc", f"""CASE
+            WHEN tok LIKE '%ied' THEN [left(tok, length(tok) - 3) || 'y', left(tok, length(tok) - 1)]
+            WHEN tok LIKE '%eed' THEN CASE WHEN length(tok) > 4 THEN [left(tok, length(tok) - 1)] ELSE [] END
+            WHEN tok LIKE '%ed' THEN {opened(2, "left(tok, length(tok) - 1)")}
+            WHEN tok LIKE '%ing' THEN {opened(3, "left(tok, length(tok) - 3) || 'e'")}
+            WHEN tok LIKE '%iest' THEN [left(tok, length(tok) - 4) || 'y']
+            WHEN tok LIKE '%est' THEN {opened(3, "left(tok, length(tok) - 2)")}
+            WHEN tok LIKE '%ier' THEN [left(tok, length(tok) - 3) || 'y']
+            ELSE {opened(2, "left(tok, length(tok) - 1)")} END""")
+        return self.add(
+            name,
+            f"""SELECT form, coalesce(stem, tok) AS lemma FROM {name}_base LEFT JOIN {name}_inflected USING (tok)
+            WHERE form <> coalesce(stem, tok) UNION ALL SELECT form, lemma FROM {name}_irregular""",
+        )
+
+    def _best_stems(self, name: str, words: str, vocabulary: str, stems: str) -> str:
+        return self.add(
+            name,
+            f"""SELECT p.tok, stem FROM (
+              SELECT tok, unnest(s) AS stem, generate_subscripts(s, 1) AS rank FROM (SELECT tok, {stems} AS s FROM {words})
+            ) p JOIN {vocabulary} v ON v.tok = stem
+            WHERE length(stem) >= 3 AND regexp_matches(stem, '[aeiouy]')
+            QUALIFY row_number() OVER (PARTITION BY p.tok ORDER BY n DESC, rank) = 1""",
+        )
+
+    def attested(self, name: str, tokens: str, stop: str | None = "stop") -> str:
+        """Tokens by the lemmas they attest themselves."""
+        self.attested_forms(f"{name}_forms", tokens)
+        rows = (
+            f"SELECT t.* EXCLUDE (tok), coalesce(lemma, tok) AS tok FROM {tokens} t "
+            f"LEFT JOIN {name}_forms ON tok = form"
+        )
+        where = f" WHERE tok NOT IN (SELECT w FROM {stop})" if stop else ""
+        return self.add(name, f"SELECT * FROM ({rows}){where}")
+
     def phrases(self, name: str, tokens: str, min_count: int) -> str:
         """Adds <name>_scores and <name>: one learning and merging pass."""
         self.add(
@@ -153,7 +222,7 @@ class Chain:
         """The three filters of a whole run."""
         self.content("c", _SOURCE)
         self.enough("c5", "c")
-        self.lemmas("l", "c5")
+        self.attested("l", "c5")
         self.enough("l5", "l")
         self.phrases("p1", "l5", 50)
         self.phrases("p2", "p1", 25)
@@ -184,7 +253,7 @@ def _kept() -> Chain:
 
 def _kept_lemmas() -> Chain:
     chain = _kept()
-    chain.lemmas("l", "k")
+    chain.attested("l", "k")
     chain.enough("l5", "l")
     return chain
 
@@ -243,6 +312,12 @@ def _text_queries() -> dict[str, str]:
     chain = _kept()
     chain.lemmas("l", "k", stop=None)
     out["lemma_tokens"] = out["user_lemmatiser"] = chain.select(_by_doc("l"))
+    chain = _kept()
+    chain.attested_forms("l", "k")
+    out["inflected_forms"] = chain.select("SELECT form, lemma FROM l")
+    chain = _kept()
+    chain.attested("l", "k", stop=None)
+    out["attested_lemmas"] = chain.select(_by_doc("l"))
     out["lemma_stop_words"] = _kept_lemmas().select(_by_doc("l5"))
     chain = _kept()
     chain.lemmas("l", "k")
@@ -374,14 +449,14 @@ def _chunk_query() -> str:
     chain = Chain()
     chain.add("chunk", _text_chunks_with_key())
     chain.content("c", "SELECT doc_id, text FROM chunk")
-    chain.lemmas("l", "c")
+    chain.attested("l", "c")
     chain.enough("l5", "l")
     chain.add("stop2", "(SELECT w FROM stop) UNION (SELECT tok FROM l5 GROUP BY tok ORDER BY count(*) DESC, tok LIMIT 50)")
     chain.add(
         "again",
         "SELECT * FROM l5 WHERE length(tok) BETWEEN 3 AND 15 AND tok NOT IN (SELECT w FROM stop2)",
     )
-    chain.lemmas("m", "again", stop="stop2")
+    chain.attested("m", "again", stop="stop2")
     chain.enough("m5", "m")
     chain.phrases("p1", "m5", 50)
     chain.phrases("p2", "p1", 25)

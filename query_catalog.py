@@ -22,7 +22,7 @@ from themeloom.operators import cluster_metrics as cm
 from themeloom.operators import coherence as coh
 from themeloom.operators import dictionary as dct
 from themeloom.operators import documents as dox
-from themeloom.operators import lda, topics
+from themeloom.operators import inflection, lda, topics
 from themeloom.operators import lemmas as lem
 from themeloom.operators import phrases as phr
 from themeloom.plans import corpus as cp
@@ -219,6 +219,14 @@ def lemma_tokens(spark, folder):
     return lem.lemmatised(_kept(spark, folder)).select("doc_id", _joined())
 
 
+def inflected_forms(spark, folder):
+    return inflection.attested_forms(stage(inflection.vocabulary_of(_kept(spark, folder)), "vocabulary"))
+
+
+def attested_lemmas(spark, folder):
+    return inflection.attested_lemmas(_kept(spark, folder)).select("doc_id", _joined())
+
+
 def lemma_stop_words(spark, folder):
     return _lemmas(spark, folder).select("doc_id", _joined())
 
@@ -677,6 +685,8 @@ QUERIES = {
     "stop_word_use": stop_word_use,
     "enough_tokens": enough_tokens,
     "lemma_tokens": lemma_tokens,
+    "inflected_forms": inflected_forms,
+    "attested_lemmas": attested_lemmas,
     "lemma_stop_words": lemma_stop_words,
     "user_lemmatiser": user_lemmatiser,
     "user_function": user_function,

@@ -99,3 +99,15 @@ def test_repeated_keys_and_odd_tokens_give_one_answer(spark, monkeypatch, in_pla
     merged = phr.apply_phrases(docs, model_of(spark, ("a", "b"), ("x", "y\x01z")))
     out = sorted(tuple(row.tokens) for row in merged.collect())
     assert out == [("a_b", "c"), ("c", "a_b"), ("x\x01y", "z", "", "b"), ("x_y\x01z",)]
+
+
+def test_long_documents_take_time_in_proportion(spark, docs_of):
+    import time
+
+    model = model_of(spark, ("a", "b"), ("b", "c"))
+    rng = random.Random(3)
+    text = [rng.choice("abcd") for _ in range(100_000)]
+    start = time.perf_counter()
+    merged = phr.apply_phrases(docs_of(text), model).first().tokens
+    assert time.perf_counter() - start < 30
+    assert merged == greedy(text, {("a", "b"), ("b", "c")})

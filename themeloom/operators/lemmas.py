@@ -104,14 +104,15 @@ def lemmatised(
 def _lemmatised_by_table(docs: DataFrame, table: DataFrame, regular: bool) -> DataFrame:
     """Use a table of any size. Of a large one only the forms that occur in the corpus matter."""
     table = table.groupBy(F.col("form").alias("word")).agg(F.min("lemma").alias("value")).where("word IS NOT NULL AND value IS NOT NULL")
-    rows = table.limit(BROADCAST_FORMS + 1).toArrow()
-    if rows.num_rows > BROADCAST_FORMS:
+    size = table.count()
+    if size > BROADCAST_FORMS:
         vocabulary = docs.select(F.explode("tokens").alias("word")).distinct()
         table = stage(table.join(vocabulary, "word", "left_semi"), "forms")
-        rows = table.limit(BROADCAST_FORMS + 1).toArrow()
-    if rows.num_rows > BROADCAST_FORMS:
+        size = table.count()
+    if size > BROADCAST_FORMS:
         return _lemmatised_by_join(docs, table, regular)
-    if rows.num_rows <= IN_PLAN_FORMS:
+    rows = table.toArrow()
+    if size <= IN_PLAN_FORMS:
         forms = dict(zip(rows["word"].to_pylist(), rows["value"].to_pylist()))
         return lemmatised(docs, forms, regular)
     lemma = f"coalesce(lemma, {regular_lemma('token') if regular else 'token'})"

@@ -94,11 +94,12 @@ def apply_phrases(docs: DataFrame, model: PhraseModel, key: Sequence[str] = ("do
     """
     # the length says where the first token ends, whatever the tokens hold
     pair = F.concat(F.length("a").cast("string"), F.lit(":"), "a", "b").alias("word")
-    found = model.phrases.select(pair, F.lit("1").alias("value")).limit(BROADCAST_PHRASES + 1).toArrow()
-    if not found.num_rows:
+    size = model.phrases.count()
+    if not size:
         return docs
-    if found.num_rows > BROADCAST_PHRASES:
+    if size > BROADCAST_PHRASES:
         return _merged(_flagged_by_join(docs, model))
+    found = model.phrases.select(pair, F.lit("1").alias("value")).toArrow()
     next_pair = f"zip_with(tokens, slice(tokens, 2, size(tokens)), (a, b) -> concat(length(a), ':', a, b))"
     if found.num_rows > IN_PLAN_PHRASES:
         paired = looked_up(docs.withColumn("_pairs", F.expr(next_pair)), "_pairs", found, "_found")
@@ -145,13 +146,20 @@ def _flagged_by_join(docs: DataFrame, model: PhraseModel) -> DataFrame:
 
 def _merged(flagged: DataFrame) -> DataFrame:
     """Merge by flags. Replacing each ``1.`` in turn is the greedy, non-overlapping scan: it leaves 1
-    where a phrase starts, 2 on its second token and 0 elsewhere."""
+    where a phrase starts, 2 on its second token and 0 elsewhere.
+
+    Tokens, their successors and their marks are zipped, so each of these arrays is made once per row.
+    """
     marks = F.split(F.regexp_replace("_flags", "1.", "12"), "")
-    joined = F.transform(
-        "tokens",
-        lambda token, i: F.when(F.get(marks, i) == "1", F.concat(token, F.lit(DELIMITER), F.get("tokens", i + 1)))
-        .when(F.get(marks, i) == "2", F.lit(None))
-        .otherwise(token),
+    pairs = F.zip_with(
+        "tokens", F.slice("tokens", F.lit(2), F.size("tokens")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    )
+    joined = F.zip_with(
+        pairs,
+        marks,
+        lambda pair, mark: F.when(mark == "1", F.concat(pair["a"], F.lit(DELIMITER), pair["b"]))
+        .when(mark == "2", F.lit(None))
+        .otherwise(pair["a"]),
     )
     merged = F.filter(joined, lambda token: token.isNotNull())
     untouched = F.instr("_flags", "1") == 0

@@ -13,7 +13,7 @@ from themeloom.functions.text import CHUNK_WORDS, MIN_TOKENS, words_of, without_
 from themeloom.operators import dictionary as dct
 from themeloom.operators import phrases as phr
 from themeloom.operators.documents import chunked, content_tokens, evaluated_once, present_texts, with_enough_tokens
-from themeloom.operators.lemmas import lemmatised
+from themeloom.operators.inflection import attested_lemmas
 from themeloom.staging import stage
 
 
@@ -31,7 +31,7 @@ class CorpusSettings:
     no_below: int = dct.NO_BELOW
     no_above: float = dct.NO_ABOVE
     keep_terms: int | None = dct.KEEP_TERMS
-    lemmatise: Callable[[DataFrame], DataFrame] = lemmatised
+    lemmatise: Callable[[DataFrame], DataFrame] = attested_lemmas
 
 
 def lemma_tokens(docs: DataFrame, settings: CorpusSettings) -> DataFrame:
