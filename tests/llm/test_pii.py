@@ -178,3 +178,24 @@ def test_names_of_secrets_without_a_value_stay():
 @pytest.mark.parametrize("start", ["token=", "Secret: ", "PASSWORD = "])
 def test_named_values_of_other_kinds_keep_their_kind(kind, value, start):
     assert [(e.kind, e.value) for e in pii.detected(f"{start}{value} x")] == [(kind, value)]
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("mail " + "x" * 70 + "@example.com end", "email"),
+        ("mail a@" + "x" * 70 + ".example.com end", "email"),
+        ('TOKEN = "' + "0a" * 40 + '" end', "quoted_secret"),
+        ("Mr Carter" + "b" * 60 + " left", "person"),
+    ],
+)
+def test_entities_of_any_length_are_replaced_whole(text, kind):
+    (entity,) = pii.detected(text)
+    new, _ = pii.replaced(text, "k", {})
+    assert entity.kind == kind and entity.value not in new
+    assert not any(run in new for run in ("xxxxxxxxxx", "0a0a0a", "bbbbbbbbbb"))
+
+
+def test_letters_of_any_script_are_replaced_by_their_like():
+    new, _ = pii.replaced("password=пароль密碼秘密хорошо end", "k", {})
+    assert "密碼" not in new and new.startswith("password=") and len(new) == len("password=пароль密碼秘密хорошо end")

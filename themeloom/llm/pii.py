@@ -15,7 +15,6 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import count
 
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themeloom.llm.shared import freed_worker, fresh, text_slices
+from themeloom.llm.shared import freed_worker, fresh, kept_in_worker, text_slices
 from themeloom.staging import stage
 
 DEFAULT_KEY = "surrogates"
@@ -60,9 +59,9 @@ TITLES = {
     "госпожа": "f", "κύριος": "m", "κυρία": "f",
 }
 
-_NAME = r"[^\W\d_a-zà-öø-ÿа-яёα-ωά-ώ][^\W\d_]{1,30}"
+_NAME = r"[^\W\d_a-zà-öø-ÿа-яёα-ωά-ώ][^\W\d_]+"
 _PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
-_EMAIL = r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]+\.)+[A-Za-z]{2,24}"
+_EMAIL = r"(?<![\w.+-])[\w.+-]++@(?:[\w-]++\.)+[A-Za-z]{2,}"
 _CLOUD_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
 _TOKEN = r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
 PATTERN = re.compile(
@@ -73,7 +72,7 @@ PATTERN = re.compile(
             rf"(?P<cloud_key>{_CLOUD_KEY})",
             rf"(?P<token>{_TOKEN})",
             rf"(?=[PpSsAaTt])(?i:password|passwd|pwd|secret|api_key|apikey|token)[ \t]*[=:][ \t]*(?!{_PRIVATE_KEY}|{_EMAIL}|{_CLOUD_KEY}|{_TOKEN})(?P<secret>[^\s\"'<>,;]{{4,}})",
-            r"(?P<quoted_secret>(?<=\")[0-9a-fA-F]{32,64}(?=\"))",
+            r"(?P<quoted_secret>(?<=\")[0-9a-fA-F]{32,}(?=\"))",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
             r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))",
             r"(?P<ip6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))",
@@ -218,9 +217,18 @@ def _same_form(value: str, stream: _Stream, hexadecimal: bool = False) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=4096)
 def _alike(c: str) -> str:
-    """Letters or digits of a character's script and class, from its page of 256; a-z where it is the only one."""
+    """Letters or digits of a character's script and class, from its page of 256; a-z where it is the only one.
+
+    Kept per worker: one entry at most for each letter and digit there is.
+    """
+    known = kept_in_worker("letters alike", dict)
+    if c not in known:
+        known[c] = _letters_like(c)
+    return known[c]
+
+
+def _letters_like(c: str) -> str:
     page, script, kind = ord(c) & ~0xFF, unicodedata.name(c, "").split(" ")[0], unicodedata.category(c)
     found = [
         x
@@ -421,21 +429,23 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text",
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freed_worker()
+        known = shared.value if shared is not None else {}
         for batch in batches:
-            texts, tallies = batch.column(at), []
-            known = shared.value if shared is not None else {}
-            new = []
-            for i, value in enumerate(texts.to_pylist()):
-                if by is not None:
-                    known = {(r["kind"], r["value"]): r["attempt"] for r in batch.column(by)[i].as_py() or ()}
-                out, found = replaced(value, key, known) if value else (value, [])
-                new.append(out)
-                tallies.append([sum(e.kind == kind for e in found) for kind in KINDS] if found else [0] * len(KINDS))
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(new, pa.string())
-            if counts:
-                columns += [pa.array(tally, pa.int64()) for tally in zip(*tallies, strict=True)]
-            if batch.num_rows:
+            for start, texts in text_slices(batch.column(at)):
+                here = batch.slice(start, len(texts))
+                present, tallies, new = here.column(at).is_valid().to_pylist(), [], []
+                for i, value in enumerate(texts):
+                    if by is not None:
+                        known_here = {(r["kind"], r["value"]): r["attempt"] for r in here.column(by)[i].as_py() or ()}
+                    else:
+                        known_here = known
+                    out, found = replaced(value, key, known_here) if value else (value, [])
+                    new.append(out if present[i] else None)
+                    tallies.append([sum(e.kind == kind for e in found) for kind in KINDS] if found else [0] * len(KINDS))
+                columns = list(here.columns[: len(names)])
+                columns[at] = pa.array(new, pa.string())
+                if counts:
+                    columns += [pa.array(tally, pa.int64()) for tally in zip(*tallies, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return given.mapInArrow(put, schema)
