@@ -561,6 +561,21 @@ def _metric_queries() -> dict[str, str]:
         min(total / n) FILTER (gaps.label <> own) AS b
       FROM gaps JOIN size ON size.label = gaps.label GROUP BY ALL)
     SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM score"""
+    # the second and fourth moment of all distances bound their mean
+    out["silhouette_work"] = f"""WITH p AS MATERIALIZED (SELECT v, label, row_number() OVER () AS id, count(*) AS w
+        FROM ({_VECTORS}) GROUP BY v, label),
+    far AS (SELECT a.id, a.label AS own, b.label, sum(b.w * list_distance(a.v, b.v) ^ 2) / sum(b.w) AS m2,
+        sum(b.w * list_distance(a.v, b.v) ^ 4) / sum(b.w) AS m4, count(*) AS targets
+      FROM p a, p b GROUP BY a.id, a.label, b.label),
+    dims AS (SELECT label, w, unnest(range(len(v))) AS j, unnest(v) AS x FROM p),
+    middle AS (SELECT label, list(m ORDER BY j) AS c
+      FROM (SELECT label, j, sum(w * x) / sum(w) AS m FROM dims GROUP BY label, j) GROUP BY label),
+    bound AS (SELECT far.*, sqrt(m2) AS most,
+        greatest(list_distance(p.v, c), CASE WHEN m4 > 0 THEN m2 * sqrt(m2) / sqrt(m4) ELSE 0 END) AS least
+      FROM far JOIN p USING (id) JOIN middle m ON m.label = far.label),
+    best AS (SELECT *, min(most) FILTER (label <> own) OVER (PARTITION BY id) AS nearest FROM bound)
+    SELECT (SELECT count(*) FROM p)::BIGINT AS points, ((SELECT count(*) FROM p) ** 2)::BIGINT AS pairs_possible,
+      (sum(targets) FILTER (label = own OR least <= nearest * (1 + 1e-9) + 1e-9))::BIGINT AS pairs_compared FROM best"""
     rows = []
     for k in TOPIC_COUNTS:
         cut = f"SELECT doc_id, {_folded(k)}, label FROM ({_FLAWED})"

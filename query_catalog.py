@@ -445,6 +445,10 @@ def silhouette(spark, folder):
     return cm.silhouette(_vectors(spark, folder)).select(F.round("silhouette", 6).alias("silhouette"))
 
 
+def silhouette_work(spark, folder):
+    return cm.silhouette_work(_vectors(spark, folder))
+
+
 def davies_bouldin(spark, folder):
     profiles = stage(cm.cluster_profiles(_vectors(spark, folder)), "profiles")
     return cm.davies_bouldin(profiles).select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
@@ -722,6 +726,7 @@ QUERIES = {
     "topic_trend": topic_trend,
     "valid_points": valid_points,
     "silhouette": silhouette,
+    "silhouette_work": silhouette_work,
     "davies_bouldin": davies_bouldin,
     "calinski_harabasz": calinski_harabasz,
     "squared_silhouette": squared_silhouette,

@@ -54,3 +54,26 @@ def test_distances_and_map(terms):
     placed = {r.topic: np.array([r.x, r.y]) for r in br.topic_map(rows).collect()}
     for (i, j), value in found.items():
         assert np.linalg.norm(placed[i] - placed[j]) == pytest.approx(value)
+
+
+@pytest.mark.parametrize("part", [20_000, 40])
+def test_skyband_keeps_every_term_that_any_weight_lists(spark, monkeypatch, part):
+    monkeypatch.setattr(br, "SKYBAND_TERMS", part)
+    rng = np.random.default_rng(5)
+    rows = [(t, f"w{i:03d}", float(a), float(b)) for t in range(3) for i, (a, b) in enumerate(rng.normal(size=(300, 2)).round(1))]
+    placed = spark.createDataFrame(rows, "topic int, term string, lw double, ll double")
+    kept = {(r.topic, r.term) for r in br.relevance_skyband(placed, 5).collect()}
+    for topic in range(3):
+        own = [r for r in rows if r[0] == topic]
+        beaten = {a[1]: sum(b[2] > a[2] + br.BEATEN_BY and b[3] > a[3] + br.BEATEN_BY for b in own) for a in own}
+        assert {term for t, term in kept if t == topic} == {term for term, n in beaten.items() if n < 5}
+        for step in np.linspace(0, 1, 101):
+            ranked = sorted(own, key=lambda r: (-round(step * r[2] + (1 - step) * r[3], 9), r[1]))[:5]
+            assert {(topic, r[1]) for r in ranked} <= kept
+
+
+def test_map_keeps_distances_of_points_in_a_plane(spark):
+    places = {0: (0.0, 0.0), 1: (3.0, 0.0), 2: (0.0, 4.0), 3: (2.0, 2.0)}
+    pairs = [(a, b, math.dist(places[a], places[b])) for a in places for b in places if a < b]
+    found = {r.topic: (r.x, r.y) for r in br.topic_map(spark.createDataFrame(pairs, "topic_a int, topic_b int, distance double")).collect()}
+    assert [math.dist(found[a], found[b]) for a, b, _ in pairs] == pytest.approx([d for *_, d in pairs])

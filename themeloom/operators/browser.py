@@ -5,18 +5,26 @@ Input ``terms`` holds ``topic, term, weight`` with weights that sum to 1 per top
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from themeloom.staging import stage
+
 # Terms listed per view, and the step between relevance weights.
 LISTED_TERMS = 30
 LAMBDA_STEP = 0.01
 
 MAX_TOPICS = 2_000
+#: Terms of a topic that one task compares.
+SKYBAND_TERMS = 20_000
+#: Twice the rounding of relevance.
+BEATEN_BY = 2e-9
 
 
 def topic_shares(vectors: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -60,21 +68,68 @@ def relevant_terms(
     lambdas: Sequence[float] | None = None,
     n: int = LISTED_TERMS,
 ) -> DataFrame:
-    """``topic, lambda, rank, term, relevance``: lambda * log w + (1 - lambda) * log(w / share)."""
-    steps = F.array(*[F.lit(float(x)) for x in (relevance_weights() if lambdas is None else lambdas)])
+    """``topic, lambda, rank, term, relevance``: lambda * log w + (1 - lambda) * log(w / share).
+
+    ``lambdas`` lie between 0 and 1. Only terms that can be among the ``n`` best for one of them are scored
+    for all of them (``relevance_skyband``).
+    """
+    steps = [float(x) for x in (relevance_weights() if lambdas is None else lambdas)]
     log_weight = F.log("weight")
-    scored = (
+    placed = (
         terms.filter(F.col("weight") > 0)
         .join(saliency.select("term", "share"), "term")
         .select("topic", "term", log_weight.alias("lw"), (log_weight - F.log("share")).alias("ll"))
-        .withColumn("lambda", F.explode(steps))
-        .withColumn("relevance", F.col("lambda") * F.col("lw") + (1 - F.col("lambda")) * F.col("ll"))
+    )
+    if steps and 0 <= min(steps) and max(steps) <= 1:
+        placed = relevance_skyband(placed, n)
+    scored = placed.withColumn("lambda", F.explode(F.array(*map(F.lit, steps)))).withColumn(
+        "relevance", F.col("lambda") * F.col("lw") + (1 - F.col("lambda")) * F.col("ll")
     )
     best = Window.partitionBy("topic", "lambda").orderBy(F.desc(F.round("relevance", 9)), "term")
     ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
     return ranked.select("topic", "lambda", "rank", "term", "relevance")
 
 
+def relevance_skyband(placed: DataFrame, n: int = LISTED_TERMS) -> DataFrame:
+    """Rows of ``topic, term, lw, ll`` that fewer than ``n`` terms of their topic beat in both ``lw`` and ``ll``.
+
+    Relevance is a mean of the two with weights of 0 to 1, so a term that ``n`` others beat in both is among
+    the ``n`` best for no weight. Beaten means by more than the rounding of relevance. Terms of a topic are
+    dealt into parts of bounded size first: who is beaten ``n`` times in a part is out for the whole, and
+    those who beat it beat whom it beats, so that the parts' survivors decide.
+    """
+    placed = stage(placed, "relevance-terms")
+    # one row per topic
+    sizes = placed.groupBy("topic").agg(F.ceil(F.count("*") / SKYBAND_TERMS).cast("int").alias("_parts"))
+    schema = placed.schema
+
+    def survivors(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[_in_skyband(rows["lw"].to_numpy(), rows["ll"].to_numpy(), n)][schema.fieldNames()]
+
+    part = F.pmod(F.xxhash64("term"), F.col("_parts")).alias("_part")
+    dealt = placed.join(F.broadcast(_bounded(sizes)), "topic").select(*placed.columns, part)
+    local = dealt.groupBy("topic", "_part").applyInPandas(survivors, schema)
+    return local.groupBy("topic").applyInPandas(survivors, schema)
+
+
+def _in_skyband(lw: np.ndarray, ll: np.ndarray, n: int) -> np.ndarray:
+    """Which points fewer than ``n`` others beat in both values by more than BEATEN_BY."""
+    keep = np.ones(len(lw), dtype=bool)
+    order = np.argsort(-lw, kind="stable")
+    best: list[float] = []  # the n largest ll of points whose lw is far enough above
+    ahead = 0
+    for i in order.tolist():
+        while lw[order[ahead]] > lw[i] + BEATEN_BY:
+            value = float(ll[order[ahead]])
+            if len(best) < n:
+                heapq.heappush(best, value)
+            elif value > best[0]:
+                heapq.heapreplace(best, value)
+            ahead += 1
+        keep[i] = len(best) < n or not best[0] > ll[i] + BEATEN_BY
+    return keep
+
+
 def topic_distances(terms: DataFrame) -> DataFrame:
     """``topic_a, topic_b, distance``: Jensen-Shannon divergence for each a < b.
 
