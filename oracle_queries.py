@@ -346,8 +346,13 @@ def _corpus_queries() -> dict[str, str]:
             (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM a))::BIGINT
               AS missing_left,
             (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1))::BIGINT
-              AS repeated_keys"""
+              AS repeated_keys, 0::BIGINT AS changed"""
         ),
+        "alignment_changes": f"""SELECT count(*)::BIGINT AS left_rows, count(*)::BIGINT AS right_rows,
+            count(DISTINCT doc_id)::BIGINT AS distinct_keys, 0::BIGINT AS missing_right, 0::BIGINT AS missing_left,
+            (count(*) - count(DISTINCT doc_id))::BIGINT AS repeated_keys,
+            count(*) FILTER (d.text IS DISTINCT FROM f.text)::BIGINT AS changed
+            FROM documents d JOIN ({_FILINGS}) f USING (doc_id)""",
         "token_counts": _kept().select("SELECT tok AS token, count(*)::BIGINT AS n FROM k GROUP BY tok"),
         "top_tokens": _kept().select(
             "SELECT tok AS token, count(*)::BIGINT AS n FROM k GROUP BY tok ORDER BY n DESC, token LIMIT 50"
@@ -422,20 +427,22 @@ def _model_facts() -> dict[str, str]:
     counts = ", ".join(map(str, TOPIC_COUNTS))
     return {
         "model_fit_facts": chain.select(
-            "SELECT 14 AS k, (SELECT count(*) FROM d)::BIGINT AS vocabulary, true AS negative, true AS positive"
+            "SELECT 14 AS k, (SELECT count(*) FROM d)::BIGINT AS vocabulary, (SELECT sum(cf) FROM d)::BIGINT AS n_tokens, "
+            "true AS negative, true AS positive"
         ),
         "model_vectors_facts": chain.select(
             "SELECT doc_id, 14 AS n_topics, CASE WHEN count(term) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS total "
             "FROM f LEFT JOIN d ON tok = term GROUP BY doc_id"
         ),
         "model_words_facts": chain.select(
-            """SELECT t.i::INT AS topic, (r.i + 1)::INT AS rank, true AS in_dictionary
+            """SELECT t.i::INT AS topic, (r.i + 1)::INT AS rank, true AS in_dictionary, true AS falling, 1.0::DOUBLE AS topic_total
             FROM range(14) t(i), range(10) r(i) WHERE r.i < (SELECT count(*) FROM d)"""
         ),
         "model_saved_facts": chain.select(f"SELECT doc_id, true AS same, true AS in_range FROM ({docs})"),
         "model_sweep_facts": chain.select(
             f"SELECT doc_id, lang, source, {ranges} FROM documents WHERE doc_id IN ({docs})"
         ),
+        "heldout_perplexity": _heldout_query(),
         "model_evaluation_facts": chain.select(
             f"SELECT unnest([{counts}]) AS k, (SELECT count(*) FROM ({docs}))::BIGINT AS n_docs"
         ),
@@ -510,6 +517,37 @@ def _assignment_queries() -> dict[str, str]:
         "topic_sizes": f"SELECT topic, count(*)::BIGINT AS n_docs FROM ({dominant}) GROUP BY topic",
         "topic_agreement": "SELECT topic_k14 AS topic_left, topic_k20 AS topic_right, count(*)::BIGINT AS n_docs "
         f"FROM ({wide}) GROUP BY ALL",
+        "topic_agreement_scores": f"""WITH d AS (SELECT topic_k14 AS a, topic_k20 AS b FROM ({wide})),
+            c AS (SELECT a, b, count(*)::DOUBLE AS n FROM d GROUP BY ALL),
+            l AS (SELECT a, count(*)::DOUBLE AS n FROM d GROUP BY a), r AS (SELECT b, count(*)::DOUBLE AS n FROM d GROUP BY b),
+            t AS (SELECT count(*)::DOUBLE AS n FROM d),
+            p AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS cp, (SELECT sum(n * (n - 1) / 2) FROM l) AS lp,
+              (SELECT sum(n * (n - 1) / 2) FROM r) AS rp, (SELECT n * (n - 1) / 2 FROM t) AS every),
+            e AS (SELECT (SELECT -sum(l.n / t.n * ln(l.n / t.n)) FROM l, t) AS hl, (SELECT -sum(l.n / t.n * ln(l.n / t.n)) FROM r l, t) AS hr,
+              (SELECT sum(c.n / t.n * ln(c.n * t.n / (l.n * r.n))) FROM c JOIN l ON l.a = c.a JOIN r ON r.b = c.b CROSS JOIN t) AS mi)
+            SELECT (SELECT n FROM t)::BIGINT AS n_docs,
+              round((cp - lp * rp / every) / ((lp + rp) / 2 - lp * rp / every), 9) AS adjusted_rand,
+              round(mi / ((hl + hr) / 2), 9) AS normalised_information FROM p, e""",
+        "topic_trend_test": f"""WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS period, topic, count(*) AS n
+              FROM ({dominant}) JOIN orders ON o_orderkey = doc_id GROUP BY ALL),
+            months AS (SELECT unnest(generate_series((SELECT min(period) FROM m), (SELECT max(period) FROM m), INTERVAL 1 MONTH))::DATE AS period),
+            spine AS (SELECT topic, period, row_number() OVER (PARTITION BY topic ORDER BY period) AS i
+              FROM (SELECT DISTINCT topic FROM m), months),
+            share AS (SELECT s.topic, i, coalesce(n::DOUBLE / (SELECT sum(x.n) FROM m x WHERE x.period = s.period)::DOUBLE, 0) AS v
+              FROM spine s LEFT JOIN m USING (topic, period)),
+            pairs AS (SELECT a.topic, sign(b.v - a.v) AS up, (b.v - a.v) / (b.i - a.i) AS slope
+              FROM share a JOIN share b ON a.topic = b.topic AND a.i < b.i),
+            sums AS (SELECT topic, sum(up) AS s, median(slope) AS slope FROM pairs GROUP BY topic),
+            ties AS (SELECT topic, sum(t * (t - 1) * (2 * t + 5)) AS tied, sum(t) AS n
+              FROM (SELECT topic, v, count(*) AS t FROM share GROUP BY ALL) GROUP BY topic),
+            z AS (SELECT topic, n, s, slope, (s - sign(s)) / sqrt((n * (n - 1) * (2 * n + 5) - tied) / 18) AS z FROM ties JOIN sums USING (topic))
+            SELECT topic, n::BIGINT AS n_periods, s::BIGINT AS s, round(z, 6) AS z,
+              CASE WHEN z > 1.96 THEN 'rising' WHEN z < -1.96 THEN 'falling' ELSE 'steady' END AS direction,
+              round(slope, 9) AS slope FROM z""",
+        "write_wide_assignments": "SELECT doc_id, "
+        + ", ".join(f"topic_k{k}, round(topic_k{k}_prob, 6) AS topic_k{k}_prob" for k in TOPIC_COUNTS)
+        + f" FROM ({wide})",
+        "write_topic_texts": "SELECT md5(text) AS digest, lang AS topic FROM documents WHERE text IS NOT NULL",
         "topic_trend": "SELECT date_trunc('year', o_orderdate)::DATE AS period, topic, count(*)::BIGINT AS n_docs "
         f"FROM ({dominant}) JOIN orders ON o_orderkey = doc_id GROUP BY ALL",
     }
@@ -584,6 +622,7 @@ def _metric_queries() -> dict[str, str]:
         "SELECT k, round(silhouette, 4) AS silhouette, round(davies_bouldin, 4) AS davies_bouldin, "
         f"round(calinski_harabasz, 4) AS calinski_harabasz FROM ({' UNION ALL '.join(rows)})"
     )
+    out["write_metric_csv"] = out["metric_table"]
     return out
 
 
@@ -606,6 +645,24 @@ def _language_terms() -> Chain:
     return chain
 
 
+def _heldout_query() -> str:
+    chain = _language_terms()
+    chain.add(
+        "odd",
+        """SELECT lang, tok AS term, count(*) AS n FROM (
+          SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM t) WHERE seq % 2 = 0 GROUP BY ALL""",
+    )
+    chain.add(
+        "chances",
+        """SELECT o.lang, o.term, any_value(n) AS n, sum(CASE WHEN topic = lang THEN 0.925 ELSE 0.025 END::DOUBLE * weight) AS chance
+        FROM odd o JOIN terms USING (term) GROUP BY o.lang, o.term""",
+    )
+    return chain.select(
+        """SELECT sum(n)::BIGINT AS n_tokens, round(sum(n * ln(chance)), 3) AS log_likelihood,
+        round(exp(-sum(n * ln(chance)) / sum(n)), 6) AS perplexity FROM chances"""
+    )
+
+
 def _coherence(languages: str) -> str:
     """Window counts by listing, for every occurrence, the windows that hold it."""
     chain = _language_terms()

@@ -11,18 +11,19 @@ from __future__ import annotations
 from functools import partial, reduce
 
 from pyspark.ml.clustering import LDAModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions import stopwords as sw
 from themeloom.functions import text as tx
 from themeloom.functions.vectors import as_doubles
+from themeloom.operators import agreement
 from themeloom.operators import browser as br
 from themeloom.operators import cluster_metrics as cm
 from themeloom.operators import coherence as coh
 from themeloom.operators import dictionary as dct
 from themeloom.operators import documents as dox
-from themeloom.operators import inflection, lda, topics
+from themeloom.operators import inflection, lda, topics, trends
 from themeloom.operators import lemmas as lem
 from themeloom.operators import phrases as phr
 from themeloom.plans import corpus as cp
@@ -131,6 +132,30 @@ def write_assignments(spark, folder):
     return spark.read.parquet(path).select("doc_id", F.col("k").cast("int").alias("k"), "topic", "prob")
 
 
+def write_wide_assignments(spark, folder):
+    """All topic counts as columns, written and read again."""
+    path = staged_path(spark, "wide-assignments")
+    writers.write_table(_wide(spark, folder), path)
+    return spark.read.parquet(path).select(
+        "doc_id", *(c for k in TOPIC_COUNTS for c in (f"topic_k{k}", F.round(f"topic_k{k}_prob", 6).alias(f"topic_k{k}_prob")))
+    )
+
+
+def write_topic_texts(spark, folder):
+    """Texts with their topic, written and read again; languages stand in for topics."""
+    path = staged_path(spark, "topic-texts")
+    writers.write_table(_texts(spark, folder, "lang").select("text", F.col("lang").alias("topic")), path)
+    return spark.read.parquet(path).select(F.md5("text").alias("digest"), "topic")
+
+
+def write_metric_csv(spark, folder):
+    """The metric table as CSV, written and read again."""
+    path = staged_path(spark, "metrics-csv")
+    writers.write_csv(metric_table(spark, folder), path)
+    schema = "k int, silhouette double, davies_bouldin double, calinski_harabasz double"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def write_index_csv(spark, folder):
     path = staged_path(spark, "index-csv")
     writers.write_csv(index_map(spark, folder), path)
@@ -267,6 +292,11 @@ def alignment_report(spark, folder):
     return dox.alignment_report(_kept(spark, folder), _table(spark, folder, "labels"))
 
 
+def alignment_changes(spark, folder):
+    """Equal keys whose texts differ: the documents beside their filings."""
+    return dox.alignment_report(_texts(spark, folder), _filings(spark, folder), content=("text",))
+
+
 def index_map(spark, folder):
     gappy = _gappy(spark, folder)
     survivors = dox.with_enough_tokens(dox.content_tokens(gappy, SETTINGS.stop_words))
@@ -423,6 +453,29 @@ def topic_trend(spark, folder):
     return topics.topic_trend(dominant_topics(spark, folder).join(orders, "doc_id"), "o_orderdate")
 
 
+def topic_agreement_scores(spark, folder):
+    scores = agreement.agreement_scores(topic_agreement(spark, folder))
+    return scores.select(
+        "n_docs",
+        F.round("adjusted_rand", 9).alias("adjusted_rand"),
+        F.round("normalised_information", 9).alias("normalised_information"),
+    )
+
+
+def topic_matching(spark, folder):
+    return agreement.best_matching(topic_agreement(spark, folder))
+
+
+def topic_trend_test(spark, folder):
+    orders = _table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
+    monthly = topics.topic_trend(dominant_topics(spark, folder).join(orders, "doc_id"), "o_orderdate", "month")
+    tested = trends.topic_trend_test(monthly, "month")
+    return tested.select(
+        "topic", F.col("n_periods").cast("long").alias("n_periods"), "s", F.round("z", 6).alias("z"), "direction",
+        F.round("slope", 9).alias("slope"),
+    )
+
+
 # Cluster metrics
 
 
@@ -551,43 +604,35 @@ def topic_map(spark, folder):
 
 # Models. Training is iterative, so the queries named ..._facts give what SQL can know of the same output.
 
-_corpora: dict[tuple[str, str], md.Corpus] = {}
-_models: dict[tuple[str, str, int], LDAModel] = {}
-
-
 def _corpus(spark: SparkSession, folder: str) -> md.Corpus:
-    """The prepared corpus, once per application and folder."""
-    name = (spark.sparkContext.applicationId, folder)
-    if name not in _corpora:
-        _corpora[name] = md.build_corpus(cp.prepared_documents(_texts(spark, folder), SETTINGS), SETTINGS)
-    return _corpora[name]
+    return md.build_corpus(cp.prepared_documents(_texts(spark, folder), SETTINGS), SETTINGS)
 
 
-def _trained(spark: SparkSession, folder: str, *counts: int) -> dict[int, LDAModel]:
-    """A model per topic count; each is trained once per application and folder."""
-    app = spark.sparkContext.applicationId
-    missing = [k for k in counts if (app, folder, k) not in _models]
-    for k, model in lda.train_sweep(_corpus(spark, folder).vectors, missing) if missing else ():
-        _models[app, folder, k] = model
-    return {k: _models[app, folder, k] for k in counts}
+def _trained(corpus: md.Corpus, *counts: int) -> dict[int, LDAModel]:
+    return dict(lda.train_sweep(corpus.vectors, counts))
 
 
-def _model(spark: SparkSession, folder: str) -> LDAModel:
-    return _trained(spark, folder, 14)[14]
+def _corpus_and_model(spark: SparkSession, folder: str) -> tuple[md.Corpus, LDAModel]:
+    corpus = _corpus(spark, folder)
+    return corpus, _trained(corpus, 14)[14]
 
 
 def model_fit(spark, folder):
-    corpus = _corpus(spark, folder)
-    return lda.fit_report(_model(spark, folder), corpus.vectors, dct.token_total(corpus.dictionary), 14)
+    corpus, model = _corpus_and_model(spark, folder)
+    return lda.fit_report(model, corpus.vectors, dct.token_total(corpus.dictionary), 14)
 
 
 def model_fit_facts(spark, folder):
     fit = model_fit(spark, folder)
-    return fit.select("k", "vocabulary", (F.col("log_likelihood") < 0).alias("negative"), (F.col("log_perplexity") > 0).alias("positive"))
+    tokens = F.round(-F.col("log_likelihood") / F.col("log_perplexity")).cast("long")
+    return fit.select(
+        "k", "vocabulary", tokens.alias("n_tokens"), (F.col("log_likelihood") < 0).alias("negative"), (F.col("log_perplexity") > 0).alias("positive")
+    )
 
 
 def model_vectors(spark, folder):
-    return lda.topic_vectors(_model(spark, folder), _corpus(spark, folder).vectors)
+    corpus, model = _corpus_and_model(spark, folder)
+    return lda.topic_vectors(model, corpus.vectors)
 
 
 def model_vectors_facts(spark, folder):
@@ -597,35 +642,53 @@ def model_vectors_facts(spark, folder):
     )
 
 
+def _model_words(corpus: md.Corpus, model: LDAModel) -> DataFrame:
+    return topics.top_words(stage(lda.topic_terms(model, corpus.dictionary), "terms"))
+
+
 def model_words(spark, folder):
-    corpus = _corpus(spark, folder)
-    terms = stage(lda.topic_terms(_model(spark, folder), corpus.dictionary), "terms")
-    return topics.top_words(terms)
+    return _model_words(*_corpus_and_model(spark, folder))
 
 
 def model_words_facts(spark, folder):
-    known = _corpus(spark, folder).dictionary.select("term", F.lit(True).alias("in_dictionary"))
-    words = model_words(spark, folder).join(known, "term", "left")
-    return words.select("topic", "rank", F.coalesce("in_dictionary", F.lit(False)).alias("in_dictionary"))
+    corpus, model = _corpus_and_model(spark, folder)
+    known = corpus.dictionary.select("term", F.lit(True).alias("in_dictionary"))
+    terms = stage(lda.topic_terms(model, corpus.dictionary), "terms")
+    total = terms.groupBy("topic").agg(F.round(F.sum("weight"), 6).alias("topic_total"))
+    words = topics.top_words(terms).withColumn("before", F.lag("weight").over(Window.partitionBy("topic").orderBy("rank")))
+    words = words.join(known, "term", "left").join(total, "topic")
+    return words.select(
+        "topic",
+        "rank",
+        F.coalesce("in_dictionary", F.lit(False)).alias("in_dictionary"),
+        F.coalesce(F.col("weight") <= F.col("before"), F.col("rank") == 1).alias("falling"),
+        "topic_total",
+    )
+
+
+def _saved_and_loaded(spark: SparkSession, corpus: md.Corpus, model: LDAModel) -> LDAModel:
+    path, words = staged_path(spark, "model"), dct.vocabulary(corpus.dictionary)
+    lda.save_model(model, path, words)
+    return lda.load_model(path, words)
 
 
 def model_saved(spark, folder):
-    path = staged_path(spark, "model")
-    lda.save_model(_model(spark, folder), path)
-    return md.assignments(_corpus(spark, folder), lda.load_model(path), 14)
+    corpus, model = _corpus_and_model(spark, folder)
+    return md.assignments(corpus, _saved_and_loaded(spark, corpus, model), 14)
 
 
 def model_saved_facts(spark, folder):
-    before = md.assignments(_corpus(spark, folder), _model(spark, folder), 14)
-    after = model_saved(spark, folder).select("doc_id", F.col("topic").alias("topic_after"))
-    return before.join(after, "doc_id").select(
+    corpus, model = _corpus_and_model(spark, folder)
+    after = md.assignments(corpus, _saved_and_loaded(spark, corpus, model), 14)
+    after = after.select("doc_id", F.col("topic").alias("topic_after"))
+    return md.assignments(corpus, model, 14).join(after, "doc_id").select(
         "doc_id", (F.col("topic") == F.col("topic_after")).alias("same"), F.col("topic").between(-1, 13).alias("in_range")
     )
 
 
 def model_sweep(spark, folder):
     """Every step for all topic counts, with the assignments next to the documents."""
-    run = md.run_models(_corpus(spark, folder), TOPIC_COUNTS, trained=_trained(spark, folder, *TOPIC_COUNTS))
+    run = md.run_models(_corpus(spark, folder), TOPIC_COUNTS)
     return md.with_assignments(_documents(spark, folder).drop("text"), run)
 
 
@@ -637,7 +700,8 @@ def model_sweep_facts(spark, folder):
 
 
 def model_evaluation(spark, folder):
-    corpus, models = _corpus(spark, folder), _trained(spark, folder, *TOPIC_COUNTS)
+    corpus = _corpus(spark, folder)
+    models = _trained(corpus, *TOPIC_COUNTS)
     parts = [md.assignments(corpus, model, k) for k, model in models.items()]
     wide = topics.wide_assignments(reduce(DataFrame.unionByName, parts), sorted(models))
     return md.evaluate(stage(wide, "wide"), corpus, models)
@@ -647,6 +711,26 @@ def model_evaluation_facts(spark, folder):
     return model_evaluation(spark, folder).select("k", F.col("n_docs").cast("long").alias("n_docs"))
 
 
+def model_heldout(spark, folder):
+    """Perplexity of documents that took no part in dictionary and training."""
+    docs = cp.prepared_documents(_texts(spark, folder), SETTINGS)
+    training, heldout = md.heldout_documents(docs)
+    corpus = md.build_corpus(stage(training, "training"), SETTINGS)
+    return md.heldout_perplexity(corpus, _trained(corpus, 14)[14], heldout)
+
+
+def heldout_perplexity(spark, folder):
+    """Languages as topics: their word shares, and nine tenths of a document's weight on its own."""
+    terms, _ = _language_shares(spark, folder)
+    languages = ["de", "en", "es", "fr"]
+    weights = F.array(*[F.when(F.col("lang") == name, 0.925).otherwise(0.025) for name in languages])
+    thetas = _documents(spark, folder).select("doc_id", weights.alias("vector"))
+    _, scored = lda.split_tokens(dox.content_tokens(_texts(spark, folder), SETTINGS.stop_words, boilerplate=False))
+    counts = dct.document_token_counts(scored, ("doc_id",)).withColumnRenamed("token", "term")
+    report = lda.completion_perplexity(thetas, terms, counts)
+    return report.select("n_tokens", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("perplexity", 6).alias("perplexity"))
+
+
 def _chunk_assignments(spark: SparkSession, folder: str) -> DataFrame:
     chunks = cp.prepared_chunks(_texts(spark, folder), SETTINGS)
     corpus = md.build_corpus(chunks.drop("text"), SETTINGS, ("doc_id", "chunk_no"))
@@ -672,6 +756,9 @@ QUERIES = {
     "row_count": row_count,
     "preview": preview,
     "write_assignments": write_assignments,
+    "write_wide_assignments": write_wide_assignments,
+    "write_topic_texts": write_topic_texts,
+    "write_metric_csv": write_metric_csv,
     "write_index_csv": write_index_csv,
     "write_topic_lines": write_topic_lines,
     "save_corpus": save_corpus,
@@ -698,6 +785,7 @@ QUERIES = {
     "aligned_documents": aligned_documents,
     "labelled_documents": labelled_documents,
     "alignment_report": alignment_report,
+    "alignment_changes": alignment_changes,
     "index_map": index_map,
     "token_counts": token_counts,
     "top_tokens": top_tokens,
@@ -723,7 +811,10 @@ QUERIES = {
     "sparse_topics": sparse_topics,
     "topic_sizes": topic_sizes,
     "topic_agreement": topic_agreement,
+    "topic_agreement_scores": topic_agreement_scores,
+    "topic_matching": topic_matching,
     "topic_trend": topic_trend,
+    "topic_trend_test": topic_trend_test,
     "valid_points": valid_points,
     "silhouette": silhouette,
     "silhouette_work": silhouette_work,
@@ -751,6 +842,8 @@ QUERIES = {
     "model_sweep_facts": model_sweep_facts,
     "model_evaluation": model_evaluation,
     "model_evaluation_facts": model_evaluation_facts,
+    "model_heldout": model_heldout,
+    "heldout_perplexity": heldout_perplexity,
     "chunk_topics": chunk_topics,
     "chunk_topics_facts": chunk_topics_facts,
 }

@@ -66,7 +66,8 @@ def test_skyband_keeps_every_term_that_any_weight_lists(spark, monkeypatch, part
     for topic in range(3):
         own = [r for r in rows if r[0] == topic]
         beaten = {a[1]: sum(b[2] > a[2] + br.BEATEN_BY and b[3] > a[3] + br.BEATEN_BY for b in own) for a in own}
-        assert {term for t, term in kept if t == topic} == {term for term, n in beaten.items() if n < 5}
+        left = {term for t, term in kept if t == topic}
+        assert left <= {term for term, n in beaten.items() if n < 5} and len(left) < 60
         for step in np.linspace(0, 1, 101):
             ranked = sorted(own, key=lambda r: (-round(step * r[2] + (1 - step) * r[3], 9), r[1]))[:5]
             assert {(topic, r[1]) for r in ranked} <= kept

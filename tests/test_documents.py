@@ -71,6 +71,7 @@ def test_alignment(spark):
         "missing_right": 1,
         "missing_left": 1,
         "repeated_keys": 1,
+        "changed": 0,
     }
     with pytest.raises(ValueError, match="not aligned"):
         dox.require_alignment(left, right)
@@ -96,3 +97,14 @@ def test_sinks_round_trip(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["doc_id", "k", "topic"]
     writers.write_table(rows, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 3
+
+
+def test_changed_contents_are_counted(spark):
+    schema = "doc_id long, text string, note string"
+    left = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, None, "y"), (4, "d", ""), (4, "e", ""), (5, "f", "")], schema)
+    right = spark.createDataFrame([(1, "a", "z"), (2, "c", "x"), (3, "y", None), (4, "e", ""), (4, "d", ""), (6, "f", "")], schema)
+    assert dox.alignment_report(left, right, content=("text",)).first().changed == 2  # 2 and 3; 4 in another order
+    assert dox.alignment_report(left, right, content=("text", "note")).first().changed == 3
+    assert dox.alignment_report(left, right).first().changed == 0
+    with pytest.raises(ValueError):
+        dox.require_alignment(left.where("doc_id = 2"), right.where("doc_id = 2"), content=("text",))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -86,3 +87,58 @@ def test_fit_report_matches_the_library(corpus):
     terms = lda.topic_terms(model, corpus.dictionary)
     assert {round(r[1], 6) for r in terms.groupBy("topic").sum("weight").collect()} == {1.0}
     assert topics.top_words(terms).count() == 30
+
+
+def test_other_vocabularies_are_refused(corpus, spark, tmp_path):
+    model = lda.train_topics(corpus.vectors, 3, lda.TrainingPlan(1.0, 2))
+    words = corpus.vectoriser.vocabulary
+    lda.save_model(model, str(tmp_path / "m"), words)
+    assert lda.load_model(str(tmp_path / "m"), words).vocabSize() == len(words)
+    for other in (words[::-1], [*words[:-1], "other"], words[:-1]):
+        with pytest.raises(ValueError, match="another vocabulary"):
+            lda.load_model(str(tmp_path / "m"), other)
+    with pytest.raises(ValueError):
+        lda.save_model(model, str(tmp_path / "n"), words[:-1])
+    writers.save_corpus(corpus.dictionary, corpus.docs, corpus.vectoriser, str(tmp_path / "c"))
+    changed = corpus.dictionary.selectExpr("term_id", "CASE WHEN term_id = 0 THEN 'other' ELSE term END AS term")
+    changed.write.mode("overwrite").parquet(str(tmp_path / "c" / "dictionary"))
+    with pytest.raises(ValueError, match="different vocabularies"):
+        writers.load_corpus(spark, str(tmp_path / "c"))
+
+
+def test_models_side_by_side_are_those_of_one_by_one(corpus):
+    def matrices(at_once):
+        sweep = lda.train_sweep(corpus.vectors, (2, 3, 4), passes=2, at_once=at_once)
+        return [(k, model.topicsMatrix().toArray()) for k, model in sweep]
+
+    for (k, one), (other, many) in zip(matrices(1), matrices(3), strict=True):
+        assert k == other and (one == many).all()
+
+
+@pytest.mark.parametrize("most", [8_000_000, 0])
+def test_completion_perplexity(spark, monkeypatch, most):
+    monkeypatch.setattr(lda, "MOST_WEIGHTS", most)
+    phi = [{"a": 0.5, "b": 0.5}, {"b": 0.25, "c": 0.75}]
+    terms = spark.createDataFrame([(t, w, p) for t, words in enumerate(phi) for w, p in words.items()], "topic int, term string, weight double")
+    theta = {1: [0.5, 0.5], 2: [1.0, 0.0], 3: [0.0, 0.0]}
+    thetas = spark.createDataFrame(list(theta.items()), "doc_id int, vector array<double>")
+    rows = [(1, "a", 2), (1, "b", 1), (1, "x", 4), (2, "b", 3), (2, "c", 1), (3, "a", 1), (4, "a", 1)]
+    counts = spark.createDataFrame(rows, "doc_id int, term string, n int")
+    expected = 2 * math.log(0.25) + math.log(0.375) + 3 * math.log(0.5)
+    row = lda.completion_perplexity(thetas, terms, counts).first()
+    assert (row.n_tokens, row.log_likelihood, row.perplexity) == pytest.approx((6, expected, math.exp(-expected / 6)))
+    assert tuple(lda.completion_perplexity(thetas, terms, counts.limit(0)).first()) == (0, 0.0, None)
+
+
+def test_a_trained_model_expects_what_the_even_words_announce(corpus, spark):
+    model = lda.train_topics(corpus.vectors, 3, lda.TrainingPlan(1.0, 20))
+    rng = random.Random(9)
+    like = spark.createDataFrame([(i, [rng.choice(THEMES[i % 3]) for _ in range(20)]) for i in range(30)], "doc_id long, tokens array<string>")
+    mixed = spark.createDataFrame(
+        [(i, [THEMES[(i + j % 2) % 3][j % 5] for j in range(20)]) for i in range(30)], "doc_id long, tokens array<string>"
+    )
+    own, other = (md.heldout_perplexity(corpus, model, docs).first() for docs in (like, mixed))
+    assert own.n_tokens == other.n_tokens == 300
+    assert own.perplexity < 8 < other.perplexity
+    training, held = md.heldout_documents(corpus.docs)
+    assert training.count() + held.count() == 91 and held.count() > 5

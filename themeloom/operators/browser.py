@@ -78,7 +78,8 @@ def relevant_terms(
     placed = (
         terms.filter(F.col("weight") > 0)
         .join(saliency.select("term", "share"), "term")
-        .select("topic", "term", log_weight.alias("lw"), (log_weight - F.log("share")).alias("ll"))
+        # equal counts give equal values, whatever the order in which they were added up
+        .select("topic", "term", F.round(log_weight, 12).alias("lw"), F.round(log_weight - F.log("share"), 12).alias("ll"))
     )
     if steps and 0 <= min(steps) and max(steps) <= 1:
         placed = relevance_skyband(placed, n)
@@ -91,27 +92,54 @@ def relevant_terms(
 
 
 def relevance_skyband(placed: DataFrame, n: int = LISTED_TERMS) -> DataFrame:
-    """Rows of ``topic, term, lw, ll`` that fewer than ``n`` terms of their topic beat in both ``lw`` and ``ll``.
+    """Rows of ``topic, term, lw, ll`` without those that cannot be among the ``n`` most relevant for any weight.
 
-    Relevance is a mean of the two with weights of 0 to 1, so a term that ``n`` others beat in both is among
-    the ``n`` best for no weight. Beaten means by more than the rounding of relevance. Terms of a topic are
-    dealt into parts of bounded size first: who is beaten ``n`` times in a part is out for the whole, and
-    those who beat it beat whom it beats, so that the parts' survivors decide.
+    Relevance is a mean of ``lw`` and ``ll`` with weights of 0 to 1, and equals are ordered by term. So a term
+    comes before another for every weight if it is larger in both by more than the rounding of relevance, or
+    if it is as large in both and its name is less. A term that ``n`` others come before is left out. Terms of
+    a topic are dealt into parts of bounded size first; a term that is out in its part is out for the whole.
     """
     placed = stage(placed, "relevance-terms")
     # one row per topic
     sizes = placed.groupBy("topic").agg(F.ceil(F.count("*") / SKYBAND_TERMS).cast("int").alias("_parts"))
+    sizes = stage(_bounded(sizes), "relevance-parts")
+    n_parts = sizes.agg(F.coalesce(F.sum("_parts"), F.lit(1))).first()[0]
     schema = placed.schema
 
     def survivors(rows: pd.DataFrame) -> pd.DataFrame:
+        for known, value in (("ll", "lw"), ("lw", "ll")):
+            rows = rows.sort_values([known, "term"])
+            rows = rows[_early_or_large(rows[known].to_numpy(), rows[value].to_numpy(), n)]
         return rows[_in_skyband(rows["lw"].to_numpy(), rows["ll"].to_numpy(), n)][schema.fieldNames()]
 
     part = F.pmod(F.xxhash64("term"), F.col("_parts")).alias("_part")
-    dealt = placed.join(F.broadcast(_bounded(sizes)), "topic").select(*placed.columns, part)
-    local = dealt.groupBy("topic", "_part").applyInPandas(survivors, schema)
+    dealt = placed.join(F.broadcast(sizes), "topic").select(*placed.columns, part)
+    # a number of its own, as the work of a part is large for its bytes
+    local = dealt.repartition(int(n_parts), "topic", "_part").groupBy("topic", "_part").applyInPandas(survivors, schema)
     return local.groupBy("topic").applyInPandas(survivors, schema)
 
 
+def _kept_largest(best: list[float], value: float, n: int) -> None:
+    if len(best) < n:
+        heapq.heappush(best, value)
+    elif value > best[0]:
+        heapq.heapreplace(best, value)
+
+
+def _early_or_large(known: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Of rows sorted by ``known`` and name, which have fewer than ``n`` earlier ones of equal ``known`` that are
+    as large in ``value``."""
+    keep = np.ones(len(known), dtype=bool)
+    best: list[float] = []
+    before = None
+    for i, (own, large) in enumerate(zip(known.tolist(), value.tolist(), strict=True)):
+        if own != before:
+            best, before = [], own
+        keep[i] = len(best) < n or best[0] < large
+        _kept_largest(best, large, n)
+    return keep
+
+
 def _in_skyband(lw: np.ndarray, ll: np.ndarray, n: int) -> np.ndarray:
     """Which points fewer than ``n`` others beat in both values by more than BEATEN_BY."""
     keep = np.ones(len(lw), dtype=bool)
@@ -120,11 +148,7 @@ def _in_skyband(lw: np.ndarray, ll: np.ndarray, n: int) -> np.ndarray:
     ahead = 0
     for i in order.tolist():
         while lw[order[ahead]] > lw[i] + BEATEN_BY:
-            value = float(ll[order[ahead]])
-            if len(best) < n:
-                heapq.heappush(best, value)
-            elif value > best[0]:
-                heapq.heapreplace(best, value)
+            _kept_largest(best, float(ll[order[ahead]]), n)
             ahead += 1
         keep[i] = len(best) < n or not best[0] > ll[i] + BEATEN_BY
     return keep

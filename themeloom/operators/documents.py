@@ -101,12 +101,34 @@ def index_map(indexed: DataFrame, survivors: DataFrame) -> DataFrame:
     return with_row_index(kept, ["doc_id"], "final_index")
 
 
-def alignment_report(left: DataFrame, right: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row of counts that shows whether two tables hold the same documents once each."""
-    sides = left.select(*key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
-        right.select(*key, F.lit(0).alias("l"), F.lit(1).alias("r"))
+def content_hash(columns: Sequence[str]) -> Column:
+    """A hash of a row's columns that tells a null from every value and one column from another."""
+    if not columns:
+        return F.lit(0).cast("long")
+    return F.xxhash64(*(part for name in columns for part in (F.col(name), F.col(name).isNull())))
+
+
+def alignment_report(
+    left: DataFrame, right: DataFrame, key: Sequence[str] = ("doc_id",), content: Sequence[str] = ()
+) -> DataFrame:
+    """One row of counts that shows whether two tables hold the same documents once each.
+
+    With ``content``, columns of both tables, ``changed`` counts the keys that both hold equally often but
+    with other contents. Contents are compared by the sum and the exclusive or of row hashes, whatever the
+    order of rows, so that no text is shuffled.
+    """
+    zero = F.lit(0).cast("long")
+    digest = content_hash(content)
+    sides = left.select(*key, F.lit(1).alias("l"), F.lit(0).alias("r"), digest.alias("lh"), zero.alias("rh")).unionAll(
+        right.select(*key, F.lit(0).alias("l"), F.lit(1).alias("r"), zero.alias("lh"), digest.alias("rh"))
+    )
+    per_key = sides.groupBy(*key).agg(
+        F.sum("l").alias("l"),
+        F.sum("r").alias("r"),
+        F.sum((F.col("lh").cast("decimal(38,0)") - F.col("rh").cast("decimal(38,0)"))).alias("apart"),
+        F.bit_xor(F.col("lh").bitwiseXOR(F.col("rh"))).alias("mixed"),
     )
-    per_key = sides.groupBy(*key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    both = (F.col("l") > 0) & (F.col("l") == F.col("r"))
     return per_key.agg(
         F.coalesce(F.sum("l"), F.lit(0)).alias("left_rows"),
         F.coalesce(F.sum("r"), F.lit(0)).alias("right_rows"),
@@ -114,11 +136,14 @@ def alignment_report(left: DataFrame, right: DataFrame, key: Sequence[str] = ("d
         F.count_if((F.col("l") > 0) & (F.col("r") == 0)).alias("missing_right"),
         F.count_if((F.col("l") == 0) & (F.col("r") > 0)).alias("missing_left"),
         F.count_if((F.col("l") > 1) | (F.col("r") > 1)).alias("repeated_keys"),
+        F.count_if(both & ((F.col("apart") != 0) | (F.col("mixed") != 0))).alias("changed"),
     )
 
 
-def require_alignment(left: DataFrame, right: DataFrame, key: Sequence[str] = ("doc_id",)) -> None:
-    """Raise when two tables do not hold the same documents once each."""
-    row = alignment_report(left, right, key).first()
-    if row.missing_left or row.missing_right or row.repeated_keys:
+def require_alignment(
+    left: DataFrame, right: DataFrame, key: Sequence[str] = ("doc_id",), content: Sequence[str] = ()
+) -> None:
+    """Raise when two tables do not hold the same documents once each, with the same ``content``."""
+    row = alignment_report(left, right, key, content).first()
+    if row.missing_left or row.missing_right or row.repeated_keys or row.changed:
         raise ValueError(f"tables are not aligned on {', '.join(key)}: {row.asDict()}")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions import vectors as vx
+from themeloom.operators.joins import salted_join
+from themeloom.staging import stage
 
 # Topic counts, passes over the corpus and seed.
 TOPIC_COUNTS = (14, 15, 16, 17, 18, 19, 20)
@@ -21,6 +25,10 @@ SEED = 42
 
 #: Share of the corpus that one update draws, the same at every size. Each update scans the corpus once.
 SAMPLE = 0.2
+#: Models that train side by side.
+AT_ONCE = 4
+#: Words of documents' second halves that meet every task at most, times topics: 64 MB.
+MOST_WEIGHTS = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -63,17 +71,27 @@ def train_sweep(
     passes: int = PASSES,
     seed: int = SEED,
     sample: float = SAMPLE,
+    at_once: int = AT_ONCE,
 ) -> Iterator[tuple[int, LDAModel]]:
-    """One model per topic count over the same count vectors.
+    """One model per topic count over the same count vectors, in the order of ``topic_counts``.
 
     ``vectors`` should be a staged table: it is cached for all updates, and what an executor loses is
-    read again.
+    read again. Up to ``at_once`` models train side by side, each in a scheduler pool of its own name, so that
+    the short jobs of one fill the gaps of another; the models are those of training one by one.
     """
     plan = TrainingPlan.for_passes(passes, sample)
+    spark = vectors.sparkSession
     cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def train(k: int) -> LDAModel:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"topics-{k}")
+        return train_topics(cached, k, plan, seed)
+
     try:
-        for k in topic_counts:
-            yield k, train_topics(cached, k, plan, seed)
+        with ThreadPoolExecutor(max(1, at_once)) as pool:
+            running = [(k, pool.submit(inheritable_thread_target(spark)(train), k)) for k in topic_counts]
+            for k, model in running:
+                yield k, model.result()
     finally:
         cached.unpersist()
 
@@ -121,9 +139,67 @@ def topic_terms(model: LDAModel, dictionary: DataFrame) -> DataFrame:
     return rows.join(dictionary.select("term_id", "term"), "term_id").select("topic", "term_id", "term", "weight")
 
 
-def save_model(model: LDAModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def split_tokens(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents by their tokens at even places, and by those at odd places."""
+    even, odd = (docs.withColumn("tokens", F.expr(f"filter(tokens, (t, i) -> i % 2 = {rest})")) for rest in (0, 1))
+    return even, odd
+
+
+def completion_perplexity(
+    thetas: DataFrame, terms: DataFrame, counts: DataFrame, key: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """``n_tokens, log_likelihood, perplexity`` of words whose documents' topics come from other words.
+
+    ``thetas`` holds the key and ``vector``, a weight per topic; ``terms`` ``topic, term, weight`` with topics
+    numbered as the vector's entries; ``counts`` the key, ``term`` and ``n``. A word's probability is the sum over topics of
+    document weight times word weight. Words of no topic and documents without weights are left out; without
+    any token the likelihood is 0 and the perplexity null. Word weights go to every executor while they are
+    few, else they are joined by salted words.
+    """
+    weights = F.map_from_entries(F.collect_list(F.struct("topic", "weight")))
+    per_term = stage(terms.where("weight > 0").groupBy("term").agg(weights.alias("weights")), "completion-terms")
+    n_topics = terms.agg(F.coalesce(F.max("topic") + 1, F.lit(0))).first()[0]
+    if per_term.count() * n_topics <= MOST_WEIGHTS:
+        words = counts.join(F.broadcast(per_term), "term")
+    else:
+        words = salted_join(counts, per_term, "term", key)
+    scored = words.join(thetas.select(*key, "vector"), list(key))
+    parts = F.transform("vector", lambda p, t: p * F.coalesce(F.try_element_at("weights", t.cast("int")), F.lit(0.0)))
+    chance = F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
+    scored = scored.select("n", chance.alias("chance")).where("chance > 0")
+    total = scored.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"),
+        F.coalesce(F.sum(F.col("n") * F.log("chance")), F.lit(0.0)).alias("log_likelihood"),
+    )
+    return total.select(
+        "n_tokens",
+        "log_likelihood",
+        F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_likelihood") / F.col("n_tokens"))).alias("perplexity"),
+    )
+
+
+def vocabulary_digest(vocabulary: Sequence[str]) -> str:
+    """What tells one ordered vocabulary from another."""
+    return hashlib.sha256("\n".join(vocabulary).encode()).hexdigest()
+
+
+def save_model(model: LDAModel, path: str, vocabulary: Sequence[str] | None = None) -> None:
+    """The model and the digest of the vocabulary whose ids it speaks of, if given, under one folder."""
+    if vocabulary is not None and model.vocabSize() != len(vocabulary):
+        raise ValueError(f"the model has {model.vocabSize()} words, the vocabulary {len(vocabulary)}")
+    model.write().overwrite().save(f"{path}/model")
+    if vocabulary is None:
+        return
+    spark = SparkSession.active()
+    digest = spark.createDataFrame([(len(vocabulary), vocabulary_digest(vocabulary))], "words long, digest string")
+    digest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
-def load_model(path: str) -> LocalLDAModel:
-    return LocalLDAModel.load(path)
+def load_model(path: str, vocabulary: Sequence[str] | None = None) -> LocalLDAModel:
+    """What ``save_model`` wrote; raises if ``vocabulary``, where given, is not that of the model."""
+    if vocabulary is None:
+        return LocalLDAModel.load(f"{path}/model")
+    known = SparkSession.active().read.schema("words long, digest string").json(f"{path}/manifest").first()
+    if known is None or known["digest"] != vocabulary_digest(vocabulary):
+        raise ValueError(f"the model in {path} belongs to another vocabulary")
+    return LocalLDAModel.load(f"{path}/model")

@@ -19,6 +19,8 @@ from themeloom.operators.documents import require_alignment
 from themeloom.plans.corpus import CorpusSettings
 from themeloom.staging import stage
 
+HELD_OUT_ONE_OF = 5
+
 
 @dataclass(frozen=True)
 class Corpus:
@@ -103,6 +105,27 @@ def with_assignments(documents: DataFrame, run: ModelRun, key: Sequence[str] = (
     return documents.join(wide, list(key))
 
 
+def heldout_documents(docs: DataFrame, one_of: int = HELD_OUT_ONE_OF, key: Sequence[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """Documents to train on, and every ``one_of``-th by a hash of the key, held out."""
+    held = F.pmod(F.xxhash64(*key), F.lit(one_of)) == 0
+    return docs.where(~held), docs.where(held)
+
+
+def heldout_perplexity(corpus: Corpus, model: LDAModel, heldout: DataFrame) -> DataFrame:
+    """``n_tokens, log_likelihood, perplexity`` by document completion.
+
+    The topics of each held-out document are inferred from its tokens at even places; its tokens at odd
+    places are scored. Tokens outside the dictionary count for neither; a document without a known token at
+    an even place has no topics and is left out. ``model`` should not have seen ``heldout``.
+    """
+    seen, scored = lda.split_tokens(heldout.select(*corpus.key, "tokens"))
+    vectors = dct.count_vectors(seen, corpus.vectoriser).select(*corpus.key, "features")
+    thetas = lda.topic_vectors(model, vectors, corpus.key)
+    counts = dct.bag_of_words(scored, corpus.dictionary, corpus.key)
+    terms = lda.topic_terms(model, corpus.dictionary).select("topic", F.col("term_id").alias("term"), "weight")
+    return lda.completion_perplexity(thetas, terms, counts.withColumnRenamed("term_id", "term"), corpus.key)
+
+
 def evaluate(
     wide: DataFrame, corpus: Corpus, models: dict[int, LDAModel], measure: str = "euclidean"
 ) -> DataFrame:

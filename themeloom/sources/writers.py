@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 
+from themeloom.operators.lda import vocabulary_digest
+
 
 def write_table(rows: DataFrame, path: str) -> None:
     """Wide assignments, or texts with their topic, as Parquet."""
@@ -29,16 +31,22 @@ def write_topic_lines(lines: DataFrame, path: str) -> None:
 def save_corpus(
     dictionary: DataFrame, bags: DataFrame, vectoriser: CountVectorizerModel, path: str
 ) -> None:
-    """Dictionary, bag of words and vectoriser under one folder."""
+    """Dictionary, bag of words and vectoriser under one folder, with a digest of the vocabulary."""
     dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
     bags.write.mode("overwrite").parquet(f"{path}/bags")
     vectoriser.write().overwrite().save(f"{path}/vectoriser")
+    digest = (len(vectoriser.vocabulary), vocabulary_digest(vectoriser.vocabulary))
+    manifest = dictionary.sparkSession.createDataFrame([digest], "words long, digest string")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, CountVectorizerModel]:
-    """What ``save_corpus`` wrote."""
-    return (
-        spark.read.parquet(f"{path}/dictionary"),
-        spark.read.parquet(f"{path}/bags"),
-        CountVectorizerModel.load(f"{path}/vectoriser"),
-    )
+    """What ``save_corpus`` wrote; raises if dictionary and vectoriser are not those of the manifest."""
+    dictionary, vectoriser = spark.read.parquet(f"{path}/dictionary"), CountVectorizerModel.load(f"{path}/vectoriser")
+    known = spark.read.schema("words long, digest string").json(f"{path}/manifest").first()
+    # as many rows as the vectoriser, which the driver holds anyway
+    listed = dictionary.orderBy("term_id").limit(len(vectoriser.vocabulary) + 1)
+    terms = [row["term"] for row in listed.select("term").collect()]
+    if known is None or not known["digest"] == vocabulary_digest(vectoriser.vocabulary) == vocabulary_digest(terms):
+        raise ValueError(f"the parts of {path} belong to different vocabularies")
+    return dictionary, spark.read.parquet(f"{path}/bags"), vectoriser
