@@ -130,7 +130,8 @@ def _slots(spark: SparkSession, plan: list[tuple], seed: int) -> DataFrame:
         .withColumn("_chunk", chunk)
         .withColumn("_from", F.col("_first") + F.col("_chunk") * SLOTS_PER_CHUNK)
         .withColumn("_to", F.least(F.col("_first") + F.col("_count"), F.col("_from") + SLOTS_PER_CHUNK))
-        .repartition("_shard", "_no", "_chunk")
+        # a number of its own: a row becomes many slots, which its bytes do not show
+        .repartition(max(1, -(-sum(row[3] for row in plan) // SLOTS_PER_CHUNK)), "_shard", "_no", "_chunk")
     )
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themeloom.llm.shared import bucket_bits, text_slices, with_running_totals
+from themeloom.llm.shared import bucket_bits, freed_worker, text_slices, with_running_totals
 from themeloom.llm.tokens import word_tokens
 from themeloom.staging import stage
 
@@ -244,6 +244,9 @@ def token_pieces(
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(p, "<u4").astype(np.int64) for p in parts], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+        # the next task may run in another worker, which would fill a cache of its own beside this one
+        del tokens
+        freed_worker()
 
     return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).mapInArrow(cut, schema)
 
