@@ -218,7 +218,7 @@ PIECES = "_key long, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(
-    docs: DataFrame, key: str, text: str, path: str | None, capacity: int, with_ids: bool = False
+    docs: DataFrame, key: str, text: str, path: str | None, capacity: int, with_ids: bool = False, keep_cache: bool = True
 ) -> DataFrame:
     """A row per piece of at most ``capacity`` ids: ``_key, piece, start, length, ids_crc32`` and ``ids``."""
     extra = [T.StructField("ids", T.ArrayType(T.LongType()))] if with_ids else []
@@ -244,9 +244,9 @@ def token_pieces(
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(p, "<u4").astype(np.int64) for p in parts], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
-        # the next task may run in another worker, which would fill a cache of its own beside this one
-        del tokens
-        freed_worker()
+        if not keep_cache:
+            del tokens
+            freed_worker()
 
     return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).mapInArrow(cut, schema)
 
@@ -258,6 +258,7 @@ def packed_pieces(
     tokenizer: str | None = None,
     capacity: int = CAPACITY,
     with_ids: bool = False,
+    keep_cache: bool = True,
 ) -> DataFrame:
     """Pack whole documents into sequences of at most ``capacity`` ids.
 
@@ -267,8 +268,11 @@ def packed_pieces(
 
     Null and empty texts are the end id alone. Rows that repeat are packed each on their own; null keys
     stay null. An empty table gives no rows. Other columns are not read.
+
+    Workers keep the ids of known words from task to task. Without ``keep_cache`` a task gives them back at
+    its end, which takes longer and leaves the memory to other stages and workers; the rows are the same.
     """
-    pieces = stage(token_pieces(docs, key, text, tokenizer, capacity, with_ids), "packing_pieces")
+    pieces = stage(token_pieces(docs, key, text, tokenizer, capacity, with_ids, keep_cache), "packing_pieces")
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(places(pack_counts(counts, capacity)))
     names = pieces.columns

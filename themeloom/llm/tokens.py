@@ -35,14 +35,13 @@ class _Cache:
         """Words not yet known; the known ones move to the younger generation."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        new = []
-        for word in words.difference(self.young):
-            known = self.old.get(word)
-            if known is None:
-                new.append(word)
-            else:
-                self.young[word] = known
-        return new
+        new = words.difference(self.young)
+        if self.old:
+            old = self.old
+            moved = [word for word in new if word in old]
+            self.young.update(zip(moved, map(old.__getitem__, moved), strict=True))
+            new.difference_update(moved)
+        return list(new)
 
 
 class WordTokens:
@@ -67,24 +66,23 @@ class WordTokens:
 
     def _learn(self, words: set[str]) -> None:
         # a word of plain letters and marks is two pieces, which many words share
-        new, parted, pieces = self.words.missing(words), [], set()
-        young = self.words.young
+        new, parted = self.words.missing(words), []
+        young, plain = self.words.young, PLAIN.fullmatch
         for word in new:
             core = word.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core)):
-                marks, core = word[len(core) :], core.lower()
-                parted.append((word, core, marks))
-                pieces.add(core)
-                pieces.add(marks)
+            if core.isalpha() and (core.isascii() or plain(core)):
+                parted.append((word, core.lower(), word[len(core) :]))
             else:
                 ids = self.tokenizer.encode(word, add_special_tokens=False).ids
                 young[word] = np.array(ids, dtype="<u4").tobytes()
+        pieces = {core for _, core, _ in parted}
+        pieces.update({marks for _, _, marks in parted})
         pieces.discard("")
         self._encode_pieces(self.plain.missing(pieces))
         known = self.plain.young
         known[""] = b""
         for word, core, marks in parted:
-            young[word] = known[core] + known[marks]
+            young[word] = known[core] + known[marks] if marks else known[core]
 
     def _encode_pieces(self, pieces: list[str]) -> None:
         for start in range(0, len(pieces), ENCODED_AT_ONCE):
