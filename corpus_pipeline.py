@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a sequence of at most 4,096 tokens."""
-    return packing.packed_pieces(docs)
+    return packing.packed_pieces(docs, keep_cache=False)
 
 
 STAGES = [
