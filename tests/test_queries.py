@@ -44,6 +44,6 @@ def test_query_equals_sql(spark, con, name):
     assert want
 
 
-@pytest.mark.parametrize("name", ["topic_map", "model_sweep", "model_evaluation", "chunk_topics"])
+@pytest.mark.parametrize("name", ["topic_map", "topic_matching", "model_sweep", "model_evaluation", "model_heldout", "chunk_topics"])
 def test_model_queries_give_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
