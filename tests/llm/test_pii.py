@@ -199,3 +199,111 @@ def test_entities_of_any_length_are_replaced_whole(text, kind):
 def test_letters_of_any_script_are_replaced_by_their_like():
     new, _ = pii.replaced("password=пароль密碼秘密хорошо end", "k", {})
     assert "密碼" not in new and new.startswith("password=") and len(new) == len("password=пароль密碼秘密хорошо end")
+
+
+def names_of(text, **settings):
+    new, found = pii.replaced(text, "k", settings)
+    return new, [(e.value, e.entity) for e in found]
+
+
+def test_one_person_over_titles_surnames_and_untitled_mentions():
+    text = "Mr Adam Weber met Mr. Adam Weber. Mr Weber left.\nAdam Weber stayed, as Weber's friend said. Herrn Weber too"
+    new, found = names_of(text)
+    assert {entity for _, entity in found} == {"Mr Adam Weber"} and len(found) == 6
+    given, family = new.split(" ")[1:3]
+    assert new == text.replace("Adam", given).replace("Weber", family) and family in pii.FAMILY["latin"]
+
+
+def test_forms_of_a_title_are_one_person_and_genders_are_not():
+    assert len({entity for _, entity in names_of("Herr Weber and Herrn Weber and Mr. Weber")[1]}) == 1
+    new, found = names_of("Mr Adam Weber and Mrs Eva Weber: Mrs Weber said so, Mr Weber did not; Weber went. Frau Kim")
+    assert [entity for _, entity in found] == [
+        "Mr Adam Weber", "Mrs Eva Weber", "Mrs Eva Weber", "Mr Adam Weber", "Mrs Eva Weber", "Mrs Kim",
+    ]
+    assert "Weber" not in new and "Kim" not in new
+
+
+def test_names_stay_where_no_person_is_announced():
+    text = "Adam Weber stayed. Weber went. mr Weber"
+    assert pii.replaced(text, "k", {}) == (text, [])
+    text = "Mr Adam Weber saw Webers Adam and Weber-Kim, Adam"
+    assert [value for value, _ in names_of(text)[1]] == ["Mr Adam Weber"]
+    assert names_of("Frau Anna-Lena Weber-Kim left")[1] == [("Frau Anna-Lena Weber-Kim", "Mrs Anna-Lena Weber-Kim")]
+
+
+def test_mentions_never_merge_two_persons():
+    """Family names whose surrogates agree are written with the given name's surrogate."""
+    families = [a + b for a in ("Bra", "Cal", "Dor", "Fen") for b in ("ton", "vin", "mer", "sky", "ras")]
+    text = ". ".join(f"Mr Adam {f}" for f in families) + "\n" + ". ".join(f"so Mr {f} said" for f in families)
+    new, found = names_of(text)
+    full, short = new.split("\n")
+    persons = full.replace("Mr ", "").split(". ")
+    mentions = [m.removeprefix("so Mr ").removesuffix(" said") for m in short.split(". ")]
+    by_mention = {}
+    for person, mention in zip(persons, mentions, strict=True):
+        assert person.endswith(mention)
+        by_mention.setdefault(mention, set()).add(person)
+    assert all(len(p) == 1 for m, p in by_mention.items() if " " not in m)
+    assert any(" " in m for m in mentions) and any(" " not in m for m in mentions)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_mentions_equal_a_plain_search(seed):
+    """Against a search that asks for every place and every person anew."""
+    import random
+
+    rng = random.Random(seed)
+    given, family = ["Adam", "Eva", "Karl"], ["Weber", "Kim", "Adam"]
+    words = [rng.choice([f"Mr {rng.choice(given)} {rng.choice(family)}", f"Mrs {rng.choice(family)},", f"{rng.choice(given)} {rng.choice(family)}",
+                         rng.choice(family) + ".", "then", "\n"]) for _ in range(30)]
+    text = " so ".join(words)
+    first = [m for m in pii.PATTERN.finditer(text) if m.lastgroup == "person"]
+    full = [(m.start(), pii.normal("person", m.group())) for m in first if m.group().count(" ") == 2]
+
+    def last(at, fits):
+        fitting = [p for p in full if fits(p[1])]
+        return next((p[1] for p in reversed(fitting) if p[0] < at), fitting[0][1] if fitting else "")
+
+    expected, taken = [], set()
+    for m in first:
+        own = pii.normal("person", m.group())
+        title, *names = own.split(" ")
+        if len(names) == 1:
+            own = last(m.start(), lambda p: p.startswith(title + " ") and p.endswith(" " + names[0])) or own
+        expected.append((m.start(), m.end(), own))
+        taken |= set(range(m.start(), m.end()))
+    at = 0
+    tokens = [(m.start(), m.end()) for m in pii.re.finditer(r"\w+", text) if m.group()[0].isupper()]
+    for i, (start, stop) in enumerate(tokens):
+        name = text[start:stop]
+        if start in taken or not any(p.endswith(" " + name) for _, p in full):
+            continue
+        person = ""
+        if i and tokens[i - 1][1] + 1 == start and text[start - 1] == " " and tokens[i - 1][0] not in taken and tokens[i - 1][0] >= at:
+            person = last(start, lambda p: p.endswith(f" {text[tokens[i - 1][0] : stop]}"))
+        begin = tokens[i - 1][0] if person else start
+        expected.append((begin, stop, person or last(start, lambda p: p.endswith(" " + name))))
+        at = stop
+    assert [(e.start, e.stop, e.entity) for e in pii.detected(text)] == sorted(expected)
+
+
+def test_long_texts_with_many_mentions_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "Mr Adam Weber and Weber, Mr Weber or Adam Weber. " * n
+        start = time.perf_counter()
+        assert len(pii.detected(text)) == 4 * n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(20_000) < 10 * max(seconds(4_000), 0.02)
+
+
+def test_persons_agree_across_documents(spark):
+    texts = ["Mr Adam Weber wrote", "by Herr Adam Weber. Adam Weber", "of Mr Weber alone", "Mr Adam Keller, Mr Keller"]
+    docs = spark.createDataFrame([(i, t, 0, "k") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.text for r in pii.with_surrogates(docs).collect()}
+    name = got[0].removeprefix("Mr ").removesuffix(" wrote")
+    assert got[1] == f"by Herr {name}. {name}" and "Weber" not in got[2]
+    assert not {"Weber", "Adam Keller"} & set(got.values())

@@ -5,6 +5,10 @@ the same surrogate everywhere. Surrogates of distinct entities must differ, and
 that the collection holds: entities that break this get a further attempt, the rest keep theirs. The
 entities are compared as a distributed table; only the few that need a further attempt come back to the
 documents.
+
+A person is a gender, a given and a family name; titles of one gender and the lack of a title make no
+difference. A family name without a given name is the person of that name in the same text (of the title's
+gender, if there is one; of several the last one named before), or, with a title, a person of its own.
 """
 
 from __future__ import annotations
@@ -13,8 +17,9 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import count
 
 import pyarrow as pa
@@ -59,7 +64,7 @@ TITLES = {
     "госпожа": "f", "κύριος": "m", "κυρία": "f",
 }
 
-_NAME = r"[^\W\d_a-zà-öø-ÿа-яёα-ωά-ώ][^\W\d_]+"
+_NAME = r"[^\W\d_a-zà-öø-ÿа-яёα-ωά-ώ][^\W\d_]+(?:-[^\W\d_]+)*"
 _PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 _EMAIL = r"(?<![\w.+-])[\w.+-]++@(?:[\w-]++\.)+[A-Za-z]{2,}"
 _CLOUD_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
@@ -95,17 +100,26 @@ class Found:
     stop: int
     kind: str
     value: str
+    #: Normal form of the person that a shorter mention means.
+    person: str = ""
+
+    @property
+    def entity(self) -> str:
+        return self.person or normal(self.kind, self.value)
 
 
 #: Only lines with one of these can hold an entity that no title announces.
 LINE_SIGN = re.compile(r"[0-9@=:]|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-")
 _TITLE_SIGNS = tuple(f"{title} " for title in TITLES)
+NAME_WORD = re.compile(rf"(?<![\w-]){_NAME}(?![\w-])")
+#: The title of a gender in the normal form of a person.
+NORMAL_TITLES = {"m": "Mr", "f": "Mrs"}
 
 
 def detected(text: str) -> list[Found]:
     """Entities of a text in order, without overlaps. Card numbers must pass the check digit."""
     if "PRIVATE KEY" in text:
-        return _detected_in(text, 0)
+        return _with_mentions(text, _detected_in(text, 0))
     titled = any(sign in text for sign in _TITLE_SIGNS)
     if not titled and not LINE_SIGN.search(text):
         return []
@@ -114,7 +128,52 @@ def detected(text: str) -> list[Found]:
         if titled or LINE_SIGN.search(line):
             found += _detected_in(line, start)
         start += len(line) + 1
-    return found
+    return _with_mentions(text, found) if titled else found
+
+
+def _with_mentions(text: str, found: list[Found]) -> list[Found]:
+    """What was found, and where the text names its persons without title or without given name."""
+    # where persons stand, by family name alone, with a title's gender, and with a given name
+    named: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    for place in found:
+        if place.kind == "person" and place.entity.count(" ") == 2:
+            title, given, family = place.entity.split(" ")
+            for sign in ("", f"{title} ", f" {given}"):
+                named.setdefault((family, sign), []).append((place.start, place.entity))
+    if not named:
+        return found
+
+    def meant(family: str, sign: str, at: int) -> str:
+        persons = named.get((family, sign))
+        return persons[max(bisect_left(persons, (at, "")) - 1, 0)][1] if persons else ""
+
+    out, spans = [], [(place.start, place.stop) for place in found]
+
+    def within(at: int) -> bool:
+        i = bisect_right(spans, (at, len(text)))
+        return i > 0 and spans[i - 1][1] > at
+
+    for place in found:
+        if place.kind == "person" and place.entity.count(" ") == 1:
+            title, family = place.entity.split(" ")
+            place = replace(place, person=meant(family, f"{title} ", place.start))
+        out.append(place)
+    before, end = None, 0
+    for word in NAME_WORD.finditer(text):
+        given, before = before, word
+        start, family = word.start(), word.group()
+        if (family, "") not in named or within(start):
+            continue
+        person = ""
+        if given and text[given.end() : start] == " " and given.start() >= end and not within(given.start()):
+            person = meant(family, f" {given.group()}", start)
+        if person:
+            start = given.start()
+        else:
+            person = meant(family, "", start)
+        end = word.end()
+        out.append(Found(start, end, "person", text[start:end], person))
+    return sorted(out, key=lambda place: place.start)
 
 
 def _detected_in(text: str, start: int) -> list[Found]:
@@ -145,9 +204,13 @@ def _parts(kind: str, value: str) -> tuple[str, ...]:
 
 
 def normal(kind: str, value: str) -> str:
-    """What counts as the same entity: case of addresses and hexadecimal values, and separators of numbers, do not matter."""
+    """What counts as the same entity: case of addresses and hexadecimal values, separators of numbers and the title
+    of a gender do not matter."""
     if kind == "email":
         return value.lower()
+    if kind == "person":
+        title, names = value.split(" ", 1)
+        return f"{NORMAL_TITLES[TITLES[title]]} {names}"
     if kind in ("card", "phone", "iban", "social"):
         return "".join(c for c in value if c.isalnum() or c == "+").upper()
     if _is_hexadecimal(kind, value):
@@ -315,7 +378,11 @@ def _of_same_length(kind: str, value: str, stream: _Stream) -> str:
 
 
 def in_form_of(kind: str, replacement: str, original: str) -> str:
-    """The replacement with the separators and the case of the place where it goes."""
+    """The replacement with the separators, the case or the parts of a name of the place where it goes."""
+    if kind == "person":
+        *title, names = original.split(" ", 1) if original.split(" ")[0] in TITLES else (original,)
+        new = replacement.split(" ")[1:]
+        return " ".join([*title, *(new if " " in names else new[-1:])])
     if kind in ("card", "phone", "iban", "social"):
         signs = iter(c for c in replacement)
         return "".join(next(signs) if c.isalnum() or c == "+" else c for c in original) + "".join(signs)
@@ -334,14 +401,31 @@ def in_form_of(kind: str, replacement: str, original: str) -> str:
 def replaced(text: str, key: str, attempts: Mapping[tuple[str, str], int]) -> tuple[str, list[Found]]:
     """The text with surrogates, and what was found."""
     found, out, at = detected(text), [], 0
-    for entity in found:
-        value = normal(entity.kind, entity.value)
-        new = surrogate(entity.kind, value, key, attempts.get((entity.kind, value), 0))
-        out += (text[at : entity.start], in_form_of(entity.kind, new, entity.value))
-        at = entity.stop
+    made = {
+        (kind, value): surrogate(kind, value, key, attempts.get((kind, value), 0))
+        for kind, value in {(place.kind, place.entity) for place in found}
+    }
+    shared = _shared_names(made)
+    for place in found:
+        new = made[place.kind, place.entity]
+        original = place.value
+        if place.person and new.rsplit(" ", 1)[1] in shared:
+            # the family name alone would not tell this person from another one of the text
+            original = " ".join([*(t for t in original.split(" ")[:1] if t in TITLES), *place.person.split(" ")[1:]])
+        out += (text[at : place.start], in_form_of(place.kind, new, original))
+        at = place.stop
     return "".join([*out, text[at:]]), found
 
 
+def _shared_names(made: Mapping[tuple[str, str], str]) -> set[str]:
+    """Family names of surrogates that stand for several family names."""
+    whose: dict[str, set[str]] = {}
+    for (kind, value), new in made.items():
+        if kind == "person":
+            whose.setdefault(new.rsplit(" ", 1)[1], set()).add(value.rsplit(" ", 1)[1])
+    return {name for name, families in whose.items() if len(families) > 1}
+
+
 ENTITY = "_kind string, _value string, _surrogate string"
 
 
@@ -353,7 +437,7 @@ def _entities(docs: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             seen = set()
             for _, texts in text_slices(batch.column(0)):
-                seen.update((e.kind, normal(e.kind, e.value)) for text in texts for e in detected(text))
+                seen.update((e.kind, e.entity) for text in texts for e in detected(text))
             rows = [(kind, value, surrogate(kind, value, key)) for kind, value in sorted(seen)]
             yield pa.RecordBatch.from_pylist(
                 [dict(zip(("_kind", "_value", "_surrogate"), row, strict=True)) for row in rows],
@@ -461,7 +545,7 @@ def _with_attempts(docs: DataFrame, retries: DataFrame, text: str) -> DataFrame:
             rows = [
                 {"_pii_row": row, "_kind": kind, "_value": value}
                 for row, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for kind, value in {(e.kind, normal(e.kind, e.value)) for e in detected(words or "")}
+                for kind, value in {(e.kind, e.entity) for e in detected(words or "")}
             ]
             yield pa.RecordBatch.from_pylist(
                 rows, schema=pa.schema([("_pii_row", pa.int64()), ("_kind", pa.string()), ("_value", pa.string())])
