@@ -1,15 +1,16 @@
 """Toxicity of documents by a linear classifier that must not mind which group a sentence names.
 
 Training sees a bounded, balanced sample of labelled documents as sets of features: words and beginnings
-of words. Features that mark toxic documents clearly enough get a weight, and so do the names of groups.
-Each training text that names a group has counterfactuals with other groups' names in its place (a text
-that names none gets two different ones), and the squared difference of their scores is part of the loss.
+of words, of names of groups only the whole word. Features that mark toxic or clean documents clearly
+enough get a weight, and so do the names. Each training text that names groups has counterfactuals, the
+same text with other groups in their place, and the squared change of the score is part of the loss.
+A name that no training text holds has no weight, so that it changes no score.
 """
 
 from __future__ import annotations
 
 import sys
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -34,20 +35,23 @@ IDENTITY_TERMS = (
 THRESHOLD = 0.7
 #: Most labelled documents of each class that training sees.
 PER_CLASS = 1500
-#: Most features with a weight, by how clearly they mark toxic documents.
-MOST_FEATURES = 5000
-#: Least standard score of a feature's share among toxic documents against clean ones.
+#: Least standard score of a feature's share in one class against the other.
 CLEAR = 4.0
-#: Least number of toxic documents that show a feature.
+#: Least number of documents of that class that show the feature.
 LEAST = 2
 PREFIXES = (4, 5, 6)
 EDGES = ".,;:!?\"'()[]*#%&$|<>"
 PENALTY, RIDGE = 1.0, 1e-5
-STEPS, RATE, MOMENTUM, SWAPS = 800, 0.3, 0.95, 4
+STEPS, RATE, MOMENTUM = 800, 0.3, 0.95
+#: Counterfactuals of each training text that names a group.
+SWAPS = 4
+_IDENTITY = frozenset(IDENTITY_TERMS)
 
 
 def word_features(word: str) -> list[str]:
-    """A lower-case word and its beginnings as names of features."""
+    """A lower-case word and, unless it names a group, its beginnings as names of features."""
+    if word in _IDENTITY:
+        return [f"={word}"]
     return [f"={word}", *(word[:n] for n in PREFIXES if len(word) > n)]
 
 
@@ -84,61 +88,116 @@ class Classifier:
 
 
 def clear_features(texts: Sequence[set[str]], labels: np.ndarray) -> list[str]:
-    """Features whose share among toxic texts stands out against the clean ones."""
+    """Features whose share in one class of texts stands out against the other."""
     counts = (Counter(), Counter())
     for words, label in zip(texts, labels, strict=True):
         counts[int(label)].update({f for word in words for f in word_features(word)})
     toxic, clean = max(1, int(labels.sum())), max(1, int((labels == 0).sum()))
     clear = []
-    for feature, n in counts[1].items():
-        p = (n + counts[0][feature] + 1) / (toxic + clean + 2)
-        score = (n / toxic - counts[0][feature] / clean) / np.sqrt(p * (1 - p) * (1 / toxic + 1 / clean))
-        if n >= LEAST and score >= CLEAR:
-            clear.append((-score, feature))
-    return [feature for _, feature in sorted(clear)[:MOST_FEATURES]]
+    for feature in counts[0].keys() | counts[1].keys():
+        n, m = counts[1][feature], counts[0][feature]
+        p = (n + m + 1) / (toxic + clean + 2)
+        score = (n / toxic - m / clean) / np.sqrt(p * (1 - p) * (1 / toxic + 1 / clean))
+        if abs(score) >= CLEAR and (n if score > 0 else m) >= LEAST:
+            clear.append(feature)
+    return sorted(clear)
+
+
+def counterfactuals(texts: Sequence[set[str]], rng: np.random.Generator, swaps: int = SWAPS) -> list[tuple[int, set[str]]]:
+    """Number and words of texts in which each name of a group became another one, distinct names distinct ones."""
+    out = []
+    for i, words in enumerate(texts):
+        named = sorted(words & _IDENTITY)
+        others = sorted(_IDENTITY - set(named))
+        for _ in range(swaps if named else 0):
+            # a text that names most groups has them change places
+            drawn = rng.choice(others, len(named), replace=False) if len(named) <= len(others) else np.roll(named, 1)
+            out.append((i, (words - _IDENTITY) | set(map(str, drawn))))
+    return out
+
+
+@dataclass
+class Loss:
+    """Log loss of texts, mean squared change of the score by counterfactuals, and ridge, over sets of features."""
+
+    texts: Sequence[set[str]]
+    labels: np.ndarray
+    swapped: Sequence[tuple[int, set[str]]]
+    features: Sequence[str]
+
+    def __post_init__(self):
+        number = {feature: i for i, feature in enumerate(self.features)}
+        known: dict[str, list[int]] = defaultdict(list)
+
+        def held(words: set[str]) -> set[int]:
+            for w in words:
+                if w not in known:
+                    known[w] = [number[f] for f in word_features(w) if f in number]
+            return {i for w in words for i in known[w]}
+
+        own = [held(words) for words in self.texts]
+        self.rows = _entries([dict.fromkeys(found, 1) for found in own])
+        changes = []
+        for i, words in self.swapped:
+            after = held(words)
+            changes.append(dict.fromkeys(own[i] - after, 1) | dict.fromkeys(after - own[i], -1))
+        self.changes = _entries(changes)
+        # both classes weigh the same, however many of each there are
+        toxic, clean = max(1, int(self.labels.sum())), max(1, int((self.labels == 0).sum()))
+        self.weigh = np.where(self.labels == 1, 0.5 / toxic, 0.5 / clean)
+
+    def _logits(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        return _totals(self.rows, weights, len(self.texts)) + bias
+
+    def value(self, weights: np.ndarray, bias: float) -> float:
+        signs = np.where(self.labels == 1, -1, 1)
+        log_loss = (self.weigh * np.logaddexp(0, signs * self._logits(weights, bias))).sum()
+        apart = _totals(self.changes, weights, len(self.swapped))
+        return float(log_loss + PENALTY * (apart**2).sum() / max(1, len(apart)) + RIDGE / 2 * (weights**2).sum())
+
+    def slopes(self, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        wrong = self.weigh * (1 / (1 + np.exp(-np.clip(self._logits(weights, bias), -30, 30))) - self.labels)
+        apart = 2 * PENALTY / max(1, len(self.swapped)) * _totals(self.changes, weights, len(self.swapped))
+        size = len(self.features)
+        return _per_feature(self.rows, wrong, size) + _per_feature(self.changes, apart, size) + RIDGE * weights, float(wrong.sum())
+
+    def curvature(self) -> np.ndarray:
+        """How fast each slope changes, at most for the penalty and about for the log loss."""
+        size, (row, at, sign) = len(self.features), self.changes
+        width = np.bincount(self.rows[0], minlength=1).max()
+        changed = np.bincount(row, minlength=len(self.swapped))
+        penalty = 2 * PENALTY / max(1, len(self.swapped)) * np.bincount(at, weights=np.abs(sign) * changed[row], minlength=size)
+        return _per_feature(self.rows, self.weigh, size) * np.sqrt(max(1, width)) / 4 + penalty + RIDGE
+
+
+def _entries(rows: Sequence[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of each entry."""
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    pairs = [pair for r in rows for pair in sorted(r.items())]
+    return row, np.array([i for i, _ in pairs], int), np.array([v for _, v in pairs], float)
+
+
+def _totals(entries, weights: np.ndarray, n: int) -> np.ndarray:
+    row, at, value = entries
+    return np.bincount(row, weights=weights[at] * value, minlength=n)
+
+
+def _per_feature(entries, values: np.ndarray, size: int) -> np.ndarray:
+    row, at, value = entries
+    return np.bincount(at, weights=values[row] * value, minlength=size)
 
 
 def train(texts: Sequence[set[str]], labels: np.ndarray, seed: int = 3) -> Classifier:
     """Fit weights by gradient steps on log loss, swap penalty and ridge, each step scaled by curvature."""
-    names = {f"={term}" for term in IDENTITY_TERMS}
-    features = sorted(names | set(clear_features(texts, labels)))
-    number = {feature: i for i, feature in enumerate(features)}
-
-    def columns(sets: Sequence[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        found = [sorted({number[f] for w in words for f in word_features(w) if f in number}) for words in sets]
-        return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.array([i for f in found for i in f], int)
-
-    rng, identity = np.random.default_rng(seed), set(IDENTITY_TERMS)
-    named, other = [], []
-    for words in texts:
-        for _ in range(SWAPS):
-            a, b = rng.choice(len(IDENTITY_TERMS), 2, replace=False)
-            # the text around the name is on both sides and cancels
-            named.append(words & identity or {IDENTITY_TERMS[a]})
-            other.append({IDENTITY_TERMS[b]})
-    rows, left, right = columns(texts), columns(named), columns(other)
-    n, pairs, size = max(1, len(texts)), max(1, len(named)), len(features)
-    # both classes weigh the same, however many of each there are
-    weigh = np.where(labels == 1, 0.5 / max(1, int(labels.sum())), 0.5 / max(1, int((labels == 0).sum())))
-    weights, bias = np.zeros(size), 0.0
-    moving, shift = np.zeros(size), 0.0
-
-    def total(part, values, length):
-        return np.bincount(part[0], weights=values[part[1]], minlength=length)
-
-    def per_feature(part, values):
-        return np.bincount(part[1], weights=values[part[0]], minlength=size)
-
-    swapped = np.bincount(left[1], minlength=size) + np.bincount(right[1], minlength=size)
-    width = np.bincount(rows[0], minlength=n).max(initial=1)
-    step = RATE / (per_feature(rows, weigh) * np.sqrt(width) / 4 + 4 * PENALTY * swapped / pairs + RIDGE)
+    features = sorted({f"={term}" for term in IDENTITY_TERMS} | set(clear_features(texts, labels)))
+    loss = Loss(texts, labels, counterfactuals(texts, np.random.default_rng(seed)), features)
+    weights, bias = np.zeros(len(features)), 0.0
+    moving, shift = np.zeros(len(features)), 0.0
+    step = RATE / loss.curvature()
     for _ in range(STEPS if len(texts) else 0):
-        wrong = 1 / (1 + np.exp(-np.clip(total(rows, weights, n) + bias, -30, 30))) - labels
-        wrong = wrong * weigh
-        apart = 2 * PENALTY / pairs * (total(left, weights, pairs) - total(right, weights, pairs))
-        slope = per_feature(rows, wrong) + per_feature(left, apart) - per_feature(right, apart) + RIDGE * weights
-        moving = MOMENTUM * moving - step * slope
-        shift = MOMENTUM * shift - RATE * wrong.sum()
+        slopes, slope = loss.slopes(weights, bias)
+        moving = MOMENTUM * moving - step * slopes
+        shift = MOMENTUM * shift - RATE * slope
         weights += moving
         bias += shift
     return Classifier({f: float(w) for f, w in zip(features, weights, strict=True) if abs(w) > 1e-6}, float(bias))
@@ -164,12 +223,13 @@ def fitted(
 ) -> Classifier:
     """Train on at most ``per_class`` labelled documents of each class, the first by a hash of their keys.
 
-    Rows that are held out, and null keys and labels, are never learned from. Without any label the
-    classifier gives every text the same score.
+    Rows that are held out, and null keys and labels, are never learned from; of the documents of one key
+    the least text is, and a label that repeats counts once. Without any label the classifier gives every
+    text the same score.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(
         F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")
-    )
+    ).distinct()
     order = [F.xxhash64(F.lit(5), "_key"), F.col("_key")]
     sample = stage(
         usable.where("_label = 0").orderBy(*order).limit(per_class).unionByName(
@@ -178,6 +238,8 @@ def fitted(
         "toxicity_sample",
     )
     found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")
+    # a key may repeat without bound: one text of each comes to the driver
+    found = found.groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
     rows = []
     for row in _word_sets(found.select("_key", "_label", "_text")).toLocalIterator():
         rows.append((row["_key"], row["_label"], {sys.intern(word) for word in row["_words"]}))
