@@ -1,9 +1,9 @@
 """Quality rules: counts of a text, and robust multivariate outliers among them.
 
 Each language and source has its own centre and scatter by the minimum covariance determinant: the mean
-and covariance of the 75 % of rows nearest to them, found by concentration steps from medians and
-absolute deviations. A step is two grouped aggregations over the small table of statistics; rows of one
-group are never brought together.
+and covariance of the 75 % of rows nearest to them. Concentration steps go on from three robust starts
+until the determinant falls no more, and the least determinant counts. A step is two grouped aggregations
+over the small table of statistics; rows of one group are never brought together.
 """
 
 from __future__ import annotations
@@ -24,14 +24,18 @@ from themeloom.staging import stage
 SYMBOLS = b"#*$%&|<>"
 WINDOW_WORDS = 5
 NEAREST = 0.75
-STEPS = 6
 #: A group with fewer rows is judged by its language, a language with fewer by all rows.
 LEAST_ROWS = 50
 #: Share of regular rows that the distance may reject.
 REJECTED = 1e-6
-#: Least standard deviation of each statistic: what is smaller is no sign of bad text.
-FLOORS = (0.05, 0.03, 0.5, 0.15)
-DIMENSIONS = len(FLOORS)
+#: What is no sign of bad text by itself: characters more per word, symbols per word, lines that repeat, and
+#: repeated words in a text of the table's median length.
+HARMLESS = (0.25, 0.03, 3.0, 20.0)
+#: Share of the whole table's robust deviation that a group's is taken to have at least.
+LEAST_SPREAD = 0.25
+DIMENSIONS = len(HARMLESS)
+#: A step has to lower the logarithm of the determinant by more than this.
+LEAST_GAIN = 1e-6
 BINS_PER_OCTAVE = 64
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -106,7 +110,7 @@ def statistics() -> list[Column]:
         (F.col("word_chars") + 500) / (n + 100),
         F.sqrt(F.col("n_symbols") / (n + 20)),
         F.log1p(F.col("n_dup_lines").cast("double")),
-        F.sqrt(F.col("n_repeat_words") / (n + 20)),
+        F.sqrt(F.col("n_repeat_words") / (n + 100)),
     ]
 
 
@@ -124,22 +128,55 @@ def chi_square_quantile(p: float, d: int) -> float:
     return high
 
 
-ESTIMATE = "_group string, _mean array<double>, _inverse array<double>"
+def floors(shapes: DataFrame) -> tuple[float, ...]:
+    """Least standard deviation of each statistic by the rows ``n_words, _x0, ...`` of the whole table.
 
+    ``HARMLESS`` counts of a text of median length stay below the cutoff, and so does what is small against
+    the deviation of all rows. Medians are to a thousandth of a rank.
+    """
+    x = [f"_x{i}" for i in range(DIMENSIONS)]
+    middle = shapes.agg(*(F.percentile_approx(c, 0.5, 1000).alias(c) for c in ["n_words", *x])).first()
+    length = float(middle["n_words"] or 0)
+    apart = shapes.agg(*(F.percentile_approx(F.abs(F.col(c) - F.lit(middle[c])), 0.5, 1000).alias(c) for c in x)).first()
+    chars, symbols, lines, words = HARMLESS
+    harmless = (
+        chars,
+        math.sqrt(symbols * max(1.0, length) / (length + 20)),
+        math.log1p(lines),
+        math.sqrt(words / (length + 100)),
+    )
+    bound = math.sqrt(chi_square_quantile(1 - REJECTED, DIMENSIONS))
+    return tuple(max(h / bound, LEAST_SPREAD * 1.4826 * (a or 0.0)) for h, a in zip(harmless, apart, strict=True))
 
-def _estimates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums per group to mean and inverse scatter; rounded, so that the order of summing leaves no trace."""
-    grow = NEAREST / chi_square_cdf(chi_square_quantile(NEAREST, DIMENSIONS), DIMENSIONS + 2)
-    for frame in frames:
-        rows = []
-        for group, n, sums, products in frame[["_group", "_n", "_sums", "_products"]].itertuples(index=False, name=None):
-            mean = np.asarray(sums, float) / n
-            upper = np.zeros((DIMENSIONS, DIMENSIONS))
-            upper[np.triu_indices(DIMENSIONS)] = np.asarray(products, float) / n
-            second = upper + np.triu(upper, 1).T
-            scatter = grow * (second - np.outer(mean, mean)) + np.diag(np.square(FLOORS))
-            rows.append((group, np.round(mean, 9), np.round(np.linalg.inv(scatter), 6).ravel()))
-        yield pd.DataFrame(rows, columns=["_group", "_mean", "_inverse"])
+
+ESTIMATE = "_group string, _start int, _mean array<double>, _inverse array<double>, _log_det double"
+_PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
+
+
+def _symmetric(upper) -> np.ndarray:
+    out = np.zeros((DIMENSIONS, DIMENSIONS))
+    for (i, j), value in zip(_PAIRS, upper, strict=True):
+        out[i, j] = out[j, i] = value
+    return out
+
+
+def _estimate(group: str, start: int, mean: np.ndarray, scatter: np.ndarray, log_det: float | None = None) -> tuple:
+    """An estimate, rounded so that the order of summing leaves no trace."""
+    if log_det is None:
+        log_det = np.round(np.linalg.slogdet(scatter)[1], 9)
+    return group, start, np.round(mean, 9), np.round(np.linalg.inv(scatter), 6).ravel(), float(log_det)
+
+
+def starts(n: float, middle, spread, tanh_sums, tanh_products, sign_products, least: np.ndarray):
+    """Scatters to start from: deviations alone, and with the correlations of rows pulled in by tanh or onto a sphere."""
+    scale = np.sqrt(np.square(1.4826 * np.asarray(spread, float)) + least**2)
+    mean = np.asarray(tanh_sums, float) / n
+    pulled = _symmetric(tanh_products) / n - np.outer(mean, mean)
+    sphere = _symmetric(sign_products) / n
+    yield np.diag(scale**2)
+    for shape in (pulled, sphere):
+        shape = shape * DIMENSIONS / max(np.trace(shape), 1e-9)
+        yield shape * np.outer(scale, scale) + np.diag(least**2)
 
 
 def _distance() -> Column:
@@ -150,52 +187,104 @@ def _distance() -> Column:
     )
 
 
-def minimum_covariance(rows: DataFrame) -> DataFrame:
-    """Estimates per ``_group`` of the staged rows ``_group, _x0, ...``."""
+def _started(rows: DataFrame, least: np.ndarray) -> DataFrame:
+    """The starts of each group."""
     x = [F.col(f"_x{i}") for i in range(DIMENSIONS)]
     middle = rows.groupBy("_group").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"_m{i}") for i, c in enumerate(x)))
     apart = [F.abs(c - F.col(f"_m{i}")) for i, c in enumerate(x)]
-    spread = (
-        rows.join(middle, "_group")
-        .groupBy("_group")
-        .agg(
-            *(F.first(f"_m{i}").alias(f"_m{i}") for i in range(DIMENSIONS)),
-            *(F.percentile_approx(c, 0.5, 1000).alias(f"_d{i}") for i, c in enumerate(apart)),
-        )
+    spread = rows.join(middle, "_group").groupBy("_group").agg(
+        F.array(*(F.first(f"_m{i}") for i in range(DIMENSIONS))).alias("_middle"),
+        F.array(*(F.percentile_approx(c, 0.5, 1000) for c in apart)).alias("_spread"),
     )
-    zero = F.lit(0.0)
-    start = [
-        F.lit(1.0) / (F.pow(1.4826 * F.col(f"_d{i}"), 2) + FLOORS[i] ** 2) if i == j else zero
-        for i in range(DIMENSIONS)
-        for j in range(DIMENSIONS)
+    spread = stage(spread, "quality_spread")
+    z = [
+        (c - F.col("_middle")[i]) / F.sqrt(F.pow(1.4826 * F.col("_spread")[i], 2) + F.lit(float(least[i] ** 2)))
+        for i, c in enumerate(x)
     ]
-    estimate = stage(
-        spread.select("_group", F.array(*(F.col(f"_m{i}") for i in range(DIMENSIONS))).alias("_mean"), F.array(*start).alias("_inverse")),
-        "quality_start",
+    scaled = rows.join(spread, "_group").select("_group", "_middle", "_spread", *(c.alias(f"_z{i}") for i, c in enumerate(z)))
+    z = [F.col(f"_z{i}") for i in range(DIMENSIONS)]
+    tanh = [F.tanh(c) for c in z]
+    squared = sum((c * c for c in z), F.lit(0.0))
+    sums = scaled.groupBy("_group").agg(
+        F.count("*").alias("_n"),
+        F.first("_middle").alias("_middle"),
+        F.first("_spread").alias("_spread"),
+        F.array(*(F.sum(c) for c in tanh)).alias("_tanh"),
+        F.array(*(F.sum(tanh[i] * tanh[j]) for i, j in _PAIRS)).alias("_tanh_products"),
+        F.array(*(F.sum(F.when(squared > 0, z[i] * z[j] / squared).otherwise(0.0)) for i, j in _PAIRS)).alias("_signs"),
     )
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [
+                _estimate(group, number, np.asarray(middle, float), scatter, math.inf)
+                for group, n, middle, spread, *moments in frame.itertuples(index=False, name=None)
+                for number, scatter in enumerate(starts(n, middle, spread, *moments, least))
+            ]
+            yield pd.DataFrame(out, columns=["_group", "_start", "_mean", "_inverse", "_log_det"])
+
+    return sums.mapInPandas(make, ESTIMATE)
+
+
+def _concentrated(rows: DataFrame, estimates: DataFrame, least: np.ndarray) -> DataFrame:
+    """The estimates after a step: from the share ``NEAREST`` of a group's rows that are nearest by each."""
+    x = [F.col(f"_x{i}") for i in range(DIMENSIONS)]
     level = F.floor(F.log2(F.greatest(_distance(), F.lit(2.0**-20))) * BINS_PER_OCTAVE)
-    by_level = Window.partitionBy("_group").orderBy("_level")
-    for _ in range(STEPS):
-        at = rows.join(estimate, "_group").select("_group", *x, level.alias("_level"))
-        counts = at.groupBy("_group", "_level").agg(F.count("*").alias("_n"))
-        counts = counts.withColumn("_up_to", F.sum("_n").over(by_level)).withColumn(
-            "_all", F.sum("_n").over(Window.partitionBy("_group"))
+    at = rows.join(estimates, "_group").select("_group", "_start", *x, level.alias("_level"))
+    counts = at.groupBy("_group", "_start", "_level").agg(F.count("*").alias("_n"))
+    of_one = Window.partitionBy("_group", "_start")
+    counts = counts.withColumn("_up_to", F.sum("_n").over(of_one.orderBy("_level"))).withColumn("_all", F.sum("_n").over(of_one))
+    limits = counts.where(F.col("_up_to") - F.col("_n") < NEAREST * F.col("_all")).groupBy("_group", "_start")
+    limits = limits.agg(F.max("_level").alias("_limit"))
+    sums = (
+        at.join(limits, ["_group", "_start"])
+        .where("_level <= _limit")
+        .groupBy("_group", "_start")
+        .agg(
+            F.count("*").alias("_n"),
+            F.array(*(F.sum(c) for c in x)).alias("_sums"),
+            F.array(*(F.sum(x[i] * x[j]) for i, j in _PAIRS)).alias("_products"),
         )
-        limits = counts.where(F.col("_up_to") - F.col("_n") < NEAREST * F.col("_all")).groupBy("_group")
-        limits = limits.agg(F.max("_level").alias("_limit"))
-        products = [F.sum(x[i] * x[j]) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
-        sums = (
-            at.join(limits, "_group")
-            .where("_level <= _limit")
-            .groupBy("_group")
-            .agg(
-                F.count("*").alias("_n"),
-                F.array(*(F.sum(c) for c in x)).alias("_sums"),
-                F.array(*products).alias("_products"),
-            )
+    )
+    grow = NEAREST / chi_square_cdf(chi_square_quantile(NEAREST, DIMENSIONS), DIMENSIONS + 2)
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for group, start, n, sums, products in frame.itertuples(index=False, name=None):
+                mean = np.asarray(sums, float) / n
+                scatter = grow * (_symmetric(products) / n - np.outer(mean, mean)) + np.diag(least**2)
+                out.append(_estimate(group, start, mean, scatter))
+            yield pd.DataFrame(out, columns=["_group", "_start", "_mean", "_inverse", "_log_det"])
+
+    return sums.mapInPandas(make, ESTIMATE)
+
+
+def minimum_covariance(rows: DataFrame, least: tuple[float, ...] = (0.05, 0.03, 0.25, 0.05)) -> DataFrame:
+    """Estimates ``_group, _mean, _inverse, _log_det`` of the staged rows ``_group, _x0, ...``.
+
+    ``least`` are the floors of the standard deviations. Each start takes steps as long as they lower the
+    determinant, which ends since subsets are finitely many; ties of starts go to the first.
+    """
+    least = np.asarray(least, float)
+    going = stage(_concentrated(rows, _started(rows, least), least), "quality_estimates")
+    settled = []
+    while not going.isEmpty():
+        after = _concentrated(rows, going, least).withColumnsRenamed(
+            {"_mean": "_new_mean", "_inverse": "_new_inverse", "_log_det": "_new_log_det"}
         )
-        estimate = stage(sums.mapInPandas(_estimates, ESTIMATE), "quality_estimates")
-    return estimate
+        after = stage(going.join(after, ["_group", "_start"]), "quality_estimates")
+        falls = F.col("_new_log_det") < F.col("_log_det") - LEAST_GAIN
+        settled.append(after.where(~falls).select(*going.columns))
+        going = after.where(falls).select(
+            "_group", "_start", F.col("_new_mean").alias("_mean"), F.col("_new_inverse").alias("_inverse"),
+            F.col("_new_log_det").alias("_log_det"),
+        )
+    ends = going
+    for some in settled:
+        ends = ends.unionByName(some)
+    best = F.min(F.struct("_log_det", "_start", "_mean", "_inverse")).alias("_best")
+    return ends.groupBy("_group").agg(best).select("_group", "_best._mean", "_best._inverse", "_best._log_det")
 
 
 def quality_verdicts(
@@ -209,7 +298,8 @@ def quality_verdicts(
 
     Null and empty texts have only zeros and fail. Null languages and sources are groups of their own;
     small groups are judged by their language or by all rows, and if nothing shapes an estimate the
-    distance is null and only ``base_failed`` counts. Rows that repeat count each; other columns are not
+    distance is null and only ``base_failed`` counts. No deviation is taken to be less than ``floors`` finds in
+    the whole table. Rows that repeat count each; other columns are not
     read; an empty table gives no rows.
     """
     given = docs.select(F.col(key).alias("_key"), group_key(lang).alias("_lang"), group_key(source).alias("_source"), F.col(text).alias("_text"))
@@ -230,7 +320,10 @@ def quality_verdicts(
     group = F.when(F.col("_own_large"), F.col("_own")).when(F.col("_lang_large"), F.col("_by_lang")).otherwise("all")
     judged = stage(judged.withColumn("_group", group), "quality_judged")
     wanted = stage(judged.select("_group").distinct(), "quality_groups")
-    estimate = minimum_covariance(stage(shapes.join(wanted, "_group", "left_semi"), "quality_shaping"))
+    least = floors(rows.where("NOT base_failed"))
+    estimate = stage(
+        minimum_covariance(stage(shapes.join(wanted, "_group", "left_semi"), "quality_shaping"), least), "quality_estimate"
+    )
     cutoff = chi_square_quantile(1 - REJECTED, DIMENSIONS)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return (
