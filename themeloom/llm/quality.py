@@ -28,9 +28,9 @@ NEAREST = 0.75
 LEAST_ROWS = 50
 #: Share of regular rows that the distance may reject.
 REJECTED = 1e-6
-#: What is no sign of bad text by itself: characters more per word, symbols per word, lines that repeat, and
-#: repeated words in a text of the table's median length.
-HARMLESS = (0.25, 0.03, 3.0, 20.0)
+#: What is no sign of bad text, any two of them together: characters more per word, symbols per word, lines that
+#: repeat, and repeated words in a text of the table's median length.
+HARMLESS = (0.2, 0.02, 1.0, 20.0)
 #: Share of the whole table's robust deviation that a group's is taken to have at least.
 LEAST_SPREAD = 0.25
 DIMENSIONS = len(HARMLESS)
@@ -131,8 +131,8 @@ def chi_square_quantile(p: float, d: int) -> float:
 def floors(shapes: DataFrame) -> tuple[float, ...]:
     """Least standard deviation of each statistic by the rows ``n_words, _x0, ...`` of the whole table.
 
-    ``HARMLESS`` counts of a text of median length stay below the cutoff, and so does what is small against
-    the deviation of all rows. Medians are to a thousandth of a rank.
+    Two of the ``HARMLESS`` counts in a text of median length stay below the cutoff, and so does what is small
+    against the deviation of all rows. Medians are to a thousandth of a rank.
     """
     x = [f"_x{i}" for i in range(DIMENSIONS)]
     middle = shapes.agg(*(F.percentile_approx(c, 0.5, 1000).alias(c) for c in ["n_words", *x])).first()
@@ -145,7 +145,7 @@ def floors(shapes: DataFrame) -> tuple[float, ...]:
         math.log1p(lines),
         math.sqrt(words / (length + 100)),
     )
-    bound = math.sqrt(chi_square_quantile(1 - REJECTED, DIMENSIONS))
+    bound = math.sqrt(chi_square_quantile(1 - REJECTED, DIMENSIONS) / 2)
     return tuple(max(h / bound, LEAST_SPREAD * 1.4826 * (a or 0.0)) for h, a in zip(harmless, apart, strict=True))
 
 
