@@ -142,3 +142,19 @@ def test_a_trained_model_expects_what_the_even_words_announce(corpus, spark):
     assert own.perplexity < 8 < other.perplexity
     training, held = md.heldout_documents(corpus.docs)
     assert training.count() + held.count() == 91 and held.count() > 5
+
+
+@pytest.mark.parametrize("at_once", [100_000, 7])
+def test_bound_is_the_librarys_without_its_work_per_document(corpus, monkeypatch, at_once):
+    model = lda.train_topics(corpus.vectors, 3, lda.TrainingPlan(1.0, 4))
+    expected = model.logLikelihood(corpus.vectors)
+    monkeypatch.setattr(lda, "BOUND_ENTRIES", at_once)
+    monkeypatch.setattr(type(model), "logLikelihood", None)
+    assert lda.fit_report(model, corpus.vectors, 90 * 30, 3).first().log_likelihood == pytest.approx(expected)
+    assert lda.likelihood_bound(model, corpus.vectors.limit(0)) != 0
+
+
+def test_digamma():
+    assert list(lda._digamma([0.02, 0.5, 1.0, 6.0, 1e6])) == pytest.approx(
+        [-50.5447893104, -1.96351002602, -0.577215664902, 1.70611766843, 13.8155100579]
+    )
