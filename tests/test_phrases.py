@@ -111,3 +111,10 @@ def test_long_documents_take_time_in_proportion(spark, docs_of):
     merged = phr.apply_phrases(docs_of(text), model).first().tokens
     assert time.perf_counter() - start < 30
     assert merged == greedy(text, {("a", "b"), ("b", "c")})
+
+
+def test_the_second_pass_reads_what_the_first_merged(docs_of, monkeypatch):
+    seen, learn = [], phr.learn_phrases
+    monkeypatch.setattr(phr, "learn_phrases", lambda docs, *given: seen.append(docs.inputFiles()) or learn(docs, *given))
+    cp.phrase_tokens(docs_of(*[["a", "b", "c"]] * 60), cp.CorpusSettings(stop_words=(), threshold=1.0))
+    assert [bool(files) for files in seen] == [False, True]
