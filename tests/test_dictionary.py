@@ -44,3 +44,10 @@ def test_bag_of_words_and_vectors(docs_of, monkeypatch):
     vectors = dct.count_vectors(docs, dct.vectoriser(terms)).collect()
     assert {r.doc_id: r.features.toArray().tolist() for r in vectors} == {0: [1.0], 1: [0.0], 2: [1.0]}
     assert dct.token_total(terms) == 2
+
+
+def test_term_statistics_sort_no_document(docs_of, capsys):
+    found = dct.term_statistics(docs_of(["b", "a", "b"], ["b"], []))
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 1), ("b", 2, 3)]
+    found.explain("extended")
+    assert "sort_array" not in capsys.readouterr().out
