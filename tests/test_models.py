@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from themeloom.operators import lda, topics
+from themeloom.operators import joins, lda, topics
 from themeloom.plans import corpus as cp
 from themeloom.plans import modelling as md
 from themeloom.sources import writers
@@ -158,3 +158,14 @@ def test_digamma():
     assert list(lda._digamma([0.02, 0.5, 1.0, 6.0, 1e6])) == pytest.approx(
         [-50.5447893104, -1.96351002602, -0.577215664902, 1.70611766843, 13.8155100579]
     )
+
+
+def test_only_hot_words_repeat_their_weights(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"w{i}") for i in range(60_000)] + [(1, None)], "doc_id long, term string")
+    terms = spark.createDataFrame([("hot", 0), ("w2", 1), ("w4", 2), ("other", 3)], "term string, value int")
+    hot = joins.hot_values(rows, "term")
+    assert [r.term for r in hot.collect()] == ["hot"]
+    assert joins.with_hot_salts(terms, hot, "term").count() == joins.SALTS + 3
+    joined = joins.hot_salted_join(rows, terms, "term", ["doc_id"])
+    assert sorted(joined.columns) == ["doc_id", "term", "value"]
+    assert joined.groupBy("value").count().orderBy("value").collect() == [(0, 30_000), (1, 1), (2, 1)]
