@@ -118,3 +118,31 @@ def test_the_second_pass_reads_what_the_first_merged(docs_of, monkeypatch):
     monkeypatch.setattr(phr, "learn_phrases", lambda docs, *given: seen.append(docs.inputFiles()) or learn(docs, *given))
     cp.phrase_tokens(docs_of(*[["a", "b", "c"]] * 60), cp.CorpusSettings(stop_words=(), threshold=1.0))
     assert [bool(files) for files in seen] == [False, True]
+
+
+def test_grams_are_counted_before_they_become_rows(spark, monkeypatch):
+    monkeypatch.setattr(phr, "TOKENS_AT_ONCE", 50)
+    monkeypatch.setattr(phr, "GRAM_ROWS", 7)
+    rng = random.Random(8)
+    lists = [[rng.choice(["a", "b", "", "é", None]) for _ in range(rng.randrange(0, 20))] for _ in range(60)]
+    docs = spark.createDataFrame([(tokens,) for tokens in [*lists, None]], "tokens array<string>")
+    expected = {}
+    for tokens in lists:
+        for gram in [(t, None) for t in tokens] + list(zip(tokens, tokens[1:])):
+            expected[gram] = expected.get(gram, 0) + 1
+    counts = phr.gram_counts(docs)
+    assert {(row.a, row.b): row.n for row in counts.collect()} == expected
+    assert "explode" not in counts._jdf.queryExecution().toString()
+
+
+def test_many_phrases_are_merged_in_one_pass(spark, monkeypatch):
+    rng = random.Random(9)
+    lists = [[rng.choice(["a", "b", "c", None]) for _ in range(rng.randrange(0, 20))] for _ in range(80)] + [None]
+    docs = spark.createDataFrame(list(enumerate(lists)), "doc_id long, tokens array<string>")
+    model = model_of(spark, ("a", "a"), ("a", "b"), ("b", "c"))
+    plain = sorted(map(str, phr.apply_phrases(docs, model).collect()))
+    monkeypatch.setattr(phr, "IN_PLAN_PHRASES", 0)
+    monkeypatch.setattr(phr, "TOKENS_AT_ONCE", 50)
+    merged = phr.apply_phrases(docs, model)
+    assert sorted(map(str, merged.collect())) == plain
+    assert "regexp_replace" not in merged._jdf.queryExecution().toString()
